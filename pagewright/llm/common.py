@@ -62,3 +62,9 @@ def n_words(text: Column) -> Column:
 def as_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A text column as UTF-8 bytes; null is empty."""
     return [b"" if x is None else x for x in batch.column(name).cast(pa.large_binary()).to_pylist()]
+
+
+def sample_texts(docs: DataFrame, most: int, most_bytes: int = 20_000) -> list[str]:
+    """At most `most` texts of at most `most_bytes` bytes each, from as few partitions as hold them."""
+    rows = docs.select("text").where(F.octet_length("text") <= most_bytes).limit(most).collect()
+    return [r.text for r in rows]

@@ -5,13 +5,14 @@ character, so no merge crosses a cut and the counts of the parts add up; a model
 refused. Lookup has two tiers. The lengths of frequent parts, from a sample of at most `sample_docs`
 documents, are encoded once on the driver and broadcast in packed form (at most `table_size` parts
 of at most MAX_PART bytes). What is missing there is encoded where it is met and kept in a bounded
-cache of the Python worker, which outlives the task. Nothing is shuffled but the sample's parts, and
-the sample decides speed only: every part of every text is counted.
+cache of the Python worker, which outlives the task. Nothing is shuffled, and the
+sample decides speed only: every part of every text is counted.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,6 +20,8 @@ from pyspark import SparkContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.llm.common import sample_texts
+
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
 SAMPLE_DOCS = 2_000
@@ -76,13 +79,8 @@ def unpack(table: tuple[bytes, bytes]) -> dict[str, int]:
 
 def frequent_parts(docs: DataFrame, model: str, sample_docs: int, table_size: int) -> dict[str, int]:
     """Lengths of the parts that are most frequent in a bounded sample."""
-    part = F.explode(F.split("text", " ", -1)).alias("part")
-    counted = (
-        docs.select("text").where("text is not null").limit(sample_docs).select(part)
-        .where((F.octet_length("part") <= MAX_PART) & (F.col("part") != "") & ~F.contains("part", F.lit("\0")) & ~F.contains("part", F.lit(SPACE)))
-        .groupBy("part").count().orderBy(F.desc("count"), "part").limit(table_size)
-    )
-    parts = [r.part for r in counted.collect()]
+    counted = Counter(p for text in sample_texts(docs, sample_docs) for p in parts_of(text) if p and "\0" not in p and len(p.encode()) <= MAX_PART)
+    parts = [p for p, _ in counted.most_common(table_size)]
     lengths = part_lengths(load(model), parts) if parts else []
     return {p: n for p, n in zip(parts, lengths) if n < 256}
 

@@ -123,7 +123,7 @@ BASE_RULES = (
 RULES = (
     *BASE_RULES,
     Rule("symbols", lambda m: 10 * m.n_symbols > m.n_words),
-    Rule("same_lines", lambda m: 10 * m.n_dup_lines > 3 * len(m.lines)),
+    Rule("same_lines", lambda m: 2 * m.n_dup_lines > len(m.lines)),
     Rule("word_length", lambda m: not 2 * m.n_words <= m.word_chars <= 15 * m.n_words),
     Rule("capitals", lambda m: 2 * m.n_capital_words > m.n_words),
     Rule("letters", lambda m: 10 * m.n_letter_words < 6 * m.n_words),

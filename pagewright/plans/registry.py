@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from pagewright.plans import workspace_queries
+
+PARTS = (workspace_queries,)
+
+QUERIES: dict = {name: query for part in PARTS for name, query in part.QUERIES.items()}
+ORACLE: dict[str, str] = {name: sql for part in PARTS for name, sql in part.ORACLE.items()}

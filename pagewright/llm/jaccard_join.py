@@ -6,9 +6,10 @@ over more parts than that, so that two linked sets agree in at least one part th
 hash of (band, part, the shingles there) is the bucket. A set joins the buckets of its own band, and
 those of the band below if a set there can link with it. That is one small row per nine shingles, and
 a bucket holds only sets that agree in some nine shingles and in the absence of others there, so a line
-that many texts share makes no large bucket. links.py takes the buckets apart: tiles, hashed bitmaps,
-bit counts, exact intersections. That every linked pair shares a bucket that isn't empty can only fail
-where hashing leaves over SPARE + 1 % of a set's parts empty (under 1e-9 a document).
+that many texts share makes no large bucket. Of MANY_PARTS parts or more, those with one shingle make none
+either. links.py takes the buckets apart: tiles, hashed bitmaps, bit counts, exact intersections. A
+linked pair can only miss where hashing leaves over SPARE + 1 % of a small set's parts empty, or gives
+none of a third of a large set's parts that are equal a second shingle (under 1e-9 a pair).
 
 Items are named by a 64-bit hash of their set.
 """
@@ -22,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import as_bytes, materialise, small_side
+from pagewright.llm.common import as_bytes, materialise, release, small_side
 from pagewright.llm.links import Bound, link_components
 from pagewright.llm.shingles import mixed, set_hash, shingle_set
 
 WIDTH = 3
 PERCENT = 90
 SPARE = 4
+MANY_PARTS = 64
 _PART, _SUM = np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -66,7 +68,8 @@ def bucket_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
         part = (mixed(shingles * _PART) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
         sums = np.zeros(parts, np.uint64)
         np.add.at(sums, part.astype(np.int64), mixed(shingles ^ _SUM))
-        filled = np.flatnonzero(sums)
+        held = np.bincount(part.astype(np.int64), minlength=parts)
+        filled = np.flatnonzero(held > (1 if parts >= MANY_PARTS else 0))
         keys.append(mixed(sums[filled] + mixed(filled.astype(np.uint64) + np.uint64(band << 40))))
     return np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
 
@@ -102,10 +105,11 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     without words have no shingles, link with nothing and keep their own id. Rows that repeat a doc_id
     are items of their own; a null doc_id takes its component's id, if any.
     """
-    signed = materialise(docs.select("doc_id", "text").mapInArrow(lambda b: sign(b, width, percent), "doc_id long, n_shingles long, item long, keys array<long>"), "jaccard-signed")
-    classes = materialise(
-        signed.where("item IS NOT NULL").groupBy("item").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("keys").alias("keys")), "jaccard-items"
-    )
+    marked = materialise(docs.select("doc_id", "text").mapInArrow(lambda b: sign(b, width, percent), "doc_id long, n_shingles long, item long, keys array<long>"), "jaccard-marked")
+    signed = materialise(marked.drop("keys"), "jaccard-signed")
+    keyed = materialise(marked.where("item IS NOT NULL").groupBy("item").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("keys").alias("keys")), "jaccard-keyed")
+    release(marked)
+    classes = materialise(keyed.drop("keys"), "jaccard-items")
     texts = docs.select("doc_id", "text")
 
     def sets_of(items: DataFrame) -> DataFrame:
@@ -113,9 +117,10 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
         n = wanted.count()
         ids = small_side(wanted.select("wanted_id").distinct(), n)
         hashed = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").mapInArrow(lambda b: sets(b, width), "item long, set binary")
-        return hashed.join(small_side(wanted.select("item"), n), "item", "left_semi")
+        release(keyed)
+        return hashed.join(small_side(wanted.select("item"), n), "item", "left_semi").dropDuplicates(["item"])
 
-    linked = link_components(classes.select("item", F.explode("keys").alias("key")), sets_of, Bound(percent), "jaccard")
+    linked = link_components(keyed.select("item", F.explode("keys").alias("key")), sets_of, Bound(percent), "jaccard")
     named = linked.join(classes.select("item", "least_id"), "item")
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     grouped = linked.join(least, "component").select("item", "component_id")

@@ -2,12 +2,15 @@
 
 Every item is a set of shingles. Items that may link meet in a bucket. First, each item is compared
 with one representative: of the smallest members of its buckets, the one it shares most buckets with.
-Components of those links then leave unresolved only the buckets that hold several components; equal
-buckets count once, and each becomes a tile. Within a tile, items of different components are
-compared: bit counts of hashed bitmaps bound their overlap from above, and the sorted arrays decide.
-A bucket of more than TILE items is dealt over blocks of that size, one tile for each two blocks, so a
-task holds at most 2 * TILE sets and no pair of the bucket is left out. A group of copies that link
-with their representative so costs rows in proportion to its size.
+Components of those links then leave unresolved only the buckets that hold several components. There,
+bit counts of hashed bitmaps bound every overlap between two components from above; where the bound
+allows a link, the components join one group. A group's sets come together once, and the sorted arrays
+of items of different components are compared, again behind the bit counts.
+
+Both steps deal their buckets or groups over tiles: items of the largest component and the others go
+to blocks of at most TILE items, and each two blocks that can hold a pair of different components
+make a tile. A task so holds at most 2 * TILE items of a tile, no pair is left out, and a group of
+copies that link with their representative costs rows in proportion to its size.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import materialise
+from pagewright.llm.common import materialise, release
 from pagewright.llm.shingles import bitmap, common, folded
 
 TILE = 2_048
@@ -59,25 +62,28 @@ def verify_pairs(batches: Iterator[pa.RecordBatch], bound: Bound) -> Iterator[pa
         yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
 
-def compare_tile(table: pa.Table, bound: Bound) -> pa.Table:
-    """Links between items of a tile that are of different components and, where it has two blocks, of both."""
-    table = table.combine_chunks()
-    items, components, blocks = (np.array(table.column(x).to_pylist(), np.int64) for x in ("item", "component", "block"))
-    sets = arrays(table.column("set"))
-    sizes = np.array([len(s) for s in sets], np.int64)
+def compare_tile(table: pa.Table, bound: Bound) -> list[tuple[int, int, int, int]]:
+    """(item, item, component, component) of pairs that join components of the tile's items.
+
+    Pairs link exactly where the tile has sets, and may link by their bit counts where it has bits only.
+    """
+    items, components, blocks, sizes = (table.column(x).to_numpy() for x in ("item", "component", "block", "size"))
+    exact = "set" in table.column_names
+    sets = arrays(table.column("set")) if exact else []
+    bits = [bitmap(s) for s in sets] if exact else arrays(table.column("bits"))
     order = np.argsort(sizes, kind="stable")
-    bits = [bitmap(s) for s in sets]
     words = min(map(len, bits))
     maps = np.stack([folded(x, words) for x in bits])
     split = blocks.min() != blocks.max()
     parent = {c: c for c in components.tolist()}
+    apart = len(parent) - 1
 
     def root(c: int) -> int:
         while parent[c] != c:
             parent[c] = c = parent[parent[c]]
         return c
 
-    found: list[tuple[int, int]] = []
+    found: list[tuple[int, int, int, int]] = []
     for place, i in enumerate(order[:-1]):
         later = order[place + 1 :]
         later = later[: np.searchsorted(sizes[later], sizes[i] * 100 // bound.percent, "right")]
@@ -87,10 +93,37 @@ def compare_tile(table: pa.Table, bound: Bound) -> pa.Table:
         most = np.minimum(sizes[later] - np.bitwise_count(maps[later] & ~maps[i]).sum(1, dtype=np.int64), sizes[i] - np.bitwise_count(maps[i] & ~maps[later]).sum(1, dtype=np.int64))
         for j in later[most >= bound.least_common(sizes[i], sizes[later])].tolist():
             x, y = root(int(components[i])), root(int(components[j]))
-            if x != y and bound.links(int(sizes[i]), int(sizes[j]), common(sets[i], sets[j])):
+            if x != y and (not exact or bound.links(int(sizes[i]), int(sizes[j]), common(sets[i], sets[j]))):
                 parent[max(x, y)] = min(x, y)
-                found.append((int(items[i]), int(items[j])))
-    return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+                found.append((int(items[i]), int(items[j]), int(components[i]), int(components[j])))
+                apart -= 1
+                if not apart:
+                    return found
+    return found
+
+
+FOUND = "a long, b long, component_a long, component_b long"
+
+
+def compare_tiles(batches: Iterator[pa.RecordBatch], bound: Bound) -> Iterator[pa.RecordBatch]:
+    """compare_tile() for each run of rows of one tile."""
+    held: list[pa.RecordBatch] = []
+
+    def compared(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = compare_tile(pa.Table.from_batches(parts).combine_chunks(), bound) if sum(p.num_rows for p in parts) > 1 else []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], [x.split()[0] for x in FOUND.split(", ")])
+
+    for batch in batches:
+        tiles = batch.column("tile").to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(tiles)) + 1).tolist(), len(tiles)] if len(tiles) else []
+        for a, b in zip(edges, edges[1:]):
+            if held and held[0].column("tile")[0].as_py() != tiles[a]:
+                yield from compared(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield from compared(held)
 
 
 def members(keyed: DataFrame) -> DataFrame:
@@ -125,20 +158,40 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     return labels
 
 
-def tiles(unresolved: DataFrame) -> DataFrame:
-    """(tile, block, item, component) from (key, item, component) of buckets with several components."""
+def once_each(unresolved: DataFrame) -> DataFrame:
+    """Of buckets (key, item, component) with the same items, one."""
     held = unresolved.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("item").cast("decimal(38,0)")).alias("sum"))
-    once = held.groupBy("n", "sum").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / TILE).cast("int").alias("blocks"))
-    placed = unresolved.join(once, "key").withColumn("block", F.pmod(F.xxhash64("item", F.lit(1)), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    return unresolved.join(held.groupBy("n", "sum").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """(tile, block, item, component) from (key, item, component): blocks of the largest component come last."""
+    parts = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
+    sizes = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("n"))
+    blocks = sizes.select("key", F.col("main.component").alias("main"), F.ceil(F.col("main.n") / TILE).cast("int").alias("mains"), F.ceil((F.col("n") - F.col("main.n")) / TILE).cast("int").alias("rests"))
+    is_main, place = F.col("component") == F.col("main"), F.xxhash64("item", F.lit(1))
+    block = F.when(is_main, F.col("rests") + F.pmod(place, F.col("mains"))).otherwise(F.pmod(place, F.col("rests"))).cast("int")
+    last = F.when(is_main, F.col("rests")).otherwise(F.col("rests") + F.col("mains")) - 1
+    placed = rows.join(blocks, "key").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     tile = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
-    return placed.select("*", other.alias("other")).select(tile.alias("tile"), "block", "item", "component")
+    return placed.select(tile.alias("tile"), "block", "item", "component")
+
+
+def compared(rows: DataFrame, bound: Bound) -> DataFrame:
+    """FOUND of the tiles of `rows` (tile, block, item, component, size, and bits or set)."""
+    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda batches: compare_tiles(batches, bound), FOUND)
+
+
+def add_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = arrays(batch.column("set"))
+        yield pa.RecordBatch.from_arrays([batch.column("item"), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())], ["item", "size", "bits"])
 
 
 def link_components(keyed: DataFrame, sets_of, bound: Bound, name: str) -> DataFrame:
     """(item, component) of the items that link with another one; keyed: (item, key), rows without repeats.
 
-    sets_of(items) gives (item, set: its sorted shingle hashes as bytes) of a frame of items.
+    sets_of(items) gives (item, set: its sorted shingle hashes as bytes) of a frame of items, once each.
     """
     met = materialise(members(keyed).select("key", "item", "first"), f"{name}-met")
     sets = materialise(sets_of(met.select("item").distinct()), f"{name}-sets")
@@ -149,11 +202,18 @@ def link_components(keyed: DataFrame, sets_of, bound: Bound, name: str) -> DataF
     )
     set_a, set_b = (sets.select(F.col("item").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
     verified = stars.join(set_a, "a").join(set_b, "b").mapInArrow(lambda batches: verify_pairs(batches, bound), "a long, b long")
-    star_edges = materialise(verified, f"{name}-stars")
-    labels = components(star_edges, name)
-    labelled = met.select("key", "item").join(labels, "item", "left").select("key", "item", F.coalesce("component", "item").alias("component"))
-    labelled = materialise(labelled, f"{name}-labelled")
+    links = materialise(verified, f"{name}-stars")
+    labels = components(links, name)
+    labelled = materialise(met.select("key", "item").join(labels, "item", "left").select("key", "item", F.coalesce("component", "item").alias("component")), f"{name}-labelled")
+    release(met)
     several = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    dealt = tiles(labelled.join(several, "key", "left_semi")).join(sets, "item")
-    rest = dealt.groupBy("tile").applyInArrow(lambda table: compare_tile(table, bound), "a long, b long")
-    return components(star_edges.union(rest), name)
+    unresolved = materialise(once_each(labelled.join(several, "key", "left_semi")), f"{name}-unresolved")
+    if unresolved.isEmpty():
+        return labels
+    bits = sets.mapInArrow(add_bits, "item long, size long, bits binary")
+    allowed = materialise(compared(dealt(unresolved).join(bits, "item"), bound).select(F.col("component_a").alias("a"), F.col("component_b").alias("b")), f"{name}-allowed")
+    groups = components(allowed, f"{name}-groups").select(F.col("item").alias("component"), F.col("component").alias("key"))
+    grouped = unresolved.select("item", "component").distinct().join(groups, "component").select("key", "item", "component")
+    whole = sets.select("item", (F.octet_length("set") / 8).cast("long").alias("size"), "set")
+    more = compared(dealt(materialise(grouped, f"{name}-grouped")).join(whole, "item"), bound)
+    return components(links.union(more.select("a", "b")), name)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.operators import delta, graph, history, merkle, project, relocate, resolve, rules, views
+from pagewright.operators import delta, graph, history, merkle, project, read, relocate, rules, views
 from pagewright.plans import sql_door
-from pagewright.plans.workspace_queries import HEAD_LINKS, LINKS, PAGES, PROPERTIES, SECTIONS, TASKS, parsed, space
+from pagewright.plans.workspace_queries import BODIES, LINKS, PAGES, PROPERTIES, SECTIONS, TASKS, parsed, space
 from pagewright.session import table
 from pagewright.sources import scratch, synth
 from pagewright.streaming import feed
@@ -174,7 +174,42 @@ def tree_digest_dirs(spark, sf_dir):
     return merkle.directories(history.revisions(synth.workspace(spark, sf_dir)).select("path", "digest")).select("path", F.length("digest").cast("long").alias("digits"))
 
 
-NAMES = ("delta_files", "delta_nodes", "delta_sections", "delta_frame", "upkeep_links", "upkeep_affected", "upkeep_compacted", "history_by_generation", "stream_state", "stream_windows", "graph_walk_down", "graph_walk_up", "graph_cycles", "plan_move", "plan_rename", "rules_query", "rules_shape", "rules_typed", "status_tasks", "pins_coloured", "orphan_runs", "tree_digest_dirs")
+def read_toc(spark, sf_dir):
+    return read.toc(parsed(spark, sf_dir)).select("path", "node_seq", "heading", "ordinal")
+
+
+def read_cat(spark, sf_dir):
+    """The section of lines of every order, where its address is unambiguous."""
+    pages = scratch.written(synth.workspace(spark, sf_dir, ("orders",)), "pages")
+    found = project.parse_pages(pages)
+    asked = project.relation(found, "section").where("heading = 'Lines' AND n IS NULL").select("path", "hpath")
+    return read.cat(pages, found, asked).select("path", "raw", "n")
+
+
+def read_extract(spark, sf_dir):
+    return read.extract(parsed(spark, sf_dir), ["frontmatter", "heading", "task", "anchor", "wikilink", "embed"]).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def read_words(spark, sf_dir):
+    """Words of each page's text chunks."""
+    found = parsed(spark, sf_dir, ("customers",))
+    return read.composed(found, found.select("path")).select("path", "words")
+
+
+def status_line(spark, sf_dir):
+    ws = space(spark, sf_dir)
+    return read.status(ws.doc, ws.link, ws.task, ws.frontmatter_fault)
+
+
+def rules_change(spark, sf_dir):
+    """A predicate over property changes: status may not change to BUILDING."""
+    frontmatter = space(spark, sf_dir, ("customers",)).frontmatter.where("key = 'status'")
+    after = frontmatter.withColumn("value", F.when(F.regexp_extract("path", r"(\d+)", 1).cast("long") % 6 == 0, "BUILDING").otherwise(F.col("value")))
+    check = lambda change: f"was {change['value_before']}" if change["value_after"] == "BUILDING" else None
+    return rules.check_changes(delta.property_changes(frontmatter, after), check, "no-building").select("rule", "severity", "path", "detail")
+
+
+NAMES = ("read_toc", "read_cat", "read_extract", "read_words", "status_line", "rules_change", "delta_files", "delta_nodes", "delta_sections", "delta_frame", "upkeep_links", "upkeep_affected", "upkeep_compacted", "history_by_generation", "stream_state", "stream_windows", "graph_walk_down", "graph_walk_up", "graph_cycles", "plan_move", "plan_rename", "rules_query", "rules_shape", "rules_typed", "status_tasks", "pins_coloured", "orphan_runs", "tree_digest_dirs")
 QUERIES = {n: globals()[n] for n in NAMES}
 
 CHANGES = """
@@ -192,6 +227,13 @@ SELECT node AS path, CAST(min(depth) AS BIGINT) AS depth FROM (SELECT '{start}'
 
 
 ORACLE = {
+    "read_toc": f"""WITH {SECTIONS} SELECT path, CAST(node_seq AS BIGINT) AS node_seq, heading, CASE WHEN level = 1 THEN '1' ELSE '1.' || (row_number() OVER (PARTITION BY path, level ORDER BY node_seq)) END AS ordinal FROM heads""",
+    "read_cat": f"WITH {PAGES} SELECT path, substr(raw, instr(raw, '## Lines')) AS raw, CAST(1 AS BIGINT) AS n FROM pages WHERE path LIKE 'orders/%' AND CAST(regexp_extract(path, '([0-9]+)', 1) AS BIGINT) % 5 <> 0",
+    "read_extract": f"""WITH {LINKS}, {SECTIONS}, {PROPERTIES}, {TASKS} SELECT kind, CAST(count(*) AS BIGINT) AS n FROM (SELECT kind FROM links UNION ALL SELECT 'heading' FROM heads UNION ALL SELECT 'task' FROM tasks
+UNION ALL SELECT 'anchor' FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT 'frontmatter' FROM props WHERE key = 'type') GROUP BY kind""",
+    "read_words": f"""WITH {PAGES}, {SECTIONS}, {BODIES} SELECT path, CAST(sum(len(regexp_extract_all(text, '[^ ' || chr(10) || ']+'))) AS BIGINT) AS words FROM bodies WHERE path LIKE 'customers/%' GROUP BY path""",
+    "status_line": f"WITH {PAGES}, {LINKS}, {TASKS} SELECT (SELECT count(*) FROM pages) AS pages, (SELECT CAST(sum(strlen(raw)) AS BIGINT) FROM pages) AS bytes, (SELECT count(dest_path) FROM links) AS resolved, (SELECT count(*) - count(dest_path) FROM links) AS dangling, (SELECT count(*) FROM tasks WHERE NOT checked) AS open_tasks, CAST(0 AS BIGINT) AS faults",
+    "rules_change": "SELECT 'no-building' AS rule, 'block' AS severity, 'customers/customer-' || c_custkey || '.md' AS path, 'was ' || c_mktsegment AS detail FROM customer WHERE c_custkey % 6 = 0 AND c_mktsegment <> 'BUILDING'",
     "delta_files": f"WITH {CHANGES} SELECT path, change FROM changed",
     "delta_nodes": f"""WITH {CHANGES} SELECT path, 'edited' AS change, 'section' AS kind, '[{{"h":"Profile"}},{{"h":"Orders"}}]' AS hpath FROM changed WHERE change = 'modified'""",
     "delta_sections": f"""WITH {CHANGES}, s AS (SELECT unnest(['[{{"h":"Profile"}}]', '[{{"h":"Profile"}},{{"h":"Orders"}}]', '[{{"h":"Profile"}},{{"h":"Notes"}}]']) AS hpath)

@@ -157,13 +157,15 @@ def test_provenance(sql, regions):
 
 
 def test_files(spark, tmp_path):
-    for name, text in (("a.md", "x"), ("sub/b.md", "y"), (".hid/c.md", "z"), ("d.txt", "t"), ("skip/e.md", "e")):
+    for name, text in (("a.md", "x"), ("sub/b.md", "y"), ("d.txt", "t"), ("skip/e.md", "e")):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text(text)
     files = workspace.read_files(spark, str(tmp_path))
     inside, outside = workspace.domain(files, ["skip/", "!skip/keep.md"])
     assert {r.path for r in inside.collect()} == {"a.md", "sub/b.md"}
-    assert {r.path: r.reason for r in outside.collect()} == {".hid/c.md": "dot-segment", "d.txt": "not-markdown", "skip/e.md": "ignored"}
+    assert {r.path: r.reason for r in outside.collect()} == {"d.txt": "not-markdown", "skip/e.md": "ignored"}
+    hidden = spark.createDataFrame([("a/.hid/c.md",)], "path string")
+    assert workspace.domain(hidden, [])[1].first().reason == "dot-segment"
     assert workspace.unmoved(files, files).isEmpty()
 
 

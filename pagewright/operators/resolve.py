@@ -113,3 +113,38 @@ def subpath(resolved: DataFrame, sections: DataFrame, anchors: DataFrame) -> Dat
     keep = resolved.columns
     both = by_head.select(*keep, F.col("head").alias("found")).unionByName(by_block.select(*keep, F.col("tail").alias("found")))
     return both.select(*keep, F.col("found.span_start").alias("dest_start"), F.col("found.span_end").alias("dest_end"))
+
+
+def resolve_refs(asked: DataFrame, corpora: DataFrame, aliases: DataFrame) -> DataFrame:
+    """asked (src_path, ref) with outcome, dest_root and dest_path: an address by the three rules.
+
+    The page of exactly that path, else with .md, else what the link rule picks. corpora: (root, path)
+    of every mounted root, null for the own one; aliases: (root, path, alias). Outcomes: ambient, rooted,
+    not-found, unmounted, malformed.
+    """
+    ref = F.substring_index("ref", "#", 1)
+    peeled = asked.withColumn("dest_root", F.when(is_rooted(ref), F.substring_index(ref, ":", 1))).withColumn("asked_path", F.when(is_rooted(ref), F.regexp_replace(ref, "^[^:]*:", "")).otherwise(ref))
+    mounts = corpora.select(F.col("root").alias("mount"), F.lit(True).alias("mounted")).distinct()
+    known = peeled.join(mounts, F.col("dest_root").eqNullSafe(F.col("mount")), "left").drop("mount")
+    exact = corpora.select(F.col("root").alias("exact_root"), F.col("path").alias("exact"))
+    with_md = corpora.select(F.col("root").alias("md_root"), F.col("path").alias("with_md"))
+    ruled = known.join(exact, F.col("dest_root").eqNullSafe(F.col("exact_root")) & (F.col("asked_path") == F.col("exact")), "left")
+    ruled = ruled.join(with_md, F.col("dest_root").eqNullSafe(F.col("md_root")) & (F.concat("asked_path", F.lit(".md")) == F.col("with_md")), "left")
+    key = spelling(F.col("asked_path"))
+    pages = corpora.select(F.col("root").alias("page_root"), F.col("path").alias("page"), last_segment(F.lower(F.regexp_replace("path", r"(\.md)+$", ""))).alias("base"))
+    left = ruled.where("exact IS NULL AND with_md IS NULL").select("dest_root", key.alias("key"), last_segment(key).alias("base"), directory(F.col("src_path")).alias("src_dir")).distinct()
+    suffix = F.concat(F.col("key"), F.lit(".md"))
+    fits = (F.instr("key", "/") == 0) | (F.lower("page") == suffix) | F.endswith(F.lower("page"), F.concat(F.lit("/"), suffix))
+    by_name = left.join(pages, "base").where(F.col("dest_root").eqNullSafe(F.col("page_root")) & fits).select("dest_root", "key", "src_dir", "page")
+    named = aliases.select(F.col("root").alias("page_root"), F.col("alias").alias("key"), F.col("path").alias("page"))
+    rest = left.join(by_name.select(F.col("dest_root").alias("r"), F.col("key").alias("k")).distinct(), F.col("dest_root").eqNullSafe(F.col("r")) & (F.col("key") == F.col("k")), "left_anti")
+    by_alias = rest.join(named, "key").where(F.col("dest_root").eqNullSafe(F.col("page_root"))).select("dest_root", "key", "src_dir", "page")
+    rank = F.struct((directory(F.col("page")) != F.col("src_dir")).alias("far"), F.octet_length("page").alias("size"), F.col("page"))
+    best = by_name.unionByName(by_alias).groupBy(F.col("dest_root").alias("best_root"), F.col("key").alias("best_key"), F.col("src_dir").alias("best_dir")).agg(F.min(rank).alias("best"))
+    found = ruled.join(best, F.col("dest_root").eqNullSafe(F.col("best_root")) & (key == F.col("best_key")) & (directory(F.col("src_path")) == F.col("best_dir")), "left")
+    dest = F.coalesce("exact", "with_md", "best.page")
+    outcome = (
+        F.when(F.trim(ref) == "", "malformed").when(F.col("dest_root").isNotNull() & F.col("mounted").isNull(), "unmounted")
+        .when(F.instr("asked_path", ":") > 0, "malformed").when(dest.isNull(), "not-found").when(F.col("dest_root").isNull(), "ambient").otherwise("rooted")
+    )
+    return found.select("src_path", "ref", outcome.alias("outcome"), "dest_root", F.when(outcome.isin("ambient", "rooted"), dest).alias("dest_path"))

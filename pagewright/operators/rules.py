@@ -130,8 +130,21 @@ def nearest_layer(layers: DataFrame) -> DataFrame:
     return layers.groupBy("def", "key").agg(F.max_by("value", "depth").alias("value"), F.max("depth").alias("depth"))
 
 
+def nearest_root(paths: DataFrame, roots: DataFrame) -> DataFrame:
+    """paths (path) with the longest of roots (root) that holds each; one equi-join on the path's folders."""
+    parts = F.split("path", "/")
+    folders = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    held = paths.select("path", F.explode(folders).alias("root")).join(roots.select("root").distinct(), "root")
+    return paths.join(held.groupBy("path").agg(F.max_by("root", F.length("root")).alias("root")), "path", "left")
+
+
 def armed_drift(armed: DataFrame, doc: DataFrame) -> DataFrame:
     """(path, state) of armed rule pages (path, file_rev): current, drifted or gone."""
     live = doc.select("path", F.col("file_rev").alias("live_rev"))
     state = F.when(F.col("live_rev").isNull(), "gone").when(F.col("live_rev") != F.col("file_rev"), "drifted").otherwise("current")
     return armed.join(live, "path", "left").select("path", state.alias("state"))
+
+
+def registered(tags: DataFrame) -> DataFrame:
+    """(path, kind) of pages that a tag makes a rule."""
+    return tags.where(F.col("tag").isin("rules/check", "rules/hook", "rules/middleware", "rules/query")).select("path", F.substring_index("tag", "/", -1).alias("kind")).distinct()

@@ -2,7 +2,7 @@ import pytest
 
 from pagewright.functions import lock
 from pagewright.functions.blake3 import digests, hex_digest
-from pagewright.operators import delta, graph, history, merkle, project, relocate, resolve, views
+from pagewright.operators import delta, graph, history, merkle, pins, project, relocate, resolve, rules, views
 from pagewright.plans import sql_door
 from pagewright.sources import scratch, workspace
 
@@ -175,3 +175,60 @@ def test_side_relations(spark):
     assert got["x.base"].views[0].name == "V" and got["y.base"].error and not got["y.base"].views
     assert workspace.canvases(raw.where("path = 'c.canvas'")).first().text == "q.md"
     assert workspace.parse_address("root:a/b.md#H>I") == ("root", "a/b.md", "H>I") and workspace.from_uri(workspace.to_uri("v 1", "a/é.md")) == ("v 1", "a/é.md")
+
+
+def test_colours_of_real_pins(spark):
+    target = "---\nk: 1\n---\n# B\ntext ^x\n\n# C\n# C\n"
+    span = lock.span_fingerprint(b"# B\ntext\n\n")
+    made = [
+        lock.Pin("b", "path", ("B",), span, "0"), lock.Pin("b", "path", ("B",), lock.span_fingerprint(b"old"), "0"), lock.Pin("b", "path", ("C",), span, "0"), lock.Pin("b", "path", ("D",), span, "0"),
+        lock.Pin("b", "properties", ("k",), lock.property_fingerprint({"k": "1"}, ["k"]), "0"), lock.Pin("b", "path", (), "fp1.span2.b3.x", "0"), lock.Pin("b", "path", (), "fp9.a.b.00", "0"), lock.Pin("gone", "path", (), span, "0"), lock.Pin("out.txt", "path", (), span, "0"), lock.Pin("other:b", "path", (), span, "0"),
+        lock.Pin("b", "path", ("^x",), lock.span_fingerprint(b"text"), "0"),
+    ]
+    found = pages(spark, a=f"{lock.render(made)}\n", b=target, c=f"```{lock.LANGUAGE}\nversion: 1\n```\n")
+    ws = views.Workspace(project.parse_pages(found))
+    listing = spark.createDataFrame([("out.txt", "not-markdown")], "path string, reason string")
+    got = {r.seq: (r.tone, r.reason) for r in pins.coloured(ws.lock, ws.lock_fault, found, listing).collect()}
+    assert got == {
+        0: ("green", "green"), 1: ("red", "drifted"), 2: ("grey", "ambiguous"), 3: ("red", "selector-unresolved"), 4: ("green", "green"), 5: ("grey", "malformed-fingerprint"), 6: ("grey", "unverifiable-fingerprint"),
+        7: ("red", "file-not-found"), 8: ("grey", "outside-domain"), 9: ("grey", "unmounted"), 10: ("green", "green"), None: ("grey", "lock-refused"),
+    }
+
+
+def test_addresses(spark):
+    corpora = spark.createDataFrame([(None, "a.md"), (None, "d/b.md"), (None, "e/b.md"), (None, "x"), ("lib", "a.md"), ("lib", "q/z.md")], "root string, path string")
+    aliases = spark.createDataFrame([(None, "a.md", "first"), ("lib", "a.md", "far")], "root string, path string, alias string")
+    asked = spark.createDataFrame([("e/s.md", r) for r in ("a.md", "a", "b", "D/b", "first", "far", "lib:far", "lib:z#H", "no:z", "nope", "#H", "lib:a:b", "x")], "src_path string, ref string")
+    got = {r.ref: (r.outcome, r.dest_path) for r in resolve.resolve_refs(asked, corpora, aliases).collect()}
+    assert got == {
+        "a.md": ("ambient", "a.md"), "a": ("ambient", "a.md"), "b": ("ambient", "e/b.md"), "D/b": ("ambient", "d/b.md"), "first": ("ambient", "a.md"), "far": ("not-found", None), "lib:far": ("rooted", "a.md"),
+        "lib:z#H": ("rooted", "q/z.md"), "no:z": ("unmounted", None), "nope": ("not-found", None), "#H": ("malformed", None), "lib:a:b": ("malformed", None), "x": ("ambient", "x"),
+    }
+
+
+def test_minted_addresses(spark):
+    ws = views.Workspace(project.parse_pages(pages(spark, a="---\nk: 1\n---\n# A\n## B\n## B\nx ^i\n")))
+    asked = spark.createDataFrame([("a.md", *x) for x in (("hpath", '[{"h":"A"}]'), ("hpath", '[{"h":"A"},{"h":"B"}]'), ("hpath", '[{"h":"A"},{"h":"B","n":2}]'), ("anchor", "i"), ("fm_key", "k"), ("fm_key", "no"))], "path string, kind string, address string")
+    got = {(r.kind, r.address): (r.n, r.span_start) for r in pins.minted(asked, ws.section, ws.anchor, ws.frontmatter).collect()}
+    assert [n for n, _ in got.values()].count(1) == 4 and got["hpath", '[{"h":"A"},{"h":"B"}]'] == (2, None) and got["fm_key", "no"] == (0, None)
+
+
+def test_refused_edits(spark):
+    found = pages(spark, a="# A\nx x y\n")
+    ws = views.Workspace(project.parse_pages(found))
+    hpath, rev = '[{"h":"A"}]', ws.section.first().node_rev
+    rows = [("a.md", hpath, rev, "y", 0, 2), ("a.md", hpath, "0", None, 1, 3), ("a.md", hpath, rev, "x", 5, 6), ("a.md", "[]", None, None, 7, 8), ("b.md", None, None, "y", 0, 1)]
+    edits = spark.createDataFrame(rows, "path string, hpath string, rev string, old string, span_start long, span_end long")
+    assert sorted(r.reason for r in relocate.refused(edits, ws.section, found).collect()) == ["ambiguous", "moved", "no-page", "no-section", "overlap"]
+
+
+def test_rules_over_roots(spark):
+    paths = spark.createDataFrame([("a/b/c.md",), ("a/x.md",), ("q.md",)], "path string")
+    roots = spark.createDataFrame([("a",), ("a/b",)], "root string")
+    assert {r.path: r.root for r in rules.nearest_root(paths, roots).collect()} == {"a/b/c.md": "a/b", "a/x.md": "a", "q.md": None}
+    broken = rules.run_query_rule(spark, rules.QueryRule("r", "SELECT nope FROM nothing_there"))
+    assert broken.first().path is None and rules.gate(broken).first().warnings == 1
+    paths.createOrReplaceTempView("doc_for_rules")
+    missed = rules.run_query_rule(spark, rules.QueryRule("r", "SELECT path FROM doc_for_rules WHERE path LIKE 'a/%'", root="a/b", control="q.md"))
+    assert sorted(str(r.path) for r in missed.collect()) == ["None", "a/b/c.md"]
+    assert rules.glob_pattern("a/**/*.md") == "^a/(?:.*/)?[^/]*\\.md$" and rules.pure(["path", "clock_now"]) == ["clock_now"]

@@ -3,8 +3,8 @@
 Two first-order character models, of random strings and of ordinary identifiers, are fitted on
 labelled samples: random ones are drawn from the alphabets that keys use, ordinary ones are words of
 at most `sample_docs` documents, alone and joined as identifiers are. A long token is reported when
-its log-likelihood ratio per character is above the threshold that best parts a held-out share of
-the samples. The model is a table of 66 x 66 numbers in the task's closure. Nothing is shuffled; each
+its log-likelihood ratio per character is above the threshold that best parts held-out samples, whose
+ordinary strings are of words that the model was not fitted on. The model is a table of 66 x 66 numbers in the task's closure. Nothing is shuffled; each
 text is scanned whole, as UTF-8 bytes, and offsets are turned into code points for what is found.
 """
 
@@ -104,12 +104,14 @@ PROGRAM_WORDS = "get set user name value config client server request response i
 def fit(texts: list[str], n: int = SAMPLE_STRINGS, seed: int = SEED) -> Model:
     """The model from labelled samples; `texts` give ordinary words."""
     rng = random.Random(seed)
-    words = [w for t in texts for w in re.findall(r"[A-Za-z]{2,}", t)[:2_000]]
-    words = (rng.sample(words, 20_000) if len(words) > 20_000 else words) + PROGRAM_WORDS * 20
-    keys, names = random_strings(n, rng), identifiers(words, n, rng)
+    words = [w for t in texts for w in re.findall(r"[A-Za-z]{2,}", t)]
+    known = sorted({*words, *PROGRAM_WORDS})
+    held = set(rng.sample(known, len(known) // 5))
+    fitted, unseen = ([w for w in (words or known) if (w in held) == kept] + [w for w in PROGRAM_WORDS if (w in held) == kept] * 20 for kept in (False, True))
     cut = n * 4 // 5
-    ratio = transitions(keys[:cut]) - transitions(names[:cut])
-    labelled = sorted([(score(ratio, s), 1) for s in keys[cut:]] + [(score(ratio, s), 0) for s in names[cut:]])
+    keys, names, others = random_strings(n, rng), identifiers(fitted, cut, rng), identifiers(unseen, n - cut, rng)
+    ratio = transitions(keys[:cut]) - transitions(names)
+    labelled = sorted([(score(ratio, s), 1) for s in keys[cut:]] + [(score(ratio, s), 0) for s in others])
     wrong = best = sum(1 for _, y in labelled if not y) * 20  # an ordinary string reported costs as much as 20 missed
     threshold = labelled[0][0] - 1
     for (value, y), (following, _) in zip(labelled, [*labelled[1:], (labelled[-1][0] + 1, 1)]):

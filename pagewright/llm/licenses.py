@@ -76,8 +76,8 @@ RULES = (
 
 #: A line end, or space after a mark that ends a sentence.
 BREAK = r"\n+|(?<=[.!?])\s+"
-#: Every known sentence holds one of these; a text without them has no known sentence.
-HINTS = ("licen", "copyright", "software", "redistribut", "apache", "public domain", "rights reserved")
+#: Every known sentence holds one of these parts of words; a text without them has no known sentence.
+HINTS = ("licen", "copyright", "software", "redistribut", "apache", "warrant", "domain", "reserved")
 #: Lengths of the known sentences; a much longer line, marks included, isn't normalised.
 SHORTEST, LONGEST = min(map(len, SENTENCES.values())), 4 * max(map(len, SENTENCES.values()))
 

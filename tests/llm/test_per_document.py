@@ -9,6 +9,7 @@ import pytest
 from conftest import ODD, as_docs, prose
 
 from pagewright.llm import decontaminate, licenses, quality, secret_scan, token_counts
+from pagewright.llm.common import sample_texts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -104,8 +105,8 @@ def test_base_secrets(spark, odd, nothing):
     assert secret_scan.secret_scan(nothing).count() == 0
 
 
-def test_markov_model_on_held_out_strings():
-    model = secret_scan.fit(texts(200, 3))
+def test_markov_model_on_held_out_strings(spark, sf_dir):
+    model = secret_scan.fit(sample_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), secret_scan.SAMPLE_DOCS))
     rng = random.Random(99)
     keys = secret_scan.random_strings(2000, rng)
     names = [s for s in secret_scan.identifiers(["window", "handle", "buffer", "cache", "token", "thread"] + WORDS_HELD, 4000, rng) if len(s) >= secret_scan.TOKEN_LENGTH]

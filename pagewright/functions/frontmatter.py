@@ -145,7 +145,7 @@ def wikilinks(block: str, found: list[Entry]) -> list[tuple[str, str]]:
     return [(e.key, m[1]) for e in found for line in lines[e.line : e.last + 1] for m in WIKILINK.finditer(line)]
 
 
-class _Strict(yaml.SafeLoader):
+class _Strict(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
     """Refuses a key that occurs twice."""
 
 

@@ -29,3 +29,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_kept: dict[tuple, tuple[str, DataFrame]] = {}
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
+
+
+def kept(spark: SparkSession, key: tuple, make, name: str) -> DataFrame:
+    """The table that `make` gives, written once per application and key, and again if it is gone."""
+    whole = (spark.sparkContext.applicationId, *key)
+    path, df = _kept.get(whole, ("", None))
+    if df is None or not exists(spark, f"{path}/_SUCCESS"):
+        path = new_folder(spark, name)
+        make().write.option("compression", "zstd").parquet(path)
+        df = spark.read.parquet(path)
+        _kept[whole] = (path, df)
+    return df

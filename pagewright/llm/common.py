@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: The six characters that separate words; bytes.split() separates at exactly these.
@@ -42,6 +47,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return kept
 
 
+def materialise_counted(df: DataFrame, name: str, condition: Column) -> tuple[DataFrame, int]:
+    """materialise(), and the rows that meet the condition, counted as they are written."""
+    seen = Observation(f"{name}-{uuid.uuid4().hex}")
+    kept = materialise(df.observe(seen, F.count_if(condition).alias("n")), name)
+    return kept, seen.get.get("n") or 0
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables that materialise() wrote and that nothing reads any more."""
     for t in tables:
@@ -64,6 +76,20 @@ def as_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [b"" if x is None else x for x in batch.column(name).cast(pa.large_binary()).to_pylist()]
 
 
+def small(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about `most` bytes of a text column, so that a worker holds little at a
+    time; what the worker has freed goes back to the system at the end of its task."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        piece = np.cumsum(sizes.astype(np.int64) + 1) // most
+        edges = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
+        for a, b in zip(edges, edges[1:]):
+            yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def sample_texts(docs: DataFrame, most: int, most_bytes: int = 20_000) -> list[str]:
     """At most `most` texts of at most `most_bytes` bytes each, from as few partitions as hold them."""
     rows = docs.select("text").where(F.octet_length("text") <= most_bytes).limit(most).collect()

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import as_bytes, materialise, release, small_side
+from pagewright.llm.common import as_bytes, materialise, release, small, small_side
 from pagewright.llm.links import Bound, link_components
 from pagewright.llm.shingles import mixed, set_hash, shingle_set
 
@@ -78,8 +78,11 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+SIGNED = "doc_id long, n_shingles long, text_hash long, item long, keys array<long>"
+
+
 def sign(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         sizes, items, keys = [], [], []
         for text in as_bytes(batch, "text"):
             shingles = shingle_set(words_of(text), width)
@@ -88,59 +91,69 @@ def sign(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterato
             keys.append(bucket_keys(shingles, percent))
         offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(items, pa.int64()), lists], ["doc_id", "n_shingles", "item", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), batch.column("text_hash"), pa.array(items, pa.int64()), lists], [x.split()[0] for x in SIGNED.split(", ")])
 
 
 def sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         found = [shingle_set(words_of(text), width) for text in as_bytes(batch, "text")]
         yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["item", "set"])
 
 
-def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Per row of `docs` (doc_id, text, any others): doc_id, n_shingles, component_id (the smallest
-    doc_id that links reach, its own included).
-
-    A text of fewer than `width` words has its whole sequence as one shingle. Null texts and texts
-    without words have no shingles, link with nothing and keep their own id. Rows that repeat a doc_id
-    are items of their own; a null doc_id takes its component's id, if any.
-    """
-    marked = materialise(docs.select("doc_id", "text").mapInArrow(lambda b: sign(b, width, percent), "doc_id long, n_shingles long, item long, keys array<long>"), "jaccard-marked")
+def labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Per row of `docs`: doc_id, n_shingles, text_hash, group (a name of its component) and component_id."""
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    marked = materialise(hashed.mapInArrow(lambda b: sign(b, width, percent), SIGNED), "jaccard-marked")
     signed = materialise(marked.drop("keys"), "jaccard-signed")
-    keyed = materialise(marked.where("item IS NOT NULL").groupBy("item").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("keys").alias("keys")), "jaccard-keyed")
-    release(marked)
-    classes = materialise(keyed.drop("keys"), "jaccard-items")
+    classes = materialise(signed.where("item IS NOT NULL").groupBy("item").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies")), "jaccard-items")
     texts = docs.select("doc_id", "text")
 
     def sets_of(items: DataFrame) -> DataFrame:
         wanted = materialise(classes.join(items, "item", "left_semi").select("item", F.col("least_id").alias("wanted_id")), "jaccard-wanted")
         n = wanted.count()
         ids = small_side(wanted.select("wanted_id").distinct(), n)
-        hashed = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").mapInArrow(lambda b: sets(b, width), "item long, set binary")
-        release(keyed)
-        return hashed.join(small_side(wanted.select("item"), n), "item", "left_semi").dropDuplicates(["item"])
+        found = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").mapInArrow(lambda b: sets(b, width), "item long, set binary")
+        release(marked)
+        return found.join(small_side(wanted.select("item"), n), "item", "left_semi").dropDuplicates(["item"])
 
-    linked = link_components(keyed.select("item", F.explode("keys").alias("key")), sets_of, Bound(percent), "jaccard")
+    linked = link_components(marked.select("item", F.explode("keys").alias("key")), sets_of, Bound(percent), "jaccard")
     named = linked.join(classes.select("item", "least_id"), "item")
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    grouped = linked.join(least, "component").select("item", "component_id")
-    several = classes.select("item", "least_id", "copies").join(grouped, "item", "left").where("copies > 1 OR component_id IS NOT NULL")
-    labels = several.select("item", F.coalesce("component_id", "least_id").alias("component_id"))
-    return signed.select("doc_id", "n_shingles", "item").join(labels, "item", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    grouped = linked.join(least, "component").select("item", "component", "component_id")
+    several = classes.select("item", "least_id", "copies").join(grouped, "item", "left").where("copies > 1 OR component IS NOT NULL")
+    labels = materialise(several.select("item", F.coalesce("component", "item").alias("group"), F.coalesce("component_id", "least_id").alias("component_id")), "jaccard-named")
+    return signed.join(small_side(labels, labels.count()), "item", "left").select("doc_id", "n_shingles", "text_hash", "group", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """Per row of `docs` (doc_id, text, any others): doc_id, n_shingles, component_id (the smallest
+    doc_id that links reach, its own included).
+
+    A text of fewer than `width` words has its whole sequence as one shingle. Null texts and texts
+    without words have no shingles, link with nothing and keep their own id. Rows that repeat a doc_id
+    are items of their own; a null doc_id takes its component's id, if any.
+    """
+    return labelled(docs, width, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The rows of `docs`, with all their columns, less those whose component has a smaller doc_id.
+    """The rows of `docs`, with all their columns, less all but one of each component: that with the
+    smallest doc_id stays, a null one only where there is no other. Texts without words all stay.
 
-    Rows that repeat the kept doc_id in one component count as copies too: one of each such text stays.
+    Rows are told apart by doc_id and a hash of the text, so one that shares only its doc_id with a copy
+    stays; of rows that repeat both, one stays.
     """
-    labels = materialise(jaccard_components(docs, width, percent), "jaccard-labels")
-    gone = materialise(labels.where("component_id <> doc_id").select("doc_id").distinct(), "jaccard-gone")
-    kept = docs.join(small_side(gone, gone.count()), "doc_id", "left_anti").select(docs.columns)
-    again = labels.where("component_id = doc_id AND n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    again = materialise(again, "jaccard-again")
-    if again.isEmpty():
-        return kept
-    ids = small_side(again, again.count())
-    once = kept.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return kept.join(ids, "doc_id", "left_anti").select(docs.columns).union(once)
+    rows = materialise(labelled(docs, width, percent).where("group IS NOT NULL"), "jaccard-labels")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    kept = rows.groupBy("group").agg(F.min(order).alias("kept"))
+    marked = rows.join(kept, "group").select(F.col("doc_id").alias("__its_id"), F.col("text_hash").alias("__its_hash"), (order == F.col("kept")).alias("stays"))
+    marked = materialise(marked.groupBy("__its_id", "__its_hash", "stays").agg(F.count("*").alias("times")), "jaccard-marked")
+    gone, again = (marked.where(x).select("__its_id", "__its_hash") for x in ("NOT stays", "stays AND times > 1"))
+    n_gone, n_again = (x.count() for x in (gone, again))
+    same = F.col("doc_id").eqNullSafe(F.col("__its_id")) & F.xxhash64("text").eqNullSafe(F.col("__its_hash"))
+    left = docs.join(small_side(gone, n_gone), same, "left_anti")
+    if not n_again:
+        return left
+    twice = small_side(again, n_again)
+    once = left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(twice, same, "left_anti").unionByName(once)

@@ -24,10 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import materialise, release
+from pagewright.llm.common import materialise, materialise_counted, release, small_side
 from pagewright.llm.shingles import bitmap, common, folded
 
 TILE = 2_048
+HOT_ROWS = 1_000_000
+SAMPLE = 64
 
 
 class Bound(NamedTuple):
@@ -126,10 +128,25 @@ def compare_tiles(batches: Iterator[pa.RecordBatch], bound: Bound) -> Iterator[p
         yield from compared(held)
 
 
-def members(keyed: DataFrame) -> DataFrame:
-    """Of (item, key) rows, those of buckets with two items or more, with first, the bucket's smallest item."""
-    shared = keyed.groupBy("key").agg(F.min("item").alias("first"), F.max("item").alias("last")).where("first < last").select("key", "first")
-    return keyed.join(shared.hint("shuffle_hash"), "key")
+def members(keyed: DataFrame, name: str) -> DataFrame:
+    """Of (item, key) rows, once each, those of buckets with two items or more, with first, the bucket's smallest item.
+
+    One shuffle brings a bucket's rows together. Buckets of some HOT_ROWS rows, found on one item in
+    SAMPLE, don't take part: their smallest items come from partial sums and go to the rows instead.
+    """
+    sampled = keyed.where(F.pmod(F.xxhash64("item"), F.lit(SAMPLE)) == 0).groupBy("key").agg(F.count("*").alias("n"))
+    hot = materialise(sampled.where(F.col("n") >= HOT_ROWS // SAMPLE).select("key"), f"{name}-hot")
+    n_hot = hot.count()
+    ends = (F.min("item").alias("first"), F.max("item").alias("last"))
+    rest = keyed if not n_hot else keyed.join(small_side(hot, n_hot), "key", "left_anti")
+    dealt_rows = rest.repartition("key")
+    shared = dealt_rows.groupBy("key").agg(*ends).where("first < last").select("key", "first")
+    met = dealt_rows.join(shared.hint("shuffle_hash"), "key").groupBy("key", "item", "first").agg(F.count("*").alias("n")).drop("n")
+    if not n_hot:
+        return met
+    own = keyed.join(small_side(hot, n_hot), "key", "left_semi")
+    firsts = materialise(own.groupBy("key").agg(*ends).where("first < last").select("key", "first"), f"{name}-firsts")
+    return met.unionByName(keyed.join(small_side(firsts, n_hot), "key").select("key", "item", "first").distinct())
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -138,26 +155,28 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     Every item points at its smallest neighbour or itself; the pointers are followed to their ends, the
     edges are drawn between those ends, and so on until none is left between two of them.
     """
-    edges = materialise(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), f"{name}-edges")
-    ends = edges.select(F.col("a").alias("item")).union(edges.select("b")).distinct()
-    labels = materialise(ends.select("item", F.col("item").alias("component")), f"{name}-labels")
-    while not edges.isEmpty():
+    edges, n = materialise_counted(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), f"{name}-edges", F.lit(True))
+    labels = edges.select(F.col("a").alias("item")).union(edges.select("b")).distinct().withColumn("component", F.col("item"))
+    while n:
         both = edges.select("a", "b").union(edges.select("b", "a"))
         pointers = materialise(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("item"), F.least("a", "b").alias("to")), f"{name}-pointers")
-        while True:
+        moved = 1
+        while moved:
             ahead = pointers.select(F.col("item").alias("to"), F.col("to").alias("beyond"))
-            followed = materialise(pointers.join(ahead, "to").select("item", "to", "beyond"), f"{name}-followed")
-            moved = not followed.where("to <> beyond").isEmpty()
+            followed, moved = materialise_counted(pointers.join(ahead, "to").select("item", "to", "beyond"), f"{name}-followed", F.col("to") != F.col("beyond"))
             pointers = followed.select("item", F.col("beyond").alias("to"))
-            if not moved:
-                break
-        named = pointers.select(F.col("item").alias("component"), "to")
-        labels = materialise(labels.join(named, "component", "left").select("item", F.coalesce("to", "component").alias("component")), f"{name}-labels")
+        labels = materialise(relabelled(labels, pointers), f"{name}-labels")
         at_a, at_b = (pointers.select(F.col("item").alias(x), F.col("to").alias(f"to_{x}")) for x in "ab")
-        edges = materialise(edges.join(at_a, "a").join(at_b, "b").where("to_a <> to_b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(), f"{name}-edges")
+        drawn = edges.join(at_a, "a").join(at_b, "b").where("to_a <> to_b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct()
+        edges, n = materialise_counted(drawn, f"{name}-edges", F.lit(True))
     return labels
 
 
+def relabelled(labels: DataFrame, named: DataFrame) -> DataFrame:
+    """(item, component) with the components that named (item, to) knows renamed."""
+    return labels.join(named.select(F.col("item").alias("component"), "to"), "component", "left").select("item", F.coalesce("to", "component").alias("component"))
+
+
 def once_each(unresolved: DataFrame) -> DataFrame:
     """Of buckets (key, item, component) with the same items, one."""
     held = unresolved.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("item").cast("decimal(38,0)")).alias("sum"))
@@ -189,11 +208,11 @@ def add_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def link_components(keyed: DataFrame, sets_of, bound: Bound, name: str) -> DataFrame:
-    """(item, component) of the items that link with another one; keyed: (item, key), rows without repeats.
+    """(item, component) of the items that link with another one; keyed: (item, key), whose rows may repeat.
 
     sets_of(items) gives (item, set: its sorted shingle hashes as bytes) of a frame of items, once each.
     """
-    met = materialise(members(keyed).select("key", "item", "first"), f"{name}-met")
+    met = materialise(members(keyed, name).select("key", "item", "first"), f"{name}-met")
     sets = materialise(sets_of(met.select("item").distinct()), f"{name}-sets")
     best = W.partitionBy("a").orderBy(F.desc("n"), "b")
     stars = (
@@ -207,13 +226,15 @@ def link_components(keyed: DataFrame, sets_of, bound: Bound, name: str) -> DataF
     labelled = materialise(met.select("key", "item").join(labels, "item", "left").select("key", "item", F.coalesce("component", "item").alias("component")), f"{name}-labelled")
     release(met)
     several = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    unresolved = materialise(once_each(labelled.join(several, "key", "left_semi")), f"{name}-unresolved")
-    if unresolved.isEmpty():
+    unresolved, n = materialise_counted(once_each(labelled.join(several, "key", "left_semi")), f"{name}-unresolved", F.lit(True))
+    if not n:
         return labels
     bits = sets.mapInArrow(add_bits, "item long, size long, bits binary")
-    allowed = materialise(compared(dealt(unresolved).join(bits, "item"), bound).select(F.col("component_a").alias("a"), F.col("component_b").alias("b")), f"{name}-allowed")
+    allowed = compared(dealt(unresolved).join(bits, "item"), bound).select(F.col("component_a").alias("a"), F.col("component_b").alias("b"))
     groups = components(allowed, f"{name}-groups").select(F.col("item").alias("component"), F.col("component").alias("key"))
-    grouped = unresolved.select("item", "component").distinct().join(groups, "component").select("key", "item", "component")
+    grouped = materialise(unresolved.select("item", "component").distinct().join(groups, "component").select("key", "item", "component"), f"{name}-grouped")
     whole = sets.select("item", (F.octet_length("set") / 8).cast("long").alias("size"), "set")
-    more = compared(dealt(materialise(grouped, f"{name}-grouped")).join(whole, "item"), bound)
-    return components(links.union(more.select("a", "b")), name)
+    more = compared(dealt(grouped).join(whole, "item"), bound).select(F.col("component_a").alias("a"), F.col("component_b").alias("b"))
+    joined = components(more, name)
+    alone = joined.join(labels.select(F.col("component").alias("item")).distinct(), "item", "left_anti").select("item", F.col("item").alias("component"))
+    return relabelled(labels.unionByName(alone), joined.select("item", F.col("component").alias("to")))

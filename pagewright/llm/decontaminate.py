@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
-from pagewright.llm.common import as_bytes
+from pagewright.llm.common import as_bytes, small
 
 WIDTH = 10
 BLOCK_WORDS = 2_000_000
@@ -163,19 +163,18 @@ def shards(texts: list[bytes]) -> Iterator[list[list[bytes]]]:
         yield shard
 
 
-def search_batches(batches: Iterator[pa.RecordBatch], windows: Windows) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [x for shard in shards(as_bytes(batch, "text")) for x in search_shard(shard, windows)]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id").cast(pa.int64()),
-                pa.array([x[0] for x in found], pa.int64()),
-                pa.array([x[1] for x in found], pa.int64()),
-                pa.array([[{"start": a, "end": b} for a, b in x[2]] for x in found], _SPANS),
-                pa.array([sorted(windows.item_ids[i] for i in x[3]) for x in found], pa.list_(pa.string())),
-            ],
-            ["doc_id", "n_words", "n_hit", "spans", "items"],
-        )
+def search_batch(batch: pa.RecordBatch, windows: Windows) -> pa.RecordBatch:
+    found = [x for shard in shards(as_bytes(batch, "text")) for x in search_shard(shard, windows)]
+    return pa.RecordBatch.from_arrays(
+        [
+            batch.column("doc_id").cast(pa.int64()),
+            pa.array([x[0] for x in found], pa.int64()),
+            pa.array([x[1] for x in found], pa.int64()),
+            pa.array([[{"start": a, "end": b} for a, b in x[2]] for x in found], _SPANS),
+            pa.array([sorted(windows.item_ids[i] for i in x[3]) for x in found], pa.list_(pa.string())),
+        ],
+        ["doc_id", "n_words", "n_hit", "spans", "items"],
+    )
 
 
 def item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[object, bytes]]]:
@@ -215,11 +214,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH
     rows = docs.select("doc_id", "text")
     blocks = send_blocks(benchmark, width, block_words)
     if len(blocks) == 1:
-        return rows.mapInArrow(lambda b: search_batches(b, blocks[0].value), SCHEMA)
+        return rows.mapInArrow(lambda batches: (search_batch(b, blocks[0].value) for b in small(batches)), SCHEMA)
 
     def search_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [next(search_batches(iter([batch]), windows)) for windows in one_by_one(blocks)]
+        for batch in small(batches):
+            parts = [search_batch(batch, windows) for windows in one_by_one(blocks)]
             merged = []
             for column in zip(*(p.to_pylist() for p in parts)):
                 spans = sorted((s["start"], s["end"]) for row in column for s in row["spans"])
@@ -235,7 +234,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, blo
     blocks = send_blocks(benchmark, width, block_words)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             clean = np.ones(batch.num_rows, bool)
             for windows in one_by_one(blocks):
                 clean &= [x[1] == 0 for shard in shards(as_bytes(batch, "text")) for x in search_shard(shard, windows)]

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pagewright.llm.common import SPACES, as_bytes, sample_texts
+from pagewright.llm.common import SPACES, as_bytes, sample_texts, small
 
 SYMBOLS = b"#*$%&|<>"
 SAMPLE_DOCS = 1_000
@@ -31,7 +31,7 @@ SAMPLE_DOCS = 1_000
 _CONTINUATION = bytes(range(0x80, 0xC0))
 _LETTERS = bytes(x for x in range(256) if x >= 0x80 or chr(x).isalpha())
 _NO_LETTERS = bytes(x for x in range(256) if x not in _LETTERS and x not in SPACES)
-_VOCABULARY = 1 << 20
+_VOCABULARY = 1 << 18
 
 _word_ids: defaultdict = defaultdict(count().__next__)
 
@@ -153,7 +153,7 @@ def quality_filter(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_docs:
     ordered = cascade(docs, rules, sample_docs)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             yield batch.filter(pa.array([passes(Measures(t), ordered) for t in as_bytes(batch, "text")], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
@@ -171,7 +171,7 @@ def quality_report(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_docs:
     ordered = cascade(docs, rules, sample_docs)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for text in as_bytes(batch, "text"):
                 m = Measures(text)

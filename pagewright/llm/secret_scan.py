@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pagewright.llm.common import as_bytes, sample_texts
+from pagewright.llm.common import as_bytes, sample_texts, small
 
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
@@ -154,7 +154,7 @@ SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_markov long,
 
 
 def scan_batches(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         rows = []
         for text in as_bytes(batch, "text"):
             base = base_spans(text)

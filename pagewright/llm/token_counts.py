@@ -20,14 +20,14 @@ from pyspark import SparkContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import sample_texts
+from pagewright.llm.common import sample_texts, small
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
 SAMPLE_DOCS = 2_000
 TABLE_SIZE = 32_768
 MAX_PART = 48
-CACHE_PARTS = 400_000
+CACHE_PARTS = 250_000
 STEP_CHARS = 1 << 20
 
 SPACE = "▁"
@@ -92,7 +92,7 @@ def count_batches(batches: Iterator[pa.RecordBatch], model: str, table) -> Itera
         _caches.clear()
         _caches[key] = (frequent := unpack(table.value), dict(frequent))
     frequent, cache = _caches[key]
-    for batch in batches:
+    for batch in small(batches):
         texts = batch.column("text").to_pylist()
         counts: list[int] = []
         at = 0

@@ -29,7 +29,7 @@ from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import materialise, new_folder
+from pagewright.llm.common import materialise, new_folder, small
 from pagewright.llm.files import open_read, write_whole
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -41,7 +41,7 @@ KEY = "order-1"
 ROUNDS = 6
 ID = np.dtype("<u2")
 
-CACHE_PARTS = 400_000
+CACHE_PARTS = 250_000
 MAX_PART = 48
 STEP_CHARS = 1 << 20
 BESIDE_SPACE = re.compile(r"\s | \s|^ | $")
@@ -152,7 +152,7 @@ def encoder(name: str) -> Encoder:
 
 def encode_batches(batches: Iterator[pa.RecordBatch], ranks: str) -> Iterator[pa.RecordBatch]:
     packer = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
+    for batch in small(batches):
         texts = [t or "" for t in batch.column("text").to_pylist()]
         doc_ids, at = batch.column("doc_id").cast(pa.int64()), 0
         while at < len(texts):

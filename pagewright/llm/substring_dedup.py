@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import as_bytes, materialise, release, small_side
+from pagewright.llm.common import as_bytes, materialise, release, small, small_side
 from pagewright.llm.links import Bound, link_components
-from pagewright.llm.shingles import mixed, set_hash, windows, word_hashes
+from pagewright.llm.shingles import mixed, windows, word_hashes
 
 WIDTH = 5
 PERCENT = 80
@@ -35,7 +36,8 @@ LONG_LINE = 64
 REACH = 8
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_SALT = np.uint64(0xD1B54A32D192ED03)
+STEP_BYTES = 1 << 18
+_SALT, _SET = np.uint64(0xD1B54A32D192ED03), np.uint64(0x9FB21C651E98DF25)
 
 
 def tuned_bands(similarity: float, recall: float, most: int) -> tuple[int, int]:
@@ -47,30 +49,93 @@ def tuned_bands(similarity: float, recall: float, most: int) -> tuple[int, int]:
     raise ValueError(f"{most} bands can't reach a recall of {recall} at a similarity of {similarity}")
 
 
-def cuts(hashes: np.ndarray) -> np.ndarray:
-    """Places before which a long line is cut: where a word pair's hash is the least around."""
-    pairs = mixed(hashes[:-1] * _SALT + hashes[1:])
-    if len(pairs) <= 2 * REACH:
-        return np.empty(0, np.int64)
-    around = np.lib.stride_tricks.sliding_window_view(pairs, 2 * REACH + 1)
-    return np.flatnonzero(around.argmin(1) == REACH) + REACH + 1
+class Paragraphs(NamedTuple):
+    """Paragraphs of several texts: whose they are, where they lie, and their shingles one after the other."""
 
+    text: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    n_words: np.ndarray
+    item: np.ndarray
+    shingles: np.ndarray
+    begins: np.ndarray
 
-def paragraphs(text: bytes, width: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(start, end, word hashes) of each paragraph of `width` words or more; offsets in bytes."""
-    at = 0
-    for line in text.split(b"\n"):
-        words = line.lower().split()
-        if len(words) > LONG_LINE:
-            hashes = word_hashes(words)
+
+def cuts(hashes: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Words before which long lines (from begins to ends) are cut: where a word pair's hash is the least around."""
+    pairs = mixed(hashes[:-1] * _SALT + hashes[1:])
+    if len(pairs) <= 2 * REACH or not len(begins):
+        return np.empty(0, np.int64)
+    places = np.concatenate([np.arange(a + REACH, b - 1 - REACH) for a, b in zip(begins, ends)])
+    around = np.lib.stride_tricks.sliding_window_view(pairs, 2 * REACH + 1)[places - REACH]
+    return places[around.argmin(1) == REACH] + 1
+
+
+def spread(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers from each begin on, `length` of them, one run after the other."""
+    return np.repeat(begins - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+
+
+def paragraphs(texts: list[bytes], width: int) -> Paragraphs:
+    """The paragraphs of `width` words or more; offsets are bytes of their text."""
+    words: list[bytes] = []
+    owner, first, count, start, end, long_lines = [], [], [], [], [], []
+    for n, text in enumerate(texts):
+        at = 0
+        for line in text.split(b"\n"):
+            found = line.lower().split()
+            if len(found) >= width:
+                if len(found) > LONG_LINE:
+                    long_lines.append((len(owner), at, line))
+                owner.append(n)
+                first.append(len(words))
+                count.append(len(found))
+                start.append(at + len(line) - len(line.lstrip()))
+                end.append(at + len(line.rstrip()))
+                words += found
+            at += len(line) + 1
+    hashes = word_hashes(words)
+    columns = [np.array(x, np.int64) for x in (owner, first, count, start, end)]
+    if long_lines:
+        rows = np.array([x[0] for x in long_lines])
+        begins, ends = columns[1][rows], columns[1][rows] + columns[2][rows]
+        inner = cuts(hashes, begins, ends)
+        pieces: list[tuple[int, ...]] = []
+        for (row, at, line), a, b in zip(long_lines, begins.tolist(), ends.tolist()):
+            edges = [a, *inner[np.searchsorted(inner, a) : np.searchsorted(inner, b)].tolist(), b]
             places = [(m.start(), m.end()) for m in WORD.finditer(line)]
-            edges = [0, *cuts(hashes).tolist(), len(words)]
-            for a, b in zip(edges, edges[1:]):
-                if b - a >= width:
-                    yield at + places[a][0], at + places[b - 1][1], hashes[a:b]
-        elif len(words) >= width:
-            yield at + len(line) - len(line.lstrip()), at + len(line.rstrip()), word_hashes(words)
-        at += len(line) + 1
+            pieces += [(owner[row], x, y - x, at + places[x - a][0], at + places[y - 1 - a][1]) for x, y in zip(edges, edges[1:]) if y - x >= width]
+        whole = np.ones(len(owner), bool)
+        whole[rows] = False
+        columns = [np.concatenate([c[whole], np.array([p[i] for p in pieces], np.int64)]) for i, c in enumerate(columns)]
+        order = np.argsort(columns[1], kind="stable")
+        columns = [c[order] for c in columns]
+    text, first_word, n_words, start_at, end_at = columns
+    if not len(text):
+        return Paragraphs(*[np.empty(0, np.int64)] * 5, np.empty(0, np.uint64), np.empty(0, np.int64))
+    sizes = n_words - width + 1
+    shingles = windows(hashes, width)[spread(first_word, sizes)]
+    number = np.repeat(np.arange(len(text)), sizes)
+    order = np.lexsort((shingles, number))
+    shingles, number = shingles[order], number[order]
+    once = np.r_[True, (shingles[1:] != shingles[:-1]) | (number[1:] != number[:-1])]
+    shingles, number = shingles[once], number[once]
+    begins = np.searchsorted(number, np.arange(len(text)))
+    held = np.diff(np.r_[begins, len(shingles)]).astype(np.uint64)
+    item = mixed(np.add.reduceat(mixed(shingles ^ _SET), begins) + held).view(np.int64)
+    return Paragraphs(text, start_at, end_at, n_words, item, shingles, begins)
+
+
+def steps(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """Texts in runs of some hundred kilobytes, each with the number of its first."""
+    at = 0
+    while at < len(texts):
+        end, held = at, 0
+        while end < len(texts) and held < STEP_BYTES:
+            held += len(texts[end]) + 1
+            end += 1
+        yield at, texts[at:end]
+        at = end
 
 
 class Minhash:
@@ -104,35 +169,31 @@ def code_points(text: bytes, offsets: np.ndarray) -> np.ndarray:
 
 
 def sign(batches: Iterator[pa.RecordBatch], width: int, hashing: Minhash) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, numbers, spans, sizes, sets = [], [], [], [], []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch, "text")):
-            found = list(paragraphs(text, width))
-            if not found:
+    for batch in small(batches):
+        ids = batch.column("doc_id").cast(pa.int64())
+        for first, texts in steps(as_bytes(batch, "text")):
+            found = paragraphs(texts, width)
+            if not len(found.text):
                 continue
-            ids += [doc_id] * len(found)
-            numbers += range(len(found))
-            spans.append(code_points(text, np.array([x[:2] for x in found], np.int64)))
-            sizes += [len(x[2]) for x in found]
-            sets += [np.unique(windows(x[2], width)) for x in found]
-        if not ids:
-            continue
-        lengths = np.array([len(s) for s in sets])
-        keys = hashing.keys(np.concatenate(sets), np.cumsum(lengths) - lengths)
-        place = np.concatenate(spans).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * hashing.bands), pa.array(keys.ravel()))
-        columns = [pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(place[:, 0]), pa.array(place[:, 1]), pa.array(sizes, pa.int32()), pa.array([set_hash(s) for s in sets], pa.int64()), lists]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "paragraph", "start", "end", "n_words", "item", "keys"])
+            keys = hashing.keys(found.shingles, found.begins)
+            number = np.arange(len(found.text)) - np.searchsorted(found.text, found.text)
+            place = np.stack([found.start, found.end], 1)
+            for n in np.unique(found.text).tolist():
+                if not texts[n].isascii():
+                    own = slice(np.searchsorted(found.text, n), np.searchsorted(found.text, n, "right"))
+                    place[own] = code_points(texts[n], place[own])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(number) + 1, dtype=np.int32) * hashing.bands), pa.array(keys.ravel()))
+            columns = [ids.take(pa.array(found.text + first)), *(pa.array(x.astype(np.int32)) for x in (number, place[:, 0], place[:, 1], found.n_words)), pa.array(found.item), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "paragraph", "start", "end", "n_words", "item", "keys"])
 
 
 def paragraph_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found: dict[int, bytes] = {}
-        for text in as_bytes(batch, "text"):
-            for _, _, words in paragraphs(text, width):
-                shingles = np.unique(windows(words, width))
-                found[set_hash(shingles)] = shingles.tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.binary())], ["item", "set"])
+    for batch in small(batches):
+        for _, texts in steps(as_bytes(batch, "text")):
+            found = paragraphs(texts, width)
+            ends = np.r_[found.begins[1:], len(found.shingles)]
+            sets = {i: found.shingles[a:b].tobytes() for i, a, b in zip(found.item.tolist(), found.begins.tolist(), ends.tolist())}
+            yield pa.RecordBatch.from_arrays([pa.array(sets.keys(), pa.int64()), pa.array(sets.values(), pa.binary())], ["item", "set"])
 
 
 def repeated_passages(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -149,19 +210,16 @@ def repeated_passages(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     texts = docs.select("doc_id", "text")
     marked = materialise(texts.mapInArrow(lambda b: sign(b, width, hashing), SIGNED), "paragraphs-marked")
     signed = materialise(marked.drop("keys"), "paragraphs")
-    once = marked.groupBy("item").agg(F.min("doc_id").alias("least_id"), F.max("doc_id").alias("most_id"), F.first("keys").alias("keys"))
-    keyed = materialise(once, "paragraphs-keyed")
-    release(marked)
-    classes = materialise(keyed.drop("keys"), "paragraph-items")
+    classes = materialise(signed.groupBy("item").agg(F.min("doc_id").alias("least_id"), F.max("doc_id").alias("most_id")), "paragraph-items")
 
     def sets_of(items: DataFrame) -> DataFrame:
         wanted = materialise(classes.join(items, "item", "left_semi").select("item", F.col("least_id").alias("wanted_id")), "paragraphs-wanted")
         ids = materialise(wanted.select("wanted_id").distinct(), "paragraphs-docs")
-        release(keyed)
+        release(marked)
         hashed = texts.join(small_side(ids, ids.count()), F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").mapInArrow(lambda b: paragraph_sets(b, width), "item long, set binary")
         return hashed.join(small_side(wanted.select("item"), wanted.count()), "item", "left_semi").dropDuplicates(["item"])
 
-    linked = link_components(keyed.select("item", F.explode("keys").alias("key")), sets_of, Bound(percent), "paragraphs")
+    linked = link_components(marked.select("item", F.explode("keys").alias("key")), sets_of, Bound(percent), "paragraphs")
     every = classes.select("item", "least_id", "most_id").join(linked, "item", "left").withColumn("group_id", F.coalesce("component", "item"))
     spread = every.groupBy("group_id").agg(F.min("least_id").alias("kept_doc_id"), F.max("most_id").alias("most_id")).where("kept_doc_id < most_id").select("group_id", "kept_doc_id")
     grouped = materialise(every.join(spread, "group_id").select("item", "group_id", "kept_doc_id"), "paragraph-groups")
@@ -179,9 +237,9 @@ def remove_passages(docs: DataFrame, **options) -> DataFrame:
     """`docs`, with all their columns, less the removed paragraphs of their texts."""
     spans = repeated_passages(docs, **options).where("removed").select("doc_id", F.struct("start", "end").alias("span")).distinct()
     gone = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list("span")).alias("gone"))
-    named = gone.withColumnRenamed("doc_id", "gone_id")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("row_id"), F.col("text").alias("whole"))
     begin = F.struct(F.lit("").alias("kept"), F.lit(0).alias("at"))
-    step = lambda out, s: F.struct(F.concat(out["kept"], F.substring(F.col("text"), out["at"] + 1, s["start"] - out["at"])).alias("kept"), s["end"].alias("at"))
-    cut = F.aggregate("gone", begin, step, lambda out: F.concat(out["kept"], F.substring(F.col("text"), out["at"] + 1, F.length("text"))))
-    joined = docs.join(named, F.col("doc_id") == F.col("gone_id"), "left")
-    return joined.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(cut)).select(docs.columns)
+    step = lambda out, s: F.struct(F.concat(out["kept"], F.substring(F.col("whole"), out["at"] + 1, s["start"] - out["at"])).alias("kept"), s["end"].alias("at"))
+    cut = F.aggregate("gone", begin, step, lambda out: F.concat(out["kept"], F.substring(F.col("whole"), out["at"] + 1, F.length("whole"))))
+    joined = rows.join(gone.withColumnRenamed("doc_id", "gone_id"), F.col("row_id") == F.col("gone_id"), "left")
+    return joined.select(F.col("row").withField("text", F.when(F.col("gone").isNull(), F.col("whole")).otherwise(cut)).alias("row")).select("row.*")

@@ -9,6 +9,9 @@ meet are compared exactly (links.py), and the components of the links are the gr
 passages. In a document, grouped paragraphs that follow one another are one passage; a passage of
 fewer than `least_words` words is left alone. Equal paragraphs are one item from the start, found with
 partial sums; no group of copies is expanded into pairs.
+
+Beside them, runs of `least_words` words that two documents share are found wherever they begin and
+end (verbatim.py), and reported as passages without a paragraph.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from pyspark.sql import functions as F
 from pagewright.llm.common import as_bytes, materialise, release, small, small_side
 from pagewright.llm.links import Bound, link_components
 from pagewright.llm.shingles import mixed, windows, word_hashes
+from pagewright.llm.verbatim import shared_runs
 
 WIDTH = 5
 PERCENT = 80
@@ -199,7 +203,8 @@ def paragraph_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa
 def repeated_passages(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
     """One row per paragraph of a passage that repeats across documents: doc_id, paragraph (its number
     among those of `width` words), start and end (code points, end exclusive), n_words, passage_words
-    (of the run it belongs to), group_id, kept_doc_id (the group's smallest doc_id), removed.
+    (of the run it belongs to), group_id, kept_doc_id (the group's smallest doc_id), removed. Besides,
+    one row per verbatim run of `least_words` words or more, of null paragraph; it may overlap others.
 
     The group's first paragraph, by doc_id and number, is kept and all others are removed. Repeats
     within one document alone are no group. Null, empty and short texts have no paragraphs; paragraphs
@@ -230,7 +235,9 @@ def repeated_passages(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     first = passages.where("doc_id = kept_doc_id").groupBy("group_id").agg(F.min("paragraph").alias("first"))
     both = passages.join(first, "group_id", "left")
     kept = (F.col("doc_id") == F.col("kept_doc_id")) & (F.col("paragraph") == F.col("first"))
-    return both.select("doc_id", "paragraph", "start", "end", "n_words", "passage_words", "group_id", "kept_doc_id", (~F.coalesce(kept, F.lit(False))).alias("removed"))
+    columns = ["doc_id", "paragraph", "start", "end", "n_words", "passage_words", "group_id", "kept_doc_id", "removed"]
+    near = both.withColumn("removed", ~F.coalesce(kept, F.lit(False))).select(columns)
+    return near.unionByName(shared_runs(texts, least_words).withColumn("paragraph", F.lit(None).cast("int")).select(columns))
 
 
 def remove_passages(docs: DataFrame, **options) -> DataFrame:
@@ -239,7 +246,7 @@ def remove_passages(docs: DataFrame, **options) -> DataFrame:
     gone = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list("span")).alias("gone"))
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("row_id"), F.col("text").alias("whole"))
     begin = F.struct(F.lit("").alias("kept"), F.lit(0).alias("at"))
-    step = lambda out, s: F.struct(F.concat(out["kept"], F.substring(F.col("whole"), out["at"] + 1, s["start"] - out["at"])).alias("kept"), s["end"].alias("at"))
+    step = lambda out, s: F.struct(F.concat(out["kept"], F.substring(F.col("whole"), out["at"] + 1, F.greatest(s["start"] - out["at"], F.lit(0)))).alias("kept"), F.greatest(out["at"], s["end"]).alias("at"))
     cut = F.aggregate("gone", begin, step, lambda out: F.concat(out["kept"], F.substring(F.col("whole"), out["at"] + 1, F.length("whole"))))
     joined = rows.join(gone.withColumnRenamed("doc_id", "gone_id"), F.col("row_id") == F.col("gone_id"), "left")
     return joined.select(F.col("row").withField("text", F.when(F.col("gone").isNull(), F.col("whole")).otherwise(cut)).alias("row")).select("row.*")

@@ -264,3 +264,30 @@ def test_warc_files(spark, tmp_path):
         list(warc.read_records(io.BytesIO(member[:-5])))
     with pytest.raises(warc.WarcError):
         list(warc.read_records(io.BytesIO(warc.pack("response", 1, "u", b"abd", digest))))
+
+
+def between(rng, passage, before, after, gap=" "):
+    """A passage inside a line, or over lines, with other words on either side."""
+    words = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    return f"{words(before)}{gap}{passage}{gap}{words(after)}"
+
+
+def span_words(rows, text):
+    """Places of the words that rows of a document cover."""
+    at = [(m.start(), m.end()) for m in WORD.finditer(text)]
+    return {i for i, (a, b) in enumerate(at) if any(r.start <= a and b <= r.end for r in rows)}
+
+
+def test_a_passage_is_found_as_a_line_and_inside_lines(spark):
+    rng = random.Random(31)
+    rows = []
+    for n in range(12):
+        line = " ".join(f"p{rng.randrange(10**9)}" for _ in range(51 + n % 10))
+        rows += [(10 * n, f"{between(rng, 'x', 2, 2)}\n{line}\nend", "s"), (10 * n + 1, between(rng, line, 80, 90), "s")]
+        line = " ".join(f"q{rng.randrange(10**9)}" for _ in range(51))
+        rows += [(10 * n + 2, between(rng, line, 6, 6), "s"), (10 * n + 3, between(rng, line, 6, 6), "s")]
+    found = substring_dedup.repeated_passages(as_docs(spark, rows)).collect()
+    for i, text, _ in rows:
+        words = WORD.findall(text)
+        planted = {k for k, w in enumerate(words) if w[0] in "pq"}
+        assert span_words([r for r in found if r.doc_id == i], text) == planted

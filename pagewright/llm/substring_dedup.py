@@ -213,6 +213,7 @@ def repeated_passages(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     """
     hashing = Minhash(*tuned_bands(percent / 100, RECALL, MOST_BANDS))
     texts = docs.select("doc_id", "text")
+    verbatim = shared_runs(texts, least_words)
     marked = materialise(texts.mapInArrow(lambda b: sign(b, width, hashing), SIGNED), "paragraphs-marked")
     signed = materialise(marked.drop("keys"), "paragraphs")
     classes = materialise(signed.groupBy("item").agg(F.min("doc_id").alias("least_id"), F.max("doc_id").alias("most_id")), "paragraph-items")
@@ -237,7 +238,7 @@ def repeated_passages(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     kept = (F.col("doc_id") == F.col("kept_doc_id")) & (F.col("paragraph") == F.col("first"))
     columns = ["doc_id", "paragraph", "start", "end", "n_words", "passage_words", "group_id", "kept_doc_id", "removed"]
     near = both.withColumn("removed", ~F.coalesce(kept, F.lit(False))).select(columns)
-    return near.unionByName(shared_runs(texts, least_words).withColumn("paragraph", F.lit(None).cast("int")).select(columns))
+    return near.unionByName(verbatim.withColumn("paragraph", F.lit(None).cast("int")).select(columns))
 
 
 def remove_passages(docs: DataFrame, **options) -> DataFrame:

@@ -10,17 +10,19 @@ collision of 64 bits). Lines play no part.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import SPACES, as_bytes, materialise, release, small, small_side
 from pagewright.llm.shingles import mixed, word_hashes
 
 STEP_BYTES = 1 << 18
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BASE = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, bool)
 _SPACE[list(SPACES)] = True
@@ -156,6 +158,17 @@ def passages(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Recor
 PASSAGES = "doc_id long, start int, end int, n_words int, passage_words long, group_id long, kept_doc_id long, removed boolean"
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile the shuffle files of a query go as it ends."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+
+
 def shared_runs(docs: DataFrame, least: int) -> DataFrame:
     """One row per stretch of `least` words or more that another doc_id has too: doc_id, start and end
     (code points, end exclusive), n_words, passage_words (of the overlapping stretches it belongs to),
@@ -163,18 +176,19 @@ def shared_runs(docs: DataFrame, least: int) -> DataFrame:
 
     A run is kept where it first stands in its smallest doc_id. Rows of null doc_id are passed over.
     """
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    in_two = [F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("most_id")]
-    seeds = materialise(texts.mapInArrow(lambda b: seeds_of(b, least), "doc_id long, seed long"), "seeds")
-    shared = materialise(seeds.groupBy("seed").agg(*in_two).where("kept_doc_id < most_id").select("seed"), "seeds-shared")
-    lists = materialise(seeds.join(small_side(shared, shared.count()), "seed").groupBy(F.col("doc_id").alias("held_id")).agg(F.collect_set("seed").alias("seeds")), "seeds-held")
-    release(seeds, shared)
-    wanted = texts.join(small_side(lists, lists.count(), 5_000), F.col("doc_id") == F.col("held_id")).select("doc_id", "text", "seeds")
-    named = materialise(wanted.mapInArrow(lambda b: named_runs(b, least), "doc_id long, run long, at int, start int, end int"), "runs")
-    release(lists)
-    both = materialise(named.groupBy("run").agg(*in_two).where("kept_doc_id < most_id").drop("most_id"), "runs-shared")
-    hits = named.join(small_side(both, both.count()), "run").select("doc_id", "run", "at", "start", "end", "kept_doc_id")
-    placed = hits.repartition("doc_id").sortWithinPartitions("doc_id", "at")
-    found = materialise(placed.mapInArrow(lambda b: passages(b, least), PASSAGES), "runs-found")
-    release(named, both)
-    return found
+    with shuffles_removed(docs.sparkSession):
+        texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        in_two = [F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("most_id")]
+        seeds = materialise(texts.mapInArrow(lambda b: seeds_of(b, least), "doc_id long, seed long"), "seeds")
+        shared = materialise(seeds.groupBy("seed").agg(*in_two).where("kept_doc_id < most_id").select("seed"), "seeds-shared")
+        lists = materialise(seeds.join(small_side(shared, shared.count()), "seed").groupBy(F.col("doc_id").alias("held_id")).agg(F.collect_set("seed").alias("seeds")), "seeds-held")
+        release(seeds, shared)
+        wanted = texts.join(small_side(lists, lists.count(), 5_000), F.col("doc_id") == F.col("held_id")).select("doc_id", "text", "seeds")
+        named = materialise(wanted.mapInArrow(lambda b: named_runs(b, least), "doc_id long, run long, at int, start int, end int"), "runs")
+        release(lists)
+        both = materialise(named.groupBy("run").agg(*in_two).where("kept_doc_id < most_id").drop("most_id"), "runs-shared")
+        hits = named.join(small_side(both, both.count()), "run").select("doc_id", "run", "at", "start", "end", "kept_doc_id")
+        placed = hits.repartition("doc_id").sortWithinPartitions("doc_id", "at")
+        found = materialise(placed.mapInArrow(lambda b: passages(b, least), PASSAGES), "runs-found")
+        release(named, both)
+        return found

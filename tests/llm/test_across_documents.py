@@ -291,3 +291,14 @@ def test_a_passage_is_found_as_a_line_and_inside_lines(spark):
         words = WORD.findall(text)
         planted = {k for k, w in enumerate(words) if w[0] in "pq"}
         assert span_words([r for r in found if r.doc_id == i], text) == planted
+
+
+def test_the_ends_of_a_passage_count(spark):
+    rng = random.Random(32)
+    rows = []
+    for n, size in enumerate([25, 30, 40, 51, 51, 55, 60, 64]):
+        passage = " ".join(f"p{rng.randrange(10**9)}" + ("\n" if n % 2 and not k % 12 else "") for k in range(size))
+        rows += [(10 * n, between(rng, passage, 200 + n, 210), "s"), (10 * n + 1, between(rng, passage, 230, 200 + n), "s")]
+    found = substring_dedup.repeated_passages(as_docs(spark, rows)).collect()
+    for i, text, _ in rows:
+        assert span_words([r for r in found if r.doc_id == i], text) == {k for k, w in enumerate(WORD.findall(text)) if w[0] == "p"}

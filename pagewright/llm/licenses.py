@@ -1,7 +1,8 @@
 """Licences in texts, by their sentences. DataFrame functions only.
 
-A text is split into lines and sentences; each is normalised (lower case, runs of other characters
-than a-z and 0-9 become one space) and looked up among known licence sentences. The identifiers that
+A text is normalised (lower case, runs of other characters than a-z and 0-9 become one space) with
+its breaks marked: line ends, sentence ends, colons. A known licence sentence is found where it begins
+and ends at a break, be it wrapped over lines in between, but not over a blank line. The identifiers that
 are found, in order, are then matched against licence rules, the most specific first: a rule that
 matches a run of consecutive identifiers claims it, and a later rule can't use it again. Both tables
 are constants of this module and go into the plan as literals. Nothing is shuffled.
@@ -74,23 +75,39 @@ RULES = (
     ("proprietary", ("rights-reserved",)),
 )
 
-#: A line end, or space after a mark that ends a sentence.
-BREAK = r"\n+|(?<=[.!?])\s+"
+#: A blank line ends a sentence; a line end, or space after one of these marks, may end it or lie inside.
+BLANK, BREAK = r"\n[\x20\t\x0B\f\r]*\n", r"\n|(?<=[.!?:])\s"
 #: Every known sentence holds one of these parts of words; a text without them has no known sentence.
 HINTS = ("licen", "copyright", "software", "redistribut", "apache", "warrant", "domain", "reserved")
-#: Lengths of the known sentences; a much longer line, marks included, isn't normalised.
-SHORTEST, LONGEST = min(map(len, SENTENCES.values())), 4 * max(map(len, SENTENCES.values()))
+#: Sentences that aren't sought over a line's end before this word: their halves are known as well.
+HALVES = {"apache-copy-url": "http"}
 
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+def pattern() -> str:
+    """Any known sentence between two breaks, the longest first; "|" inside it is a break."""
+    found = []
+    for name, sentence in sorted(SENTENCES.items(), key=lambda x: -len(x[1])):
+        words = sentence.split()
+        found.append(words[0] + "".join(f" {w}" if w == HALVES.get(name) else rf"(?: \|)? {w}" for w in words[1:]))
+    return f"(?<=[|=] )(?:{'|'.join(found)})(?= [|=])"
+
+
+def normalised(text: Column) -> Column:
+    """Words of a text, one space between them, breaks as "|" and blank lines as "="."""
+    out = F.regexp_replace(F.lower(text), "[|=]", " ")
+    for sought, put in ((BLANK, " = "), (BREAK, " | "), ("[^a-z0-9|=]+", " ")):
+        out = F.regexp_replace(out, sought, put)
+    out = F.concat(F.lit("= "), out, F.lit(" ="))
+    for sought, put in ((r"[| ]*=[|= ]*", " = "), (r"[| ]*\|[| ]*", " | ")):
+        out = F.regexp_replace(out, sought, put)
+    return out
 
 
 def sentence_ids(text: Column) -> Column:
     """The identifiers of the known sentences of a text, in order."""
     known = F.create_map(*[F.lit(x) for name, words in SENTENCES.items() for x in (words, name)])
-    split = F.filter(F.split(text, BREAK), lambda s: F.length(s).between(SHORTEST, LONGEST))
-    return F.filter(F.transform(split, lambda s: F.element_at(known, normalised(s))), lambda x: x.isNotNull())
+    found = F.regexp_extract_all(normalised(text), F.lit(pattern()), F.lit(0))
+    return F.transform(found, lambda s: F.element_at(known, F.replace(s, F.lit(" |"), F.lit(""))))
 
 
 def license_scan(docs: DataFrame) -> DataFrame:

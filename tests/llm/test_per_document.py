@@ -129,6 +129,32 @@ def test_licences(spark, odd, nothing):
     assert {r.n_sentences for r in licenses.license_scan(odd).collect()} == {0} and licenses.license_scan(nothing).count() == 0
 
 
+def test_wrapped_licences(spark):
+    apache = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+    docs = as_docs(spark, [(1, apache, "s"), (2, mit, "s"), (3, " ".join(mit.split()), "s"), (4, "# " + apache.replace("\n", "\n# "), "s"), (5, "All rights\n\nreserved", "s")])
+    got = {r.doc_id: (r.n_sentences, r.licences, r.n_unclaimed) for r in licenses.license_scan(docs).collect()}
+    assert got == {1: (5, "Apache-2.0", 0), 2: (2, "MIT", 0), 3: (2, "MIT", 0), 4: (5, "Apache-2.0", 0), 5: (0, "", 0)}
+
+
 def test_known_sentences_are_normalised_and_hinted():
     for words in licenses.SENTENCES.values():
         assert words == re.sub("[^a-z0-9]+", " ", words).strip() and any(h in words for h in licenses.HINTS)

@@ -197,3 +197,8 @@ def test_contamination(spark, nothing, block_words):
     assert Counter(r.doc_id for r in clean.collect()) == Counter(r[0] for r in contaminated(docs, items) if not r[2])
     assert decontaminate.find_contamination(nothing, bench).count() == 0
     assert {r.n_hit for r in decontaminate.find_contamination(as_docs(spark, [(1, "a b", "s")]), bench.limit(0)).collect()} == {0}
+
+
+def test_licences_before_a_long_run_of_marks(spark):
+    docs = as_docs(spark, [(1, "All rights reserved" + " -" * 5000, "s"), (2, "=" * 9000 + "\nReleased under the MIT License " + "| " * 3000, "s")])
+    assert {r.doc_id: r.licences for r in licenses.license_scan(docs).collect()} == {1: "proprietary", 2: "MIT"}

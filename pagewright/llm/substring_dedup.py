@@ -208,7 +208,7 @@ def repeated_passages(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
 
     The group's first paragraph, by doc_id and number, is kept and all others are removed. Repeats
     within one document alone are no group. Null, empty and short texts have no paragraphs; paragraphs
-    of null doc_ids count in groups and come after the others. Rows that repeat a doc_id are that
+    of null doc_ids are in groups that span two other doc_ids, and alone don't make a group span documents. Rows that repeat a doc_id are that
     document once more: their equal paragraphs are kept or removed alike.
     """
     hashing = Minhash(*tuned_bands(percent / 100, RECALL, MOST_BANDS))

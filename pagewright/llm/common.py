@@ -62,6 +62,13 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes to differ from the columns'."""
+    taken = {c.lower() for c in df.columns}
+    longest = max(map(len, taken), default=0)
+    return [n if n not in taken else n.ljust(longest + 1, "_") for n in names]
+
+
 def small_side(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """`df`, to be broadcast if it has at most `most` rows; else Spark picks a shuffled join."""
     return F.broadcast(df) if rows <= most else df

@@ -2,18 +2,17 @@
 
 Documents with equal shingle sets are one item. For the others, sizes lie in bands, and two sets of
 sizes a <= b that link differ in at most a / 9 shingles (at 90 %). A band deals the shingles, by hash,
-over more parts than that, so that two linked sets agree in at least one part that isn't empty; the
-hash of (band, part, the shingles there) is the bucket. A set joins the buckets of its own band, and
-those of the band below if a set there can link with it. That is one small row per nine shingles, and
-a bucket holds only sets that agree in some nine shingles and in the absence of others there, so a line
-that many texts share makes no large bucket. Of MANY_PARTS parts or more, those with one shingle make none
-either. links.py takes the buckets apart: tiles, hashed bitmaps, bit counts, exact intersections. A
-linked pair can only miss where hashing leaves over SPARE + 1 % of a small set's parts empty, or gives
-none of a third of a large set's parts that are equal a second shingle. The chance is greatest for small sets, all of
-whose common shingles may lie in the one part that differs: 1e-7 a pair for 9 and 10 shingles in 6 parts (at 90 %),
-8e-4 for 4 and 5 (at 80 %).
-
-Items are named by a 64-bit hash of their set.
+over more parts than that, so that two linked sets agree in SPARE + 1 parts at least; the hash of
+(band, part, the shingles there) is the bucket. A set joins the buckets of its own band, and those of
+each band below in which a set can link with it. That is one small row per nine shingles, and a bucket
+holds only sets that agree in some nine shingles and in the absence of others there, so a line that
+many texts share makes no large bucket. links.py takes the buckets apart: tiles, hashed bitmaps, bit
+counts, exact intersections. A linked pair can only miss where all parts that agree are empty; bands
+of SMALL shingles or less deal them ROUNDS times, each time by another hash, so that the chance is
+under 1e-9 a pair at any size (for 4 and 5 shingles at 80 %: (1 / 6) ** 12).
+
+Items are named by 128 bits: 64 as the item, and 64 more that tell sets of the same item apart. The
+sets are kept from the one pass over the texts; no text is shuffled.
 """
 
 from __future__ import annotations
@@ -25,14 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import as_bytes, materialise, release, small, small_side
+from pagewright.llm.common import as_bytes, materialise, materialise_counted, release, small, small_side, unused_names
 from pagewright.llm.links import Bound, link_components
-from pagewright.llm.shingles import mixed, set_hash, shingle_set
+from pagewright.llm.shingles import mixed, set_names, shingle_sets
+from pagewright.llm.verbatim import steps
 
 WIDTH = 3
 PERCENT = 90
 SPARE = 4
-MANY_PARTS = 64
+SMALL, ROUNDS = 64, 3
 _PART, _SUM = np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -50,73 +50,69 @@ def most_different(size: int, percent: int) -> int:
     return max(size + b - 2 * -(-percent * (size + b) // (100 + percent)) for b in {size, max(size, larger - 1), larger})
 
 
-def levels(size: int, percent: int) -> list[tuple[int, int]]:
-    """(band, number of parts) in which a set of this size looks for links."""
+def levels(size: int, percent: int) -> list[tuple[int, int, int]]:
+    """(band, number of parts, rounds) in which a set of this size looks for links."""
     starts = bands(size)
     found = []
-    for band in (len(starts) - 2, len(starts) - 3):
-        top = starts[band + 1] - 1 if band >= 0 else 0
-        if band >= 0 and (band == len(starts) - 2 or percent * size <= 100 * top):
-            differ = max(most_different(top, percent), most_different(top - 1, percent) if top > 1 else 0)
-            if differ:
-                found.append((band, differ + 1 + SPARE + differ // 100))
+    for band in range(len(starts) - 2, -1, -1):
+        top = starts[band + 1] - 1
+        if percent * size > 100 * top:
+            break
+        differ = max(most_different(top, percent), most_different(top - 1, percent) if top > 1 else 0)
+        if differ:
+            found.append((band, differ + 1 + SPARE + differ // 100, ROUNDS if top <= SMALL else 1))
     return found
 
 
 def bucket_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
     """The buckets of a set, as signed 64-bit numbers."""
     keys = []
-    for band, parts in levels(len(shingles), percent):
-        part = (mixed(shingles * _PART) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-        sums = np.zeros(parts, np.uint64)
-        np.add.at(sums, part.astype(np.int64), mixed(shingles ^ _SUM))
-        held = np.bincount(part.astype(np.int64), minlength=parts)
-        filled = np.flatnonzero(held > (1 if parts >= MANY_PARTS else 0))
-        keys.append(mixed(sums[filled] + mixed(filled.astype(np.uint64) + np.uint64(band << 40))))
+    for band, parts, rounds in levels(len(shingles), percent):
+        for salt in range(rounds):
+            part = ((mixed((shingles + np.uint64(salt)) * _PART) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            sums = np.zeros(parts, np.uint64)
+            np.add.at(sums, part, mixed(shingles ^ _SUM))
+            filled = np.flatnonzero(np.bincount(part, minlength=parts))
+            keys.append(mixed(sums[filled] + mixed(filled.astype(np.uint64) + np.uint64(band << 40 | salt << 32))))
     return np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.lower().split()
-
-
-SIGNED = "doc_id long, n_shingles long, text_hash long, item long, keys array<long>"
+SIGNED = "doc_id long, n_shingles long, text_hash long, item long, check long, keys array<long>, set binary"
 
 
 def sign(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
     for batch in small(batches):
-        sizes, items, keys = [], [], []
-        for text in as_bytes(batch, "text"):
-            shingles = shingle_set(words_of(text), width)
-            sizes.append(len(shingles))
-            items.append(set_hash(shingles) if len(shingles) else None)
-            keys.append(bucket_keys(shingles, percent))
-        offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), batch.column("text_hash"), pa.array(items, pa.int64()), lists], [x.split()[0] for x in SIGNED.split(", ")])
-
-
-def sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for batch in small(batches):
-        found = [shingle_set(words_of(text), width) for text in as_bytes(batch, "text")]
-        yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["item", "set"])
+        for first, texts in steps(as_bytes(batch, "text")):
+            sets = shingle_sets(texts, width)
+            names = [set_names(s) if len(s) else (None, None) for s in sets]
+            keys = [bucket_keys(s, percent) for s in sets]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]).astype(np.int32)), pa.array(np.concatenate(keys)))
+            own = batch.slice(first, len(texts))
+            columns = [own.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), own.column("text_hash"), *(pa.array(x, pa.int64()) for x in zip(*names)), lists, pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SIGNED.split(", ")])
+
+
+def named_apart(marked: DataFrame) -> DataFrame:
+    """`marked`, with another item for sets that share theirs with another set."""
+    clashes = marked.where("item is not null").groupBy("item").agg(F.min("check").alias("first_check"), F.max("check").alias("last_check")).where("first_check < last_check").drop("last_check")
+    clashes, n = materialise_counted(clashes, "jaccard-clashes", F.lit(True))
+    if not n:
+        return marked
+    other = F.when(F.col("check") != F.col("first_check"), F.xxhash64("item", "check")).otherwise(F.col("item"))
+    return marked.join(small_side(clashes, n), "item", "left").withColumn("item", F.coalesce(other, "item")).drop("first_check")
 
 
 def labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Per row of `docs`: doc_id, n_shingles, text_hash, group (a name of its component) and component_id."""
-    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    marked = materialise(hashed.mapInArrow(lambda b: sign(b, width, percent), SIGNED), "jaccard-marked")
-    signed = materialise(marked.drop("keys"), "jaccard-signed")
+    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    written = materialise(hashed.mapInArrow(lambda b: sign(b, width, percent), SIGNED), "jaccard-marked")
+    marked = named_apart(written)
+    signed = materialise(marked.drop("keys", "set", "check"), "jaccard-signed")
     classes = materialise(signed.where("item IS NOT NULL").groupBy("item").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies")), "jaccard-items")
-    texts = docs.select("doc_id", "text")
 
     def sets_of(items: DataFrame) -> DataFrame:
-        wanted = materialise(classes.join(items, "item", "left_semi").select("item", F.col("least_id").alias("wanted_id")), "jaccard-wanted")
-        n = wanted.count()
-        ids = small_side(wanted.select("wanted_id").distinct(), n)
-        found = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").mapInArrow(lambda b: sets(b, width), "item long, set binary")
-        release(marked)
-        return found.join(small_side(wanted.select("item"), n), "item", "left_semi").dropDuplicates(["item"])
+        wanted = materialise(items, "jaccard-wanted")
+        return marked.select("item", "set").join(small_side(wanted, wanted.count()), "item", "left_semi").dropDuplicates(["item"])
 
     linked = link_components(marked.select("item", F.explode("keys").alias("key")), sets_of, Bound(percent), "jaccard")
     named = linked.join(classes.select("item", "least_id"), "item")
@@ -124,6 +120,7 @@ def labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
     grouped = linked.join(least, "component").select("item", "component", "component_id")
     several = classes.select("item", "least_id", "copies").join(grouped, "item", "left").where("copies > 1 OR component IS NOT NULL")
     labels = materialise(several.select("item", F.coalesce("component", "item").alias("group"), F.coalesce("component_id", "least_id").alias("component_id")), "jaccard-named")
+    release(written)
     return signed.join(small_side(labels, labels.count()), "item", "left").select("doc_id", "n_shingles", "text_hash", "group", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -146,13 +143,14 @@ def drop_near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     stays; of rows that repeat both, one stays.
     """
     rows = materialise(labelled(docs, width, percent).where("group IS NOT NULL"), "jaccard-labels")
+    its_id, its_hash = unused_names(docs, "its_id", "its_hash")
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
     kept = rows.groupBy("group").agg(F.min(order).alias("kept"))
-    marked = rows.join(kept, "group").select(F.col("doc_id").alias("__its_id"), F.col("text_hash").alias("__its_hash"), (order == F.col("kept")).alias("stays"))
-    marked = materialise(marked.groupBy("__its_id", "__its_hash", "stays").agg(F.count("*").alias("times")), "jaccard-marked")
-    gone, again = (marked.where(x).select("__its_id", "__its_hash") for x in ("NOT stays", "stays AND times > 1"))
+    marked = rows.join(kept, "group").select(F.col("doc_id").alias(its_id), F.col("text_hash").alias(its_hash), (order == F.col("kept")).alias("stays"))
+    marked = materialise(marked.groupBy(its_id, its_hash, "stays").agg(F.count("*").alias("times")), "jaccard-marked")
+    gone, again = (marked.where(x).select(its_id, its_hash) for x in ("NOT stays", "stays AND times > 1"))
     n_gone, n_again = (x.count() for x in (gone, again))
-    same = F.col("doc_id").eqNullSafe(F.col("__its_id")) & F.xxhash64("text").eqNullSafe(F.col("__its_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col(its_id)) & F.xxhash64("text").eqNullSafe(F.col(its_hash))
     left = docs.join(small_side(gone, n_gone), same, "left_anti")
     if not n_again:
         return left

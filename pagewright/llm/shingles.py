@@ -2,22 +2,14 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import xxhash
 
-_CACHE_WORDS = 250_000
-_FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
-
-
-class _Hashes(dict):
-    """Word to hash, kept by the worker."""
+from pagewright.llm.common import SPACES
 
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_hashes = _Hashes()
+_FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -27,10 +19,87 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class Words(NamedTuple):
+    """Words of several texts, one after the other."""
+
+    hashes: np.ndarray
+    owner: np.ndarray  # the number of its text
+    line: np.ndarray  # rises with every line and text
+    start: np.ndarray  # code points of its text
+    end: np.ndarray
+
+
+_BASE = 0xB5AD4ECEDA1CE2A9
+_SEGMENT = 1 << 18
+_SPACE = np.zeros(256, bool)
+_SPACE[list(SPACES)] = True
+#: A random number for each byte; A-Z have those of a-z.
+_BYTES = np.random.default_rng(11).integers(1, 1 << 64, 256, np.uint64)
+_BYTES[0x41:0x5B] = _BYTES[0x61:0x7B]
+
+
+class _Powers:
+    """Powers of an odd number and of its inverse, modulo 2 ** 64, as many as were asked for so far."""
+
+    def __init__(self, base: int):
+        self.base, self.up, self.down = base, np.empty(0, np.uint64), np.empty(0, np.uint64)
+
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            factors = np.ones((2, max(n, _SEGMENT)), np.uint64)
+            factors[0, 1:], factors[1, 1:] = self.base, pow(self.base, -1, 1 << 64)
+            up, down = np.multiply.accumulate(factors, axis=1)
+            if n > 4 * _SEGMENT:
+                return up, down  # a giant word's aren't kept
+            self.up, self.down = up, down
+        return self.up[:n], self.down[:n]
+
+
+_powers = _Powers(_BASE)
+
+
+def sums_of(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums and factors: (sums[b] - sums[a]) * factors[a] tells what numbers stand from a to b, in order."""
+    up, down = _powers(len(numbers) + 1)
+    sums = np.zeros(len(numbers) + 1, np.uint64)
+    np.cumsum(numbers * up[:-1], out=sums[1:])
+    return sums, down
+
+
+def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hash of each stretch of bytes, A-Z taken as a-z; stretches don't overlap."""
+    out, at = np.empty(len(start), np.uint64), 0
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(end, start[at] + _SEGMENT, "right")))
+        first = int(start[at])
+        sums, down = sums_of(_BYTES[data[first : int(end[to - 1])]])
+        a, b = start[at:to] - first, end[at:to] - first
+        out[at:to] = (sums[b] - sums[a]) * down[a]
+        at = to
+    return mixed(out)
+
+
+def words_of(texts: list[bytes]) -> Words:
+    """The words of the texts by their hashes, equal but for the case of A-Z."""
+    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    edges = np.flatnonzero(np.diff(np.r_[True, _SPACE[data]])).astype(np.int64)
+    start, end = edges[0::2], edges[1::2]
+    begins = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
+    owner = np.searchsorted(begins, start, "right") - 1
+    line = np.cumsum(data == 10)[start] if len(start) else start
+    hashes = byte_hashes(data, start, end)
+    if (data >= 0x80).any():
+        before = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
+        start, end, begins = before[start], before[end], before[begins]
+    at = begins[owner] if len(owner) else owner
+    return Words(hashes, owner, line, start - at, end - at)
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_hashes) > _CACHE_WORDS:
-        _hashes.clear()
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    """The hashes of words that hold no space."""
+    sizes = np.array([len(w) for w in words], np.int64)
+    end = np.cumsum(sizes)
+    return byte_hashes(np.frombuffer(b"".join(words), np.uint8), end - sizes, end)
 
 
 def windows(words: np.ndarray, width: int) -> np.ndarray:
@@ -47,9 +116,17 @@ def shingle_set(words: list[bytes], width: int) -> np.ndarray:
     return np.unique(windows(word_hashes(words), width)) if words else np.empty(0, np.uint64)
 
 
-def set_hash(shingles: np.ndarray) -> int:
-    """A signed 64-bit name of the set."""
-    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes()))))
+def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
+    """shingle_set() of the words of each text."""
+    words = words_of(texts)
+    edges = np.searchsorted(words.owner, np.arange(len(texts) + 1))
+    return [np.unique(windows(words.hashes[a:b], width)) if a < b else np.empty(0, np.uint64) for a, b in zip(edges, edges[1:])]
+
+
+def set_names(shingles: np.ndarray) -> tuple[int, int]:
+    """Two signed 64-bit names of the set."""
+    name = xxhash.xxh3_128_intdigest(shingles.tobytes())
+    return tuple(np.array([name >> 64, name & (1 << 64) - 1], np.uint64).view(np.int64).tolist())
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:

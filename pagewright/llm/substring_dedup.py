@@ -6,9 +6,9 @@ alone, so a passage within two long lines is cut alike. Paragraphs of fewer than
 passed over. The shingles of a paragraph (runs of `width` words) give a MinHash signature, banded so
 that a pair at the least similarity shares a bucket with probability RECALL at least. Paragraphs that
 meet are compared exactly (links.py), and the components of the links are the groups of equal
-passages. In a document, grouped paragraphs that follow one another are one passage; a passage of
-fewer than `least_words` words is left alone. Equal paragraphs are one item from the start, found with
-partial sums; no group of copies is expanded into pairs.
+passages. In a document, grouped paragraphs that follow one another, and do so in another document, are one
+passage; a passage of fewer than `least_words` words is left alone. Equal paragraphs are one item from the
+start, found with partial sums; no group of copies is expanded into pairs, and no text is shuffled.
 
 Beside them, runs of `least_words` words that two documents share are found wherever they begin and
 end (verbatim.py), and reported as passages without a paragraph.
@@ -16,7 +16,6 @@ end (verbatim.py), and reported as passages without a paragraph.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -28,8 +27,8 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.common import as_bytes, materialise, release, small, small_side
 from pagewright.llm.links import Bound, link_components
-from pagewright.llm.shingles import mixed, windows, word_hashes
-from pagewright.llm.verbatim import shared_runs
+from pagewright.llm.shingles import mixed, sums_of, windows, words_of
+from pagewright.llm.verbatim import least_around, shared_runs, steps
 
 WIDTH = 5
 PERCENT = 80
@@ -39,9 +38,7 @@ LEAST_WORDS = 25
 LONG_LINE = 64
 REACH = 8
 
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-STEP_BYTES = 1 << 18
-_SALT, _SET = np.uint64(0xD1B54A32D192ED03), np.uint64(0x9FB21C651E98DF25)
+_SALT = np.uint64(0xD1B54A32D192ED03)
 
 
 def tuned_bands(similarity: float, recall: float, most: int) -> tuple[int, int]:
@@ -54,7 +51,7 @@ def tuned_bands(similarity: float, recall: float, most: int) -> tuple[int, int]:
 
 
 class Paragraphs(NamedTuple):
-    """Paragraphs of several texts: whose they are, where they lie, and their shingles one after the other."""
+    """Paragraphs of several texts: whose they are, where they lie, their words, names and shingles."""
 
     text: np.ndarray
     start: np.ndarray
@@ -68,11 +65,11 @@ class Paragraphs(NamedTuple):
 def cuts(hashes: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Words before which long lines (from begins to ends) are cut: where a word pair's hash is the least around."""
     pairs = mixed(hashes[:-1] * _SALT + hashes[1:])
-    if len(pairs) <= 2 * REACH or not len(begins):
+    if not len(begins):
         return np.empty(0, np.int64)
-    places = np.concatenate([np.arange(a + REACH, b - 1 - REACH) for a, b in zip(begins, ends)])
-    around = np.lib.stride_tricks.sliding_window_view(pairs, 2 * REACH + 1)[places - REACH]
-    return places[around.argmin(1) == REACH] + 1
+    places = spread(begins + REACH, ends - begins - 1 - 2 * REACH)
+    least = least_around(pairs, REACH)
+    return places[(pairs[places] < least[places - REACH]) & (pairs[places] <= least[places + 1])] + 1
 
 
 def spread(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -80,66 +77,29 @@ def spread(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(begins - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
 
 
-def paragraphs(texts: list[bytes], width: int) -> Paragraphs:
-    """The paragraphs of `width` words or more; offsets are bytes of their text."""
-    words: list[bytes] = []
-    owner, first, count, start, end, long_lines = [], [], [], [], [], []
-    for n, text in enumerate(texts):
-        at = 0
-        for line in text.split(b"\n"):
-            found = line.lower().split()
-            if len(found) >= width:
-                if len(found) > LONG_LINE:
-                    long_lines.append((len(owner), at, line))
-                owner.append(n)
-                first.append(len(words))
-                count.append(len(found))
-                start.append(at + len(line) - len(line.lstrip()))
-                end.append(at + len(line.rstrip()))
-                words += found
-            at += len(line) + 1
-    hashes = word_hashes(words)
-    columns = [np.array(x, np.int64) for x in (owner, first, count, start, end)]
-    if long_lines:
-        rows = np.array([x[0] for x in long_lines])
-        begins, ends = columns[1][rows], columns[1][rows] + columns[2][rows]
-        inner = cuts(hashes, begins, ends)
-        pieces: list[tuple[int, ...]] = []
-        for (row, at, line), a, b in zip(long_lines, begins.tolist(), ends.tolist()):
-            edges = [a, *inner[np.searchsorted(inner, a) : np.searchsorted(inner, b)].tolist(), b]
-            places = [(m.start(), m.end()) for m in WORD.finditer(line)]
-            pieces += [(owner[row], x, y - x, at + places[x - a][0], at + places[y - 1 - a][1]) for x, y in zip(edges, edges[1:]) if y - x >= width]
-        whole = np.ones(len(owner), bool)
-        whole[rows] = False
-        columns = [np.concatenate([c[whole], np.array([p[i] for p in pieces], np.int64)]) for i, c in enumerate(columns)]
-        order = np.argsort(columns[1], kind="stable")
-        columns = [c[order] for c in columns]
-    text, first_word, n_words, start_at, end_at = columns
-    if not len(text):
+def paragraphs_of(texts: list[bytes], width: int) -> Paragraphs:
+    """The paragraphs of `width` words or more; offsets are code points of their text."""
+    words = words_of(texts)
+    lines = np.flatnonzero(np.diff(words.line, prepend=-1))
+    line_ends = np.r_[lines[1:], len(words.line)]
+    long_lines = line_ends - lines > LONG_LINE
+    first = np.sort(np.r_[lines, cuts(words.hashes, lines[long_lines], line_ends[long_lines])]).astype(np.int64)
+    n_words = np.diff(np.r_[first, len(words.line)])
+    first, n_words = first[n_words >= width], n_words[n_words >= width]
+    if not len(first):
         return Paragraphs(*[np.empty(0, np.int64)] * 5, np.empty(0, np.uint64), np.empty(0, np.int64))
+    sums, factors = sums_of(words.hashes)
+    item = mixed((sums[first + n_words] - sums[first]) * factors[first] + n_words.astype(np.uint64)).view(np.int64)
     sizes = n_words - width + 1
-    shingles = windows(hashes, width)[spread(first_word, sizes)]
-    number = np.repeat(np.arange(len(text)), sizes)
-    order = np.lexsort((shingles, number))
-    shingles, number = shingles[order], number[order]
-    once = np.r_[True, (shingles[1:] != shingles[:-1]) | (number[1:] != number[:-1])]
-    shingles, number = shingles[once], number[once]
-    begins = np.searchsorted(number, np.arange(len(text)))
-    held = np.diff(np.r_[begins, len(shingles)]).astype(np.uint64)
-    item = mixed(np.add.reduceat(mixed(shingles ^ _SET), begins) + held).view(np.int64)
-    return Paragraphs(text, start_at, end_at, n_words, item, shingles, begins)
-
-
-def steps(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    """Texts in runs of some hundred kilobytes, each with the number of its first."""
-    at = 0
-    while at < len(texts):
-        end, held = at, 0
-        while end < len(texts) and held < STEP_BYTES:
-            held += len(texts[end]) + 1
-            end += 1
-        yield at, texts[at:end]
-        at = end
+    shingles = windows(words.hashes, width)[spread(first, sizes)]
+    return Paragraphs(words.owner[first], words.start[first], words.end[first + n_words - 1], n_words, item, shingles, np.cumsum(sizes) - sizes)
+
+
+def paragraphs(text: bytes, width: int) -> list[tuple[int, int, np.ndarray]]:
+    """(start, end, the shingles' hashes in order) of a text's paragraphs."""
+    found = paragraphs_of([text], width)
+    shingles = np.split(found.shingles, found.begins[1:]) if len(found.begins) else []
+    return list(zip(found.start.tolist(), found.end.tolist(), map(np.unique, shingles)))
 
 
 class Minhash:
@@ -161,93 +121,95 @@ class Minhash:
         return keys.view(np.int64)
 
 
-SIGNED = "doc_id long, paragraph int, start int, end int, n_words int, item long, keys array<long>"
-
-
-def code_points(text: bytes, offsets: np.ndarray) -> np.ndarray:
-    """Code points before each byte offset."""
-    if text.isascii():
-        return offsets
-    begins = (np.frombuffer(text, np.uint8) & 0xC0) != 0x80
-    return np.r_[0, np.cumsum(begins)][offsets]
+SIGNED = "doc_id long, text_hash long, paragraph int, start int, end int, n_words int, item long, keys array<long>, shingles binary"
 
 
 def sign(batches: Iterator[pa.RecordBatch], width: int, hashing: Minhash) -> Iterator[pa.RecordBatch]:
     for batch in small(batches):
-        ids = batch.column("doc_id").cast(pa.int64())
+        ids, text_hashes = batch.column("doc_id"), batch.column("text_hash")
         for first, texts in steps(as_bytes(batch, "text")):
-            found = paragraphs(texts, width)
+            found = paragraphs_of(texts, width)
             if not len(found.text):
                 continue
             keys = hashing.keys(found.shingles, found.begins)
             number = np.arange(len(found.text)) - np.searchsorted(found.text, found.text)
-            place = np.stack([found.start, found.end], 1)
-            for n in np.unique(found.text).tolist():
-                if not texts[n].isascii():
-                    own = slice(np.searchsorted(found.text, n), np.searchsorted(found.text, n, "right"))
-                    place[own] = code_points(texts[n], place[own])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(number) + 1, dtype=np.int32) * hashing.bands), pa.array(keys.ravel()))
-            columns = [ids.take(pa.array(found.text + first)), *(pa.array(x.astype(np.int32)) for x in (number, place[:, 0], place[:, 1], found.n_words)), pa.array(found.item), lists]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "paragraph", "start", "end", "n_words", "item", "keys"])
+            offsets = np.r_[found.begins, len(found.shingles)].astype(np.int32) * 8
+            sets = pa.BinaryArray.from_buffers(pa.binary(), len(number), [None, pa.py_buffer(offsets), pa.py_buffer(found.shingles)])
+            rows = pa.array(found.text + first)
+            columns = [ids.take(rows), text_hashes.take(rows), *(pa.array(x.astype(np.int32)) for x in (number, found.start, found.end, found.n_words)), pa.array(found.item), lists, sets]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SIGNED.split(", ")])
 
 
-def paragraph_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for batch in small(batches):
-        for _, texts in steps(as_bytes(batch, "text")):
-            found = paragraphs(texts, width)
-            ends = np.r_[found.begins[1:], len(found.shingles)]
-            sets = {i: found.shingles[a:b].tobytes() for i, a, b in zip(found.item.tolist(), found.begins.tolist(), ends.tolist())}
-            yield pa.RecordBatch.from_arrays([pa.array(sets.keys(), pa.int64()), pa.array(sets.values(), pa.binary())], ["item", "set"])
+def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.unique(np.frombuffer(x, np.uint64)).tobytes() for x in batch.column("shingles").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("item"), pa.array(sets, pa.binary())], ["item", "set"])
+
+
+def chained(found: DataFrame) -> DataFrame:
+    """`found` (doc_id, text_hash, paragraph, n_words, group_id) with passage_words: of the neighbouring
+    paragraphs that follow one another in two doc_ids, group by group."""
+    of_text = W.partitionBy("doc_id", "text_hash").orderBy("paragraph")
+    after = F.when(F.lead("paragraph").over(of_text) == F.col("paragraph") + 1, F.lead("group_id").over(of_text))
+    placed = materialise(found.withColumn("next_group", after), "paragraphs-placed")
+    held = placed.where("next_group is not null").groupBy("group_id", "next_group").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    pairs = materialise(held.where("low < high").select("group_id", "next_group", F.lit(True).alias("follows")), "paragraph-pairs")
+    both = placed.join(small_side(pairs, pairs.count()), ["group_id", "next_group"], "left").withColumn("follows", F.coalesce("follows", F.lit(False)))
+    first = F.when(F.coalesce(F.lag("follows").over(of_text), F.lit(False)), 0).otherwise(1)
+    numbered = both.withColumn("first_of_run", first).withColumn("run", F.sum("first_of_run").over(of_text))
+    return numbered.withColumn("passage_words", F.sum("n_words").over(W.partitionBy("doc_id", "text_hash", "run"))).drop("next_group", "follows", "first_of_run", "run")
 
 
 def repeated_passages(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
-    """One row per paragraph of a passage that repeats across documents: doc_id, paragraph (its number
-    among those of `width` words), start and end (code points, end exclusive), n_words, passage_words
-    (of the run it belongs to), group_id, kept_doc_id (the group's smallest doc_id), removed. Besides,
-    one row per verbatim run of `least_words` words or more, of null paragraph; it may overlap others.
-
-    The group's first paragraph, by doc_id and number, is kept and all others are removed. Repeats
-    within one document alone are no group. Null, empty and short texts have no paragraphs; paragraphs
-    of null doc_ids are in groups that span two other doc_ids, and alone don't make a group span documents. Rows that repeat a doc_id are that
-    document once more: their equal paragraphs are kept or removed alike.
+    """One row per paragraph of a passage that repeats across documents: doc_id, text_hash (xxhash64 of
+    its text), paragraph (its number among those of `width` words), start and end (code points, end
+    exclusive), n_words, passage_words (of the passage it belongs to), group_id, kept_doc_id (the group's
+    smallest doc_id), removed. Besides, one row per verbatim run of `least_words` words or more, of null
+    paragraph; it may overlap others.
+
+    A passage is a run of paragraphs, or one, of `least_words` words in all; neighbours count together only
+    where their groups are neighbours in another doc_id too. The group's first paragraph, by doc_id, text
+    and number, is kept and all others are removed. Repeats within one document alone are no group. Null,
+    empty and short texts have no paragraphs. Paragraphs of null doc_ids belong to groups, but don't make
+    one span documents. Rows that repeat doc_id and text count once; texts that share their doc_id alone
+    are apart, and no repeat across documents.
     """
     hashing = Minhash(*tuned_bands(percent / 100, RECALL, MOST_BANDS))
-    texts = docs.select("doc_id", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     verbatim = shared_runs(texts, least_words)
     marked = materialise(texts.mapInArrow(lambda b: sign(b, width, hashing), SIGNED), "paragraphs-marked")
-    signed = materialise(marked.drop("keys"), "paragraphs")
-    classes = materialise(signed.groupBy("item").agg(F.min("doc_id").alias("least_id"), F.max("doc_id").alias("most_id")), "paragraph-items")
+    signed = materialise(marked.drop("keys", "shingles"), "paragraphs")
+    place = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash", "paragraph"))
+    classes = materialise(signed.groupBy("item").agg(F.min(place).alias("first"), F.max("doc_id").alias("most_id")), "paragraph-items")
 
     def sets_of(items: DataFrame) -> DataFrame:
-        wanted = materialise(classes.join(items, "item", "left_semi").select("item", F.col("least_id").alias("wanted_id")), "paragraphs-wanted")
-        ids = materialise(wanted.select("wanted_id").distinct(), "paragraphs-docs")
-        release(marked)
-        hashed = texts.join(small_side(ids, ids.count()), F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").mapInArrow(lambda b: paragraph_sets(b, width), "item long, set binary")
-        return hashed.join(small_side(wanted.select("item"), wanted.count()), "item", "left_semi").dropDuplicates(["item"])
-
-    linked = link_components(marked.select("item", F.explode("keys").alias("key")), sets_of, Bound(percent), "paragraphs")
-    every = classes.select("item", "least_id", "most_id").join(linked, "item", "left").withColumn("group_id", F.coalesce("component", "item"))
-    spread = every.groupBy("group_id").agg(F.min("least_id").alias("kept_doc_id"), F.max("most_id").alias("most_id")).where("kept_doc_id < most_id").select("group_id", "kept_doc_id")
-    grouped = materialise(every.join(spread, "group_id").select("item", "group_id", "kept_doc_id"), "paragraph-groups")
-    found = signed.join(small_side(grouped, grouped.count()), "item").drop("item")
-    run = F.col("paragraph") - F.dense_rank().over(W.partitionBy("doc_id").orderBy("paragraph"))
-    sized = found.withColumn("run", run).withColumn("passage_words", F.sum("n_words").over(W.partitionBy("doc_id", "run")))
-    passages = materialise(sized.where(F.col("passage_words") >= least_words).drop("run"), "passages")
-    first = passages.where("doc_id = kept_doc_id").groupBy("group_id").agg(F.min("paragraph").alias("first"))
-    both = passages.join(first, "group_id", "left")
-    kept = (F.col("doc_id") == F.col("kept_doc_id")) & (F.col("paragraph") == F.col("first"))
-    columns = ["doc_id", "paragraph", "start", "end", "n_words", "passage_words", "group_id", "kept_doc_id", "removed"]
-    near = both.withColumn("removed", ~F.coalesce(kept, F.lit(False))).select(columns)
-    return near.unionByName(verbatim.withColumn("paragraph", F.lit(None).cast("int")).select(columns))
+        wanted = materialise(items, "paragraphs-wanted")
+        held = marked.select("item", "shingles").join(small_side(wanted, wanted.count()), "item", "left_semi").dropDuplicates(["item"])
+        return held.mapInArrow(as_sets, "item long, set binary")
+
+    linked = materialise(link_components(marked.select("item", F.explode("keys").alias("key")), sets_of, Bound(percent), "paragraphs"), "paragraphs-linked")
+    release(marked)
+    every = classes.join(small_side(linked, linked.count()), "item", "left").where("component is not null or first.doc_id < most_id")
+    every = materialise(every.select("item", "first", "most_id", F.coalesce("component", "item").alias("group_id")), "paragraphs-grouped")
+    spread_out = every.groupBy("group_id").agg(F.min("first").alias("first"), F.max("most_id").alias("most_id")).where("first.doc_id < most_id").select("group_id", "first")
+    n = every.count()
+    grouped = materialise(every.select("item", "group_id").join(small_side(spread_out, n), "group_id"), "paragraph-groups")
+    found = signed.join(small_side(grouped, n), "item").drop("item").dropDuplicates(["doc_id", "text_hash", "paragraph"])
+    kept = F.struct("doc_id", "text_hash", "paragraph") == F.col("first")
+    near = chained(found).where(F.col("passage_words") >= least_words).withColumn("removed", ~F.coalesce(kept, F.lit(False))).withColumn("kept_doc_id", F.col("first.doc_id"))
+    columns = ["doc_id", "text_hash", "paragraph", "start", "end", "n_words", "passage_words", "group_id", "kept_doc_id", "removed"]
+    return near.select(columns).unionByName(verbatim.withColumn("paragraph", F.lit(None).cast("int")).select(columns))
 
 
 def remove_passages(docs: DataFrame, **options) -> DataFrame:
-    """`docs`, with all their columns, less the removed paragraphs of their texts."""
-    spans = repeated_passages(docs, **options).where("removed").select("doc_id", F.struct("start", "end").alias("span")).distinct()
-    gone = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list("span")).alias("gone"))
+    """`docs`, with all their columns, less the removed stretches of their texts."""
+    spans = repeated_passages(docs, **options).where("removed").select("doc_id", "text_hash", F.struct("start", "end").alias("span")).distinct()
+    gone = spans.groupBy(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).agg(F.sort_array(F.collect_list("span")).alias("gone"))
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("row_id"), F.col("text").alias("whole"))
     begin = F.struct(F.lit("").alias("kept"), F.lit(0).alias("at"))
     step = lambda out, s: F.struct(F.concat(out["kept"], F.substring(F.col("whole"), out["at"] + 1, F.greatest(s["start"] - out["at"], F.lit(0)))).alias("kept"), F.greatest(out["at"], s["end"]).alias("at"))
     cut = F.aggregate("gone", begin, step, lambda out: F.concat(out["kept"], F.substring(F.col("whole"), out["at"] + 1, F.length("whole"))))
-    joined = rows.join(gone.withColumnRenamed("doc_id", "gone_id"), F.col("row_id") == F.col("gone_id"), "left")
+    same = F.col("row_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("whole") == F.col("gone_hash"))
+    joined = rows.join(gone, same, "left")
     return joined.select(F.col("row").withField("text", F.when(F.col("gone").isNull(), F.col("whole")).otherwise(cut)).alias("row")).select("row.*")

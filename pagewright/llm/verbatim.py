@@ -1,10 +1,12 @@
 """Runs of words that two documents share, wherever they begin and end.
 
 Every run of `least` words is named by the least hash among its shorter runs of words, its seed. Equal
-runs have equal seeds, and neighbouring runs mostly have the same one, so a document has one seed for
-some `least` / 4 words. Seeds of one document alone are dropped first; then the runs that a shared seed
-names are compared by hash. What is left are exactly the runs that two documents have (but for a chance
-collision of 64 bits). Lines play no part.
+runs have equal seeds, and neighbouring runs mostly have the same one: they make a block, one row for
+some `least` / 4 words that also holds its runs' hashes and places. Seeds of one document alone are
+dropped first. Where all blocks of a seed are equal, their runs are shared as they stand; only of the
+others are single runs compared, each distinct block once. What is left are exactly the runs that two
+documents have (but for a chance collision: 64 bits of the seed and 32 of the run). Lines play no part,
+texts are read once, and no text is shuffled.
 """
 
 from __future__ import annotations
@@ -14,30 +16,21 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import SPACES, as_bytes, materialise, release, small, small_side
-from pagewright.llm.shingles import mixed, word_hashes
+from pagewright.llm.common import as_bytes, materialise, release, small, small_side
+from pagewright.llm.shingles import mixed, sums_of, words_of
 
 STEP_BYTES = 1 << 18
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_BASE = 0x9E3779B97F4A7C15
-_SPACE = np.zeros(256, bool)
-_SPACE[list(SPACES)] = True
 
 
 def run_hashes(words: np.ndarray, width: int) -> np.ndarray:
     """The hash of each run of `width` words, from one running sum."""
     if len(words) < width:
         return np.empty(0, np.uint64)
-    ones = np.ones(len(words), np.uint64)
-    up, down = ones * np.uint64(_BASE), ones * np.uint64(pow(_BASE, -1, 1 << 64))
-    up[0] = down[0] = 1
-    up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    sums = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * up, out=sums[1:])
+    sums, down = sums_of(words)
     return mixed((sums[width:] - sums[:-width]) * down[: len(words) - width + 1] ^ np.uint64(width))
 
 
@@ -51,81 +44,83 @@ def least_around(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - reach)], x[width - reach :])
 
 
-def runs(texts: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words' hashes and their texts; first words of the runs of `least` words that lie in one text, and the runs' seeds."""
-    split = [t.lower().split() for t in texts]
-    hashes = word_hashes([w for words in split for w in words])
-    owner = np.repeat(np.arange(len(texts)), [len(words) for words in split])
-    inner = (least + 1) // 2
-    seeds = least_around(run_hashes(hashes, inner), least - inner + 1)
-    at = np.flatnonzero(owner[: len(seeds)] == owner[least - 1 :]) if len(seeds) else np.empty(0, np.int64)
-    return hashes, owner, at, seeds[at]
-
-
-def steps(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
+def steps(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
     """Texts in runs of some hundred kilobytes, each with the number of its first."""
-    first, held, size = 0, [], 0
-    for n, text in enumerate(as_bytes(batch, "text")):
-        held.append(text)
-        size += len(text) + 1
-        if size >= STEP_BYTES:
-            yield first, held
-            first, held, size = n + 1, [], 0
-    if held:
-        yield first, held
+    at = 0
+    while at < len(texts):
+        end, held = at, 0
+        while end < len(texts) and held < STEP_BYTES:
+            held += len(texts[end]) + 1
+            end += 1
+        yield at, texts[at:end]
+        at = end
 
 
-def seeds_of(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    for batch in small(batches):
-        ids = batch.column("doc_id").cast(pa.int64())
-        for first, texts in steps(batch):
-            _, owner, at, seeds = runs(texts, least)
-            text = owner[at]
-            new = np.flatnonzero(np.r_[True, (seeds[1:] != seeds[:-1]) | (text[1:] != text[:-1])]) if len(at) else at
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(text[new] + first)), pa.array(seeds[new].view(np.int64))], ["doc_id", "seed"])
-
+BLOCKS = "doc_id long, text_hash long, seed long, name long, at int, runs array<int>, starts array<int>, ends array<int>"
 
-def places(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Where words start and end, in code points."""
-    data = np.frombuffer(text, np.uint8)
-    edges = np.flatnonzero(np.diff(np.r_[True, _SPACE[data], True]))
-    if not text.isascii():
-        edges = np.r_[0, np.cumsum((data & 0xC0) != 0x80)][edges]
-    return edges[0::2], edges[1::2]
 
-
-def named_runs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """The runs that the texts' shared seeds name."""
+def blocks_of(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    inner = (least + 1) // 2
+    most = least - inner + 1
     for batch in small(batches):
-        ids, lists = batch.column("doc_id").cast(pa.int64()), batch.column("seeds")
-        for first, texts in steps(batch):
-            hashes, owner, at, seeds = runs(texts, least)
-            shared = pc.list_flatten(lists.slice(first, len(texts))).to_numpy(zero_copy_only=False)
-            at = at[np.isin(seeds.view(np.int64), shared)]
+        ids, text_hashes = batch.column("doc_id"), batch.column("text_hash")
+        for first, texts in steps(as_bytes(batch, "text")):
+            words = words_of(texts)
+            seeds = least_around(run_hashes(words.hashes, inner), most)
+            at = np.flatnonzero(words.owner[: len(seeds)] == words.owner[least - 1 :]) if len(seeds) else np.empty(0, np.int64)
             if not len(at):
                 continue
-            text = owner[at]
-            begins = np.searchsorted(owner, np.arange(len(texts)))
-            start, end = np.empty(len(at), np.int32), np.empty(len(at), np.int32)
-            edges = np.searchsorted(text, np.arange(len(texts) + 1))
-            for n in np.unique(text).tolist():
-                starts, ends = places(texts[n])
-                own = slice(edges[n], edges[n + 1])
-                start[own], end[own] = starts[at[own] - begins[n]], ends[at[own] - begins[n] + least - 1]
-            columns = [ids.take(pa.array(text + first)), pa.array(run_hashes(hashes, least)[at].view(np.int64)), pa.array((at - begins[text]).astype(np.int32)), pa.array(start), pa.array(end)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "run", "at", "start", "end"])
+            seeds, text = seeds[at], words.owner[at]
+            new = np.r_[True, (seeds[1:] != seeds[:-1]) | (text[1:] != text[:-1])]
+            begins = np.flatnonzero(new)
+            within = np.arange(len(at)) - begins[np.cumsum(new) - 1]
+            begins = np.flatnonzero(within % most == 0)  # a text that repeats itself has long stretches of one seed
+            n = np.diff(np.r_[begins, len(at)])
+            a = at[begins]
+            sums, down = sums_of(words.hashes)
+            names = mixed((sums[a + n + least - 1] - sums[a]) * down[a] + n.astype(np.uint64))
+            first_words = np.searchsorted(words.owner, text[begins])
+            runs = (run_hashes(words.hashes, least)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            edges = pa.array(np.r_[begins, len(at)].astype(np.int32))
+            lists = [pa.ListArray.from_arrays(edges, pa.array(x)) for x in (runs, words.start[at].astype(np.int32), words.end[at + least - 1].astype(np.int32))]
+            rows = pa.array(text[begins] + first)
+            columns = [ids.take(rows), text_hashes.take(rows), pa.array(seeds[begins].view(np.int64)), pa.array(names.view(np.int64)), pa.array((a - first_words).astype(np.int32)), *lists]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in BLOCKS.split(", ")])
+
+
+def opened(t: pa.Table) -> tuple[np.ndarray, ...]:
+    """(doc, text, run, at, start, end, kept) of the shared runs of blocks (BLOCKS, with kept_doc_id for all their runs, or kept for some)."""
+    lists = t.column("runs").combine_chunks()
+    sizes = lists.value_lengths().to_numpy()
+    number = np.repeat(np.arange(t.num_rows), sizes)
+    place = np.arange(len(number)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    kept = np.where(t.column("kept_doc_id").is_null().to_numpy(), 0, t.column("kept_doc_id").fill_null(0).to_numpy())[number]
+    chosen = t.column("kept_doc_id").is_valid().to_numpy()[number]
+    some = t.column("kept").combine_chunks()
+    which = np.repeat(np.arange(t.num_rows), some.value_lengths().fill_null(0).to_numpy())
+    flat = some.flatten()
+    if len(flat):
+        spot = (np.cumsum(sizes) - sizes)[which] + flat.field("place").to_numpy()
+        kept[spot], chosen[spot] = flat.field("kept_doc_id").to_numpy(), True
+    wide = lambda name: t.column(name).to_numpy()[number[chosen]]
+    inner = lambda name: t.column(name).combine_chunks().flatten().to_numpy()[chosen]
+    run = mixed(wide("seed").view(np.uint64) + inner("runs").view(np.uint32)).view(np.int64)
+    return wide("doc_id"), wide("text_hash"), run, wide("at") + place[chosen], inner("starts"), inner("ends"), kept[chosen]
 
 
 def joined_runs(t: pa.Table, least: int) -> pa.RecordBatch:
     """Runs that overlap or touch are one passage, with one row per stretch that is kept, or removed for one document."""
-    doc, run, at, start, end, kept = (t.column(c).to_numpy() for c in ("doc_id", "run", "at", "start", "end", "kept_doc_id"))
-    once = np.r_[True, (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])]
-    doc, run, at, start, end, kept = (x[once] for x in (doc, run, at, start, end, kept))
+    doc, text, run, at, start, end, kept = opened(t)
+    order = np.lexsort((at, text, doc))
+    doc, text, run, at, start, end, kept = (x[order] for x in (doc, text, run, at, start, end, kept))
+    own = lambda a, b: (doc[a] == doc[b]) & (text[a] == text[b])
+    once = np.r_[True, ~own(np.s_[1:], np.s_[:-1]) | (at[1:] != at[:-1])]
+    doc, text, run, at, start, end, kept = (x[once] for x in (doc, text, run, at, start, end, kept))
     removed = doc != kept
-    order = np.lexsort((at, run, doc))
-    again = np.r_[False, (doc[order][1:] == doc[order][:-1]) & (run[order][1:] == run[order][:-1])]
+    order = np.lexsort((at, run, text, doc))
+    again = np.r_[False, own(order[1:], order[:-1]) & (run[order][1:] == run[order][:-1])]
     removed[order[again]] = True
-    near = (doc[1:] == doc[:-1]) & (at[1:] - at[:-1] <= least)
+    near = own(np.s_[1:], np.s_[:-1]) & (at[1:] - at[:-1] <= least)
     passage = np.cumsum(np.r_[True, ~near]) - 1
     begins = np.flatnonzero(np.r_[True, ~near])
     lasts = np.r_[begins[1:], len(at)] - 1
@@ -133,12 +128,12 @@ def joined_runs(t: pa.Table, least: int) -> pa.RecordBatch:
     same = near & (at[1:] == at[:-1] + 1) & (kept[1:] == kept[:-1]) & (removed[1:] == removed[:-1])
     a = np.flatnonzero(np.r_[True, ~same])
     z = np.r_[a[1:], len(at)] - 1
-    columns = [doc[a], start[a], end[z], (at[z] - at[a] + least).astype(np.int32), words[a].astype(np.int64), run[a], kept[a], removed[a]]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["doc_id", "start", "end", "n_words", "passage_words", "group_id", "kept_doc_id", "removed"])
+    columns = [doc[a], text[a], start[a], end[z], (at[z] - at[a] + least).astype(np.int32), words[a].astype(np.int64), run[a], kept[a], removed[a]]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], [c.split()[0] for c in PASSAGES.split(", ")])
 
 
 def passages(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Rows come by doc_id and place; a document's last rows wait for the next batch."""
+    """Rows come by doc_id; a document's last rows wait for the next batch."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
@@ -155,7 +150,7 @@ def passages(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Recor
         yield joined_runs(pa.Table.from_batches(held), least)
 
 
-PASSAGES = "doc_id long, start int, end int, n_words int, passage_words long, group_id long, kept_doc_id long, removed boolean"
+PASSAGES = "doc_id long, text_hash long, start int, end int, n_words int, passage_words long, group_id long, kept_doc_id long, removed boolean"
 
 
 @contextmanager
@@ -170,25 +165,32 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
 
 
 def shared_runs(docs: DataFrame, least: int) -> DataFrame:
-    """One row per stretch of `least` words or more that another doc_id has too: doc_id, start and end
-    (code points, end exclusive), n_words, passage_words (of the overlapping stretches it belongs to),
-    group_id (names its first `least` words), kept_doc_id (the smallest that has them), removed.
+    """One row per stretch of `least` words or more that another doc_id has too: doc_id, text_hash, start
+    and end (code points, end exclusive), n_words, passage_words (of the overlapping stretches it belongs
+    to), group_id (names its first `least` words), kept_doc_id (the smallest that has them), removed.
 
-    A run is kept where it first stands in its smallest doc_id. Rows of null doc_id are passed over.
+    docs: (doc_id long, text, text_hash). A run is kept where it first stands in the texts of its smallest
+    doc_id. Rows of null doc_id are passed over, rows that repeat both doc_id and text count once.
     """
     with shuffles_removed(docs.sparkSession):
-        texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        in_two = [F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("most_id")]
-        seeds = materialise(texts.mapInArrow(lambda b: seeds_of(b, least), "doc_id long, seed long"), "seeds")
-        shared = materialise(seeds.groupBy("seed").agg(*in_two).where("kept_doc_id < most_id").select("seed"), "seeds-shared")
-        lists = materialise(seeds.join(small_side(shared, shared.count()), "seed").groupBy(F.col("doc_id").alias("held_id")).agg(F.collect_set("seed").alias("seeds")), "seeds-held")
-        release(seeds, shared)
-        wanted = texts.join(small_side(lists, lists.count(), 5_000), F.col("doc_id") == F.col("held_id")).select("doc_id", "text", "seeds")
-        named = materialise(wanted.mapInArrow(lambda b: named_runs(b, least), "doc_id long, run long, at int, start int, end int"), "runs")
-        release(lists)
-        both = materialise(named.groupBy("run").agg(*in_two).where("kept_doc_id < most_id").drop("most_id"), "runs-shared")
-        hits = named.join(small_side(both, both.count()), "run").select("doc_id", "run", "at", "start", "end", "kept_doc_id")
-        placed = hits.repartition("doc_id").sortWithinPartitions("doc_id", "at")
+        texts = docs.where("doc_id is not null").select("doc_id", "text", "text_hash")
+        blocks = materialise(texts.mapInArrow(lambda b: blocks_of(b, least), BLOCKS), "blocks")
+        ends = [F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("most_id")]
+        by_seed = blocks.groupBy("seed").agg(*ends, F.min("name").alias("name"), F.max("name").alias("other")).where("kept_doc_id < most_id")
+        seeds = materialise(by_seed.select("seed", F.when(F.col("name") == F.col("other"), F.col("kept_doc_id")).alias("kept_doc_id")), "seeds-shared")
+        held = materialise(blocks.join(small_side(seeds, seeds.count()), "seed"), "blocks-held")
+        release(blocks, seeds)
+        mixed_up = held.where("kept_doc_id is null").drop("kept_doc_id")
+        distinct = mixed_up.groupBy("name").agg(*ends, F.min("seed").alias("seed"), F.min("runs").alias("runs"))
+        single = materialise(distinct.select("name", "seed", "kept_doc_id", "most_id", F.posexplode("runs").alias("place", "run")), "runs")
+        two = single.groupBy("seed", "run").agg(F.min("kept_doc_id").alias("kept_doc_id"), F.max("most_id").alias("most_id")).where("kept_doc_id < most_id").drop("most_id")
+        both = materialise(two, "runs-shared")
+        chosen = single.drop("kept_doc_id", "most_id").join(small_side(both, both.count()), ["seed", "run"])
+        some = materialise(chosen.groupBy("name").agg(F.collect_list(F.struct("place", "kept_doc_id")).alias("kept")), "blocks-shared")
+        parted = mixed_up.withColumn("kept_doc_id", F.lit(None).cast("long")).join(small_side(some, some.count()), "name")
+        whole = held.where("kept_doc_id is not null").withColumn("kept", F.lit(None).cast(parted.schema["kept"].dataType))
+        wanted = ["doc_id", "text_hash", "seed", "at", "runs", "starts", "ends", "kept_doc_id", "kept"]
+        placed = whole.select(wanted).unionByName(parted.select(wanted)).repartition("doc_id").sortWithinPartitions("doc_id")
         found = materialise(placed.mapInArrow(lambda b: passages(b, least), PASSAGES), "runs-found")
-        release(named, both)
+        release(held, single, both, some)
         return found

@@ -180,8 +180,7 @@ def repeated_passages(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     verbatim = shared_runs(texts, least_words)
     marked = materialise(texts.mapInArrow(lambda b: sign(b, width, hashing), SIGNED), "paragraphs-marked")
     signed = materialise(marked.drop("keys", "shingles"), "paragraphs")
-    place = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash", "paragraph"))
-    classes = materialise(signed.groupBy("item").agg(F.min(place).alias("first"), F.max("doc_id").alias("most_id")), "paragraph-items")
+    classes = materialise(signed.groupBy("item").agg(F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("most_id")), "paragraph-items")
 
     def sets_of(items: DataFrame) -> DataFrame:
         wanted = materialise(items, "paragraphs-wanted")
@@ -190,14 +189,16 @@ def repeated_passages(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
 
     linked = materialise(link_components(marked.select("item", F.explode("keys").alias("key")), sets_of, Bound(percent), "paragraphs"), "paragraphs-linked")
     release(marked)
-    every = classes.join(small_side(linked, linked.count()), "item", "left").where("component is not null or first.doc_id < most_id")
-    every = materialise(every.select("item", "first", "most_id", F.coalesce("component", "item").alias("group_id")), "paragraphs-grouped")
-    spread_out = every.groupBy("group_id").agg(F.min("first").alias("first"), F.max("most_id").alias("most_id")).where("first.doc_id < most_id").select("group_id", "first")
+    every = classes.join(small_side(linked, linked.count()), "item", "left").where("component is not null or kept_doc_id < most_id")
+    every = materialise(every.select("item", "kept_doc_id", "most_id", F.coalesce("component", "item").alias("group_id")), "paragraphs-grouped")
+    spread_out = every.groupBy("group_id").agg(F.min("kept_doc_id").alias("kept_doc_id"), F.max("most_id").alias("most_id")).where("kept_doc_id < most_id").drop("most_id")
     n = every.count()
     grouped = materialise(every.select("item", "group_id").join(small_side(spread_out, n), "group_id"), "paragraph-groups")
     found = signed.join(small_side(grouped, n), "item").drop("item").dropDuplicates(["doc_id", "text_hash", "paragraph"])
-    kept = F.struct("doc_id", "text_hash", "paragraph") == F.col("first")
-    near = chained(found).where(F.col("passage_words") >= least_words).withColumn("removed", ~F.coalesce(kept, F.lit(False))).withColumn("kept_doc_id", F.col("first.doc_id"))
+    sized = materialise(chained(found), "paragraphs-sized")
+    of_kept = sized.where("doc_id = kept_doc_id").groupBy("group_id").agg(F.min(F.struct("text_hash", "paragraph")).alias("first"))
+    own = sized.where("doc_id = kept_doc_id").join(of_kept, "group_id").withColumn("removed", F.struct("text_hash", "paragraph") != F.col("first")).drop("first")
+    near = own.unionByName(sized.where("not doc_id <=> kept_doc_id").withColumn("removed", F.lit(True))).where(F.col("passage_words") >= least_words)
     columns = ["doc_id", "text_hash", "paragraph", "start", "end", "n_words", "passage_words", "group_id", "kept_doc_id", "removed"]
     return near.select(columns).unionByName(verbatim.withColumn("paragraph", F.lit(None).cast("int")).select(columns))
 

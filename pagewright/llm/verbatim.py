@@ -16,6 +16,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,11 +57,22 @@ def steps(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
         at = end
 
 
-BLOCKS = "doc_id long, text_hash long, seed long, name long, at int, runs array<int>, starts array<int>, ends array<int>"
+#: runs, starts and ends hold 32-bit numbers, one a run; places count from `start`.
+BLOCKS = "doc_id long, text_hash long, seed long, name long, at int, start int, runs binary, starts binary, ends binary"
+
+
+def packed(numbers: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """32-bit numbers as one binary value from each edge to the next."""
+    return pa.BinaryArray.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * 4).astype(np.int32)), pa.py_buffer(numbers.astype(np.uint32))])
+
+
+def unpacked(column: pa.Array) -> np.ndarray:
+    """All numbers of a column of packed() values."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32)
 
 
 def blocks_of(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    inner = (least + 1) // 2
+    inner = max(1, least // 3)
     most = least - inner + 1
     for batch in small(batches):
         ids, text_hashes = batch.column("doc_id"), batch.column("text_hash")
@@ -80,32 +92,49 @@ def blocks_of(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Reco
             sums, down = sums_of(words.hashes)
             names = mixed((sums[a + n + least - 1] - sums[a]) * down[a] + n.astype(np.uint64))
             first_words = np.searchsorted(words.owner, text[begins])
-            runs = (run_hashes(words.hashes, least)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            edges = pa.array(np.r_[begins, len(at)].astype(np.int32))
-            lists = [pa.ListArray.from_arrays(edges, pa.array(x)) for x in (runs, words.start[at].astype(np.int32), words.end[at + least - 1].astype(np.int32))]
+            runs = run_hashes(words.hashes, least)[at] >> np.uint64(32)
+            start, from_ = words.start[a], np.repeat(words.start[a], n)
+            edges = np.r_[begins, len(at)]
+            lists = [packed(x, edges) for x in (runs, words.start[at] - from_, words.end[at + least - 1] - from_)]
             rows = pa.array(text[begins] + first)
-            columns = [ids.take(rows), text_hashes.take(rows), pa.array(seeds[begins].view(np.int64)), pa.array(names.view(np.int64)), pa.array((a - first_words).astype(np.int32)), *lists]
+            columns = [ids.take(rows), text_hashes.take(rows), pa.array(seeds[begins].view(np.int64)), pa.array(names.view(np.int64)), pa.array((a - first_words).astype(np.int32)), pa.array(start.astype(np.int32)), *lists]
             yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in BLOCKS.split(", ")])
 
 
+RUNS = "name long, seed long, kept_doc_id long, most_id long, place int, run int"
+
+
+def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of blocks (name, seed, kept_doc_id, most_id, runs), one row each."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = pa.compute.binary_length(batch.column("runs")).to_numpy() // 4
+        number = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
+        place = np.arange(len(number)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        columns = [batch.column(c).take(number) for c in ("name", "seed", "kept_doc_id", "most_id")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(place.astype(np.int32)), pa.array(unpacked(batch.column("runs")).view(np.int32))], [c.split()[0] for c in RUNS.split(", ")])
+
+
 def opened(t: pa.Table) -> tuple[np.ndarray, ...]:
     """(doc, text, run, at, start, end, kept) of the shared runs of blocks (BLOCKS, with kept_doc_id for all their runs, or kept for some)."""
-    lists = t.column("runs").combine_chunks()
-    sizes = lists.value_lengths().to_numpy()
+    sizes = pa.compute.binary_length(t.column("runs")).to_numpy().astype(np.int64) // 4
+    firsts = np.cumsum(sizes) - sizes
     number = np.repeat(np.arange(t.num_rows), sizes)
-    place = np.arange(len(number)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    kept = np.where(t.column("kept_doc_id").is_null().to_numpy(), 0, t.column("kept_doc_id").fill_null(0).to_numpy())[number]
+    place = np.arange(len(number)) - firsts[number]
     chosen = t.column("kept_doc_id").is_valid().to_numpy()[number]
+    kept = t.column("kept_doc_id").fill_null(0).to_numpy()[number]
     some = t.column("kept").combine_chunks()
     which = np.repeat(np.arange(t.num_rows), some.value_lengths().fill_null(0).to_numpy())
     flat = some.flatten()
     if len(flat):
-        spot = (np.cumsum(sizes) - sizes)[which] + flat.field("place").to_numpy()
+        spot = firsts[which] + flat.field("place").to_numpy()
         kept[spot], chosen[spot] = flat.field("kept_doc_id").to_numpy(), True
     wide = lambda name: t.column(name).to_numpy()[number[chosen]]
-    inner = lambda name: t.column(name).combine_chunks().flatten().to_numpy()[chosen]
-    run = mixed(wide("seed").view(np.uint64) + inner("runs").view(np.uint32)).view(np.int64)
-    return wide("doc_id"), wide("text_hash"), run, wide("at") + place[chosen], inner("starts"), inner("ends"), kept[chosen]
+    inner = lambda name: unpacked(t.column(name))[chosen].astype(np.int64)
+    run = mixed(wide("seed").view(np.uint64) + inner("runs").view(np.uint64)).view(np.int64)
+    places = [(inner(x) + wide("start")).astype(np.int32) for x in ("starts", "ends")]
+    return wide("doc_id"), wide("text_hash"), run, wide("at") + place[chosen], *places, kept[chosen]
 
 
 def joined_runs(t: pa.Table, least: int) -> pa.RecordBatch:
@@ -182,14 +211,14 @@ def shared_runs(docs: DataFrame, least: int) -> DataFrame:
         release(blocks, seeds)
         mixed_up = held.where("kept_doc_id is null").drop("kept_doc_id")
         distinct = mixed_up.groupBy("name").agg(*ends, F.min("seed").alias("seed"), F.min("runs").alias("runs"))
-        single = materialise(distinct.select("name", "seed", "kept_doc_id", "most_id", F.posexplode("runs").alias("place", "run")), "runs")
+        single = materialise(distinct.select("name", "seed", "kept_doc_id", "most_id", "runs").mapInArrow(runs_of, RUNS), "runs")
         two = single.groupBy("seed", "run").agg(F.min("kept_doc_id").alias("kept_doc_id"), F.max("most_id").alias("most_id")).where("kept_doc_id < most_id").drop("most_id")
         both = materialise(two, "runs-shared")
         chosen = single.drop("kept_doc_id", "most_id").join(small_side(both, both.count()), ["seed", "run"])
         some = materialise(chosen.groupBy("name").agg(F.collect_list(F.struct("place", "kept_doc_id")).alias("kept")), "blocks-shared")
         parted = mixed_up.withColumn("kept_doc_id", F.lit(None).cast("long")).join(small_side(some, some.count()), "name")
         whole = held.where("kept_doc_id is not null").withColumn("kept", F.lit(None).cast(parted.schema["kept"].dataType))
-        wanted = ["doc_id", "text_hash", "seed", "at", "runs", "starts", "ends", "kept_doc_id", "kept"]
+        wanted = ["doc_id", "text_hash", "seed", "at", "start", "runs", "starts", "ends", "kept_doc_id", "kept"]
         placed = whole.select(wanted).unionByName(parted.select(wanted)).repartition("doc_id").sortWithinPartitions("doc_id")
         found = materialise(placed.mapInArrow(lambda b: passages(b, least), PASSAGES), "runs-found")
         release(held, single, both, some)

@@ -38,10 +38,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write `df` to the shared folder and read it back."""
+def materialise(df: DataFrame, name: str, hashes: bool = False) -> DataFrame:
+    """Cut the lineage: write `df` to the shared folder and read it back.
+
+    hashes: it holds numbers that neither repeat nor shrink, for which dictionaries and a thorough codec are lost labour.
+    """
     spark, path = df.sparkSession, new_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    options = {"compression": "lz4_raw", "parquet.enable.dictionary": "false"} if hashes else {"compression": "zstd"}
+    df.write.options(**options).parquet(path)
     kept = spark.read.schema(df.schema).parquet(path)
     kept._written_to = path
     return kept

@@ -105,9 +105,9 @@ def named_apart(marked: DataFrame) -> DataFrame:
 def labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Per row of `docs`: doc_id, n_shingles, text_hash, group (a name of its component) and component_id."""
     hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    written = materialise(hashed.mapInArrow(lambda b: sign(b, width, percent), SIGNED), "jaccard-marked")
+    written = materialise(hashed.mapInArrow(lambda b: sign(b, width, percent), SIGNED), "jaccard-marked", hashes=True)
     marked = named_apart(written)
-    signed = materialise(marked.drop("keys", "set", "check"), "jaccard-signed")
+    signed = materialise(marked.drop("keys", "set", "check"), "jaccard-signed", hashes=True)
     classes = materialise(signed.where("item IS NOT NULL").groupBy("item").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies")), "jaccard-items")
 
     def sets_of(items: DataFrame) -> DataFrame:

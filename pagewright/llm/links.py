@@ -8,9 +8,9 @@ allows a link, the components join one group. A group's sets come together once,
 of items of different components are compared, again behind the bit counts.
 
 Both steps deal their buckets or groups over tiles: items of the largest component and the others go
-to blocks of at most TILE items, and each two blocks that can hold a pair of different components
-make a tile. A task so holds at most 2 * TILE items of a tile, no pair is left out, and a group of
-copies that link with their representative costs rows in proportion to its size.
+to blocks of some TILE items or TILE_SHINGLES shingles, whichever is less, and each two blocks that can
+hold a pair of different components make a tile. A task so holds two blocks of a tile, no pair is left
+out, and a group of copies that link with their representative costs rows in proportion to its size.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pagewright.llm.common import materialise, materialise_counted, release, small_side
 from pagewright.llm.shingles import bitmap, common, folded
 
-TILE = 2_048
+TILE, TILE_SHINGLES = 2_048, 8_000_000
 HOT_ROWS = 1_000_000
 SAMPLE = 64
 
@@ -74,8 +74,13 @@ def compare_tile(table: pa.Table, bound: Bound) -> list[tuple[int, int, int, int
     sets = arrays(table.column("set")) if exact else []
     bits = [bitmap(s) for s in sets] if exact else arrays(table.column("bits"))
     order = np.argsort(sizes, kind="stable")
-    words = min(map(len, bits))
-    maps = np.stack([folded(x, words) for x in bits])
+    widths = np.array([len(x) for x in bits])
+    place_at, maps_at = {}, {}  # by width: the sets that have it or more, folded to it
+    for words in np.unique(widths).tolist():
+        wide = np.flatnonzero(widths >= words)
+        place_at[words] = np.zeros(len(bits), np.int64)
+        place_at[words][wide] = np.arange(len(wide))
+        maps_at[words] = np.stack([folded(bits[k], words) for k in wide.tolist()])
     split = blocks.min() != blocks.max()
     parent = {c: c for c in components.tolist()}
     apart = len(parent) - 1
@@ -92,7 +97,9 @@ def compare_tile(table: pa.Table, bound: Bound) -> list[tuple[int, int, int, int
         later = later[(components[later] != components[i]) & ((blocks[later] != blocks[i]) if split else True)]
         if not len(later):
             continue
-        most = np.minimum(sizes[later] - np.bitwise_count(maps[later] & ~maps[i]).sum(1, dtype=np.int64), sizes[i] - np.bitwise_count(maps[i] & ~maps[later]).sum(1, dtype=np.int64))
+        words = int(widths[i])
+        own, others = maps_at[words][place_at[words][i]], maps_at[words][place_at[words][later]]
+        most = np.minimum(sizes[later] - np.bitwise_count(others & ~own).sum(1, dtype=np.int64), sizes[i] - np.bitwise_count(own & ~others).sum(1, dtype=np.int64))
         for j in later[most >= bound.least_common(sizes[i], sizes[later])].tolist():
             x, y = root(int(components[i])), root(int(components[j]))
             if x != y and (not exact or bound.links(int(sizes[i]), int(sizes[j]), common(sets[i], sets[j]))):
@@ -184,16 +191,17 @@ def once_each(unresolved: DataFrame) -> DataFrame:
 
 
 def dealt(rows: DataFrame) -> DataFrame:
-    """(tile, block, item, component) from (key, item, component): blocks of the largest component come last."""
-    parts = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
+    """(tile, block, item, component, size) from (key, item, component, size): blocks of the largest component come last."""
+    share = F.sum(F.greatest(F.lit(1 / TILE), F.col("size") / TILE_SHINGLES))
+    parts = rows.groupBy("key", "component").agg(F.round(share, 6).alias("n"))
     sizes = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("n"))
-    blocks = sizes.select("key", F.col("main.component").alias("main"), F.ceil(F.col("main.n") / TILE).cast("int").alias("mains"), F.ceil((F.col("n") - F.col("main.n")) / TILE).cast("int").alias("rests"))
+    blocks = sizes.select("key", F.col("main.component").alias("main"), F.ceil("main.n").cast("int").alias("mains"), F.ceil(F.col("n") - F.col("main.n")).cast("int").alias("rests"))
     is_main, place = F.col("component") == F.col("main"), F.xxhash64("item", F.lit(1))
     block = F.when(is_main, F.col("rests") + F.pmod(place, F.col("mains"))).otherwise(F.pmod(place, F.col("rests"))).cast("int")
     last = F.when(is_main, F.col("rests")).otherwise(F.col("rests") + F.col("mains")) - 1
     placed = rows.join(blocks, "key").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     tile = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
-    return placed.select(tile.alias("tile"), "block", "item", "component")
+    return placed.select(tile.alias("tile"), "block", "item", "component", "size")
 
 
 def compared(rows: DataFrame, bound: Bound) -> DataFrame:
@@ -204,7 +212,7 @@ def compared(rows: DataFrame, bound: Bound) -> DataFrame:
 def add_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = arrays(batch.column("set"))
-        yield pa.RecordBatch.from_arrays([batch.column("item"), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())], ["item", "size", "bits"])
+        yield pa.RecordBatch.from_arrays([batch.column("item"), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())], ["item", "bits"])
 
 
 def link_components(keyed: DataFrame, sets_of, bound: Bound, name: str) -> DataFrame:
@@ -229,12 +237,13 @@ def link_components(keyed: DataFrame, sets_of, bound: Bound, name: str) -> DataF
     unresolved, n = materialise_counted(once_each(labelled.join(several, "key", "left_semi")), f"{name}-unresolved", F.lit(True))
     if not n:
         return labels
-    bits = sets.mapInArrow(add_bits, "item long, size long, bits binary")
+    sizes = materialise(sets.select("item", (F.octet_length("set") / 8).cast("long").alias("size")), f"{name}-sizes")
+    unresolved = unresolved.join(small_side(sizes, sizes.count()), "item")
+    bits = sets.mapInArrow(add_bits, "item long, bits binary")
     allowed = compared(dealt(unresolved).join(bits, "item"), bound).select(F.col("component_a").alias("a"), F.col("component_b").alias("b"))
     groups = components(allowed, f"{name}-groups").select(F.col("item").alias("component"), F.col("component").alias("key"))
-    grouped = materialise(unresolved.select("item", "component").distinct().join(groups, "component").select("key", "item", "component"), f"{name}-grouped")
-    whole = sets.select("item", (F.octet_length("set") / 8).cast("long").alias("size"), "set")
-    more = compared(dealt(grouped).join(whole, "item"), bound).select(F.col("component_a").alias("a"), F.col("component_b").alias("b"))
+    grouped = materialise(unresolved.select("item", "component", "size").distinct().join(groups, "component").select("key", "item", "component", "size"), f"{name}-grouped")
+    more = compared(dealt(grouped).join(sets.select("item", "set"), "item"), bound).select(F.col("component_a").alias("a"), F.col("component_b").alias("b"))
     joined = components(more, name)
     alone = joined.join(labels.select(F.col("component").alias("item")).distinct(), "item", "left_anti").select("item", F.col("item").alias("component"))
     return relabelled(labels.unionByName(alone), joined.select("item", F.col("component").alias("to")))

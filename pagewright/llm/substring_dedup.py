@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pagewright.llm.common import as_bytes, materialise, release, small, small_side
 from pagewright.llm.links import Bound, link_components
 from pagewright.llm.shingles import mixed, sums_of, windows, words_of
-from pagewright.llm.verbatim import least_around, shared_runs, steps
+from pagewright.llm.verbatim import least_around, packed, shared_runs, steps
 
 WIDTH = 5
 PERCENT = 80
@@ -134,8 +134,7 @@ def sign(batches: Iterator[pa.RecordBatch], width: int, hashing: Minhash) -> Ite
             keys = hashing.keys(found.shingles, found.begins)
             number = np.arange(len(found.text)) - np.searchsorted(found.text, found.text)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(number) + 1, dtype=np.int32) * hashing.bands), pa.array(keys.ravel()))
-            offsets = np.r_[found.begins, len(found.shingles)].astype(np.int32) * 8
-            sets = pa.BinaryArray.from_buffers(pa.binary(), len(number), [None, pa.py_buffer(offsets), pa.py_buffer(found.shingles)])
+            sets = packed(found.shingles >> np.uint64(32), np.r_[found.begins, len(found.shingles)])
             rows = pa.array(found.text + first)
             columns = [ids.take(rows), text_hashes.take(rows), *(pa.array(x.astype(np.int32)) for x in (number, found.start, found.end, found.n_words)), pa.array(found.item), lists, sets]
             yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SIGNED.split(", ")])
@@ -143,7 +142,7 @@ def sign(batches: Iterator[pa.RecordBatch], width: int, hashing: Minhash) -> Ite
 
 def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [np.unique(np.frombuffer(x, np.uint64)).tobytes() for x in batch.column("shingles").to_pylist()]
+        sets = [np.unique(np.frombuffer(x, np.uint32)).astype(np.uint64).tobytes() for x in batch.column("shingles").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("item"), pa.array(sets, pa.binary())], ["item", "set"])
 
 
@@ -178,8 +177,8 @@ def repeated_passages(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     hashing = Minhash(*tuned_bands(percent / 100, RECALL, MOST_BANDS))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     verbatim = shared_runs(texts, least_words)
-    marked = materialise(texts.mapInArrow(lambda b: sign(b, width, hashing), SIGNED), "paragraphs-marked")
-    signed = materialise(marked.drop("keys", "shingles"), "paragraphs")
+    marked = materialise(texts.mapInArrow(lambda b: sign(b, width, hashing), SIGNED), "paragraphs-marked", hashes=True)
+    signed = materialise(marked.drop("keys", "shingles"), "paragraphs", hashes=True)
     classes = materialise(signed.groupBy("item").agg(F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("most_id")), "paragraph-items")
 
     def sets_of(items: DataFrame) -> DataFrame:

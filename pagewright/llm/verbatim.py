@@ -203,15 +203,16 @@ def shared_runs(docs: DataFrame, least: int) -> DataFrame:
     """
     with shuffles_removed(docs.sparkSession):
         texts = docs.where("doc_id is not null").select("doc_id", "text", "text_hash")
-        blocks = materialise(texts.mapInArrow(lambda b: blocks_of(b, least), BLOCKS), "blocks")
+        blocks = materialise(texts.mapInArrow(lambda b: blocks_of(b, least), BLOCKS), "blocks", hashes=True)
         ends = [F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("most_id")]
         by_seed = blocks.groupBy("seed").agg(*ends, F.min("name").alias("name"), F.max("name").alias("other")).where("kept_doc_id < most_id")
         seeds = materialise(by_seed.select("seed", F.when(F.col("name") == F.col("other"), F.col("kept_doc_id")).alias("kept_doc_id")), "seeds-shared")
-        held = materialise(blocks.join(small_side(seeds, seeds.count()), "seed"), "blocks-held")
+        held = materialise(blocks.join(small_side(seeds, seeds.count()), "seed"), "blocks-held", hashes=True)
         release(blocks, seeds)
         mixed_up = held.where("kept_doc_id is null").drop("kept_doc_id")
-        distinct = mixed_up.groupBy("name").agg(*ends, F.min("seed").alias("seed"), F.min("runs").alias("runs"))
-        single = materialise(distinct.select("name", "seed", "kept_doc_id", "most_id", "runs").mapInArrow(runs_of, RUNS), "runs")
+        names = materialise(mixed_up.groupBy("name").agg(*ends), "blocks-named")
+        one_each = mixed_up.withColumnRenamed("doc_id", "kept_doc_id").join(small_side(names, names.count()), ["name", "kept_doc_id"])
+        single = materialise(one_each.select("name", "seed", "kept_doc_id", "most_id", "runs").mapInArrow(runs_of, RUNS), "runs", hashes=True)
         two = single.groupBy("seed", "run").agg(F.min("kept_doc_id").alias("kept_doc_id"), F.max("most_id").alias("most_id")).where("kept_doc_id < most_id").drop("most_id")
         both = materialise(two, "runs-shared")
         chosen = single.drop("kept_doc_id", "most_id").join(small_side(both, both.count()), ["seed", "run"])
@@ -221,5 +222,5 @@ def shared_runs(docs: DataFrame, least: int) -> DataFrame:
         wanted = ["doc_id", "text_hash", "seed", "at", "start", "runs", "starts", "ends", "kept_doc_id", "kept"]
         placed = whole.select(wanted).unionByName(parted.select(wanted)).repartition("doc_id").sortWithinPartitions("doc_id")
         found = materialise(placed.mapInArrow(lambda b: passages(b, least), PASSAGES), "runs-found")
-        release(held, single, both, some)
+        release(held, names, single, both, some)
         return found

@@ -124,7 +124,12 @@ class Minhash:
 SIGNED = "doc_id long, text_hash long, paragraph int, start int, end int, n_words int, item long, keys array<long>, shingles binary"
 
 
-def sign(batches: Iterator[pa.RecordBatch], width: int, hashing: Minhash) -> Iterator[pa.RecordBatch]:
+def fewest_to_differ(percent: int) -> int:
+    """The fewest shingles of a set that links with a set that isn't equal to it."""
+    return next(n for n in range(1, 101) if 100 * n >= percent * (n + 1)) if percent < 100 else 1 << 30
+
+
+def sign(batches: Iterator[pa.RecordBatch], width: int, percent: int, hashing: Minhash) -> Iterator[pa.RecordBatch]:
     for batch in small(batches):
         ids, text_hashes = batch.column("doc_id"), batch.column("text_hash")
         for first, texts in steps(as_bytes(batch, "text")):
@@ -132,8 +137,10 @@ def sign(batches: Iterator[pa.RecordBatch], width: int, hashing: Minhash) -> Ite
             if not len(found.text):
                 continue
             keys = hashing.keys(found.shingles, found.begins)
+            used = np.ones(keys.shape, bool)
+            used[found.n_words - width + 1 < fewest_to_differ(percent), 1:] = False  # links with equal sets alone, which share all keys
             number = np.arange(len(found.text)) - np.searchsorted(found.text, found.text)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(number) + 1, dtype=np.int32) * hashing.bands), pa.array(keys.ravel()))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *used.sum(1)]).astype(np.int32)), pa.array(keys[used]))
             sets = packed(found.shingles >> np.uint64(32), np.r_[found.begins, len(found.shingles)])
             rows = pa.array(found.text + first)
             columns = [ids.take(rows), text_hashes.take(rows), *(pa.array(x.astype(np.int32)) for x in (number, found.start, found.end, found.n_words)), pa.array(found.item), lists, sets]
@@ -177,7 +184,7 @@ def repeated_passages(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     hashing = Minhash(*tuned_bands(percent / 100, RECALL, MOST_BANDS))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     verbatim = shared_runs(texts, least_words)
-    marked = materialise(texts.mapInArrow(lambda b: sign(b, width, hashing), SIGNED), "paragraphs-marked", hashes=True)
+    marked = materialise(texts.mapInArrow(lambda b: sign(b, width, percent, hashing), SIGNED), "paragraphs-marked", hashes=True)
     signed = materialise(marked.drop("keys", "shingles"), "paragraphs", hashes=True)
     classes = materialise(signed.groupBy("item").agg(F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("most_id")), "paragraph-items")
 

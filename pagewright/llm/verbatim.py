@@ -5,8 +5,8 @@ runs have equal seeds, and neighbouring runs mostly have the same one: they make
 some `least` / 4 words that also holds its runs' hashes and places. Seeds of one document alone are
 dropped first. Where all blocks of a seed are equal, their runs are shared as they stand; only of the
 others are single runs compared, each distinct block once. What is left are exactly the runs that two
-documents have (but for a chance collision: 64 bits of the seed and 32 of the run). Lines play no part,
-texts are read once, and no text is shuffled.
+documents have (but for a chance collision: 64 bits of the seed and 32 of the run). Lines play no part.
+Texts are read twice, once for the seeds and once for the blocks of shared seeds, and not shuffled.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ from pagewright.llm.common import as_bytes, materialise, release, small, small_s
 from pagewright.llm.shingles import mixed, sums_of, words_of
 
 STEP_BYTES = 1 << 18
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def run_hashes(words: np.ndarray, width: int) -> np.ndarray:
@@ -71,7 +70,12 @@ def unpacked(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32)
 
 
-def blocks_of(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+NAMED = "doc_id long, seed long, name long"
+
+
+def blocks_of(batches: Iterator[pa.RecordBatch], least: int, fields: str = BLOCKS) -> Iterator[pa.RecordBatch]:
+    """The texts' blocks, as rows of BLOCKS or of NAMED."""
+    wanted = [c.split()[0] for c in fields.split(", ")]
     inner = max(1, least // 3)
     most = least - inner + 1
     for batch in small(batches):
@@ -91,14 +95,16 @@ def blocks_of(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Reco
             a = at[begins]
             sums, down = sums_of(words.hashes)
             names = mixed((sums[a + n + least - 1] - sums[a]) * down[a] + n.astype(np.uint64))
-            first_words = np.searchsorted(words.owner, text[begins])
-            runs = run_hashes(words.hashes, least)[at] >> np.uint64(32)
-            start, from_ = words.start[a], np.repeat(words.start[a], n)
-            edges = np.r_[begins, len(at)]
-            lists = [packed(x, edges) for x in (runs, words.start[at] - from_, words.end[at + least - 1] - from_)]
             rows = pa.array(text[begins] + first)
-            columns = [ids.take(rows), text_hashes.take(rows), pa.array(seeds[begins].view(np.int64)), pa.array(names.view(np.int64)), pa.array((a - first_words).astype(np.int32)), pa.array(start.astype(np.int32)), *lists]
-            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in BLOCKS.split(", ")])
+            columns = {"doc_id": ids.take(rows), "seed": pa.array(seeds[begins].view(np.int64)), "name": pa.array(names.view(np.int64))}
+            if fields == BLOCKS:
+                runs = run_hashes(words.hashes, least)[at] >> np.uint64(32)
+                start, from_ = words.start[a], np.repeat(words.start[a], n)
+                edges, place = np.r_[begins, len(at)], a - np.searchsorted(words.owner, text[begins])
+                lists = {"runs": runs, "starts": words.start[at] - from_, "ends": words.end[at + least - 1] - from_}
+                columns |= {"text_hash": text_hashes.take(rows), "at": pa.array(place.astype(np.int32)), "start": pa.array(start.astype(np.int32))}
+                columns |= {c: packed(x, edges) for c, x in lists.items()}
+            yield pa.RecordBatch.from_arrays([columns[c] for c in wanted], wanted)
 
 
 RUNS = "name long, seed long, kept_doc_id long, most_id long, place int, run int"
@@ -183,14 +189,17 @@ PASSAGES = "doc_id long, text_hash long, start int, end int, n_words int, passag
 
 
 @contextmanager
-def shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Meanwhile the shuffle files of a query go as it ends."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+def frugal(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile a query's shuffle files go as it ends, and a joined side whose partitions are small isn't sorted."""
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 def shared_runs(docs: DataFrame, least: int) -> DataFrame:
@@ -201,14 +210,14 @@ def shared_runs(docs: DataFrame, least: int) -> DataFrame:
     docs: (doc_id long, text, text_hash). A run is kept where it first stands in the texts of its smallest
     doc_id. Rows of null doc_id are passed over, rows that repeat both doc_id and text count once.
     """
-    with shuffles_removed(docs.sparkSession):
+    with frugal(docs.sparkSession):
         texts = docs.where("doc_id is not null").select("doc_id", "text", "text_hash")
-        blocks = materialise(texts.mapInArrow(lambda b: blocks_of(b, least), BLOCKS), "blocks", hashes=True)
+        named, blocks = (texts.mapInArrow(lambda b, fields=fields: blocks_of(b, least, fields), fields) for fields in (NAMED, BLOCKS))
         ends = [F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("most_id")]
-        by_seed = blocks.groupBy("seed").agg(*ends, F.min("name").alias("name"), F.max("name").alias("other")).where("kept_doc_id < most_id")
-        seeds = materialise(by_seed.select("seed", F.when(F.col("name") == F.col("other"), F.col("kept_doc_id")).alias("kept_doc_id")), "seeds-shared")
+        by_seed = named.groupBy("seed").agg(*ends, F.min("name").alias("name"), F.max("name").alias("other")).where("kept_doc_id < most_id")
+        seeds = materialise(by_seed.select("seed", F.when(F.col("name") == F.col("other"), F.col("kept_doc_id")).alias("kept_doc_id")), "seeds-shared", hashes=True)
         held = materialise(blocks.join(small_side(seeds, seeds.count()), "seed"), "blocks-held", hashes=True)
-        release(blocks, seeds)
+        release(seeds)
         mixed_up = held.where("kept_doc_id is null").drop("kept_doc_id")
         names = materialise(mixed_up.groupBy("name").agg(*ends), "blocks-named")
         one_each = mixed_up.withColumnRenamed("doc_id", "kept_doc_id").join(small_side(names, names.count()), ["name", "kept_doc_id"])

@@ -19,7 +19,7 @@ SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: A joined side of at most so many rows of a few numbers each is broadcast (tens of MB).
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -73,6 +73,20 @@ def unused_names(df: DataFrame, *names: str) -> list[str]:
     return [n if n not in taken else n.ljust(longest + 1, "_") for n in names]
 
 
+@contextlib.contextmanager
+def frugal(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile a query's shuffle files go as it ends, and a joined side whose partitions are small isn't sorted."""
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def small_side(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """`df`, to be broadcast if it has at most `most` rows; else Spark picks a shuffled join."""
     return F.broadcast(df) if rows <= most else df

@@ -1,23 +1,26 @@
 """Benchmark decontamination with suffix arrays of the training text.
 
-The benchmark's windows (`width` consecutive words of an item, or all words of a shorter item) are a
-stated query set: they are numbered over the benchmark's own vocabulary and sent to every task in
-blocks of at most `block_words` words, so what is broadcast has a fixed bound; a larger benchmark
-has more blocks, which a task loads one after the other. A task cuts its documents into shards of at most SHARD_WORDS words. A shard
-keeps the runs of benchmark words that are long enough to hold a window (no other place can match),
-sorts all suffixes of those runs into an array, finds every window's range in it by binary search for
-all windows at once, and so gets every verbatim occurrence with its place. Nothing is shuffled.
+The benchmark's suffixes of `width` words or more (and shorter items as a whole) are a stated query set:
+they are numbered over the benchmark's own vocabulary and sent to every task in blocks of at most
+`block_words` words, so what is broadcast at once has a fixed bound; a larger benchmark has more
+blocks, which a task loads one after the other for each shard. A task gathers its documents into shards
+of SHARD_WORDS words. A shard keeps the runs of benchmark words that are long enough to hold a window
+(no other place can match), sorts all suffixes of those runs into an array, and finds the range of every
+test suffix in it by binary search, for all suffixes at once; suffixes with the same first `width` words
+have one range, and share its search. Matches that go on from one suffix of an item to the next are one
+verbatim match; the longest of each item and document is kept with its places. Nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
@@ -35,33 +38,42 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_WORD_BYTES).split()
 
 
-class Windows:
-    """Distinct windows of a block of items as rows of word numbers, 0 beyond a short window's end."""
+class Suffixes:
+    """The suffixes of a block of items by their first `width` words, as rows of word numbers, 0 beyond a short item's end.
+
+    Items with the same words are one, of several ids. A null id is no name.
+    """
 
     def __init__(self, items: list[tuple[object, bytes]], width: int = WIDTH):
         self.width = width
         numbers: dict[bytes, int] = {}
-        holders: dict[tuple[int, ...], set[int]] = {}
-        self.item_ids = [str(item_id) for item_id, _ in items]
-        for place, (_, text) in enumerate(items):
-            ids = [numbers.setdefault(w, len(numbers) + 1) for w in words_of(text)]
-            for start in range(max(1, len(ids) - width + 1) if ids else 0):
-                holders.setdefault(tuple(ids[start : start + width]), set()).add(place)
+        distinct: dict[tuple[int, ...], set[str]] = {}
+        for item_id, text in items:
+            words = tuple(numbers.setdefault(w, len(numbers) + 1) for w in words_of(text))
+            if words:
+                distinct.setdefault(words, set()).update([] if item_id is None else [str(item_id)])
+        holders: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        for number, words in enumerate(distinct):
+            for start in range(max(1, len(words) - width + 1)):
+                holders.setdefault(words[start : start + width], []).append((number, start))
         self.numbers = numbers
+        self.item_ids = [sorted(ids) for ids in distinct.values()]
         ordered = sorted(holders)
         self.lengths = np.array([len(w) for w in ordered], np.int64)
         self.rows = np.zeros((len(ordered), width), np.int32)
         for i, w in enumerate(ordered):
             self.rows[i, : len(w)] = w
-        self.items = [np.array(sorted(holders[w]), np.int64) for w in ordered]
+        held = [np.array(holders[w], np.int64) for w in ordered]
+        self.n_held = np.array([len(h) for h in held], np.int64)
+        self.item, self.place = np.concatenate(held).T if held else np.empty((2, 0), np.int64)
         self.shortest = int(self.lengths.min()) if len(ordered) else 0
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of the suffixes of `text` in order of their first `depth` numbers at least, by doubling."""
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """Starts of the suffixes of `text` in their order, by doubling."""
     rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
     known, order = 1, np.argsort(rank, kind="stable")
-    while known < depth:
+    while known < len(text):
         after = np.full(len(text), -1, np.int64)
         after[:-known] = rank[known:]
         pair = rank * (len(text) + 2) + after + 1
@@ -74,8 +86,8 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def bounds(text: np.ndarray, suffixes: np.ndarray, windows: Windows, after: bool) -> np.ndarray:
-    """For each window the first suffix that isn't before it, or with `after` the first beyond all it begins."""
+def bounds(text: np.ndarray, suffixes: np.ndarray, windows: Suffixes, after: bool) -> np.ndarray:
+    """For each row the first suffix that isn't before it, or with `after` the first beyond all it begins."""
     offsets = np.arange(windows.width)
     used = offsets < windows.lengths[:, None]
     low, high = np.zeros(len(windows.rows), np.int64), np.full(len(windows.rows), len(suffixes), np.int64)
@@ -93,8 +105,8 @@ def bounds(text: np.ndarray, suffixes: np.ndarray, windows: Windows, after: bool
     return low
 
 
-def occurrences(ids: np.ndarray, windows: Windows) -> tuple[np.ndarray, np.ndarray]:
-    """(window, start) of each place in `ids` where a window occurs; 0 in `ids` is a word no item has."""
+def occurrences(ids: np.ndarray, windows: Suffixes) -> tuple[np.ndarray, np.ndarray]:
+    """(row, start) of each place in `ids` where a row of `windows` occurs; 0 in `ids` is a word no item has."""
     known = ids > 0
     edges = np.flatnonzero(np.diff(np.r_[False, known, False]))
     starts, ends = edges[::2], edges[1::2]
@@ -109,7 +121,7 @@ def occurrences(ids: np.ndarray, windows: Windows) -> tuple[np.ndarray, np.ndarr
     within = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     to, source = np.repeat(begins, lengths) + within, np.repeat(starts, lengths) + within
     text[to], place[to] = ids[source], source
-    suffixes = suffix_array(text, windows.width)
+    suffixes = suffix_array(text)
     first, last = bounds(text, suffixes, windows, False), bounds(text, suffixes, windows, True)
     n = last - first
     window = np.repeat(np.arange(len(n)), n)
@@ -117,64 +129,110 @@ def occurrences(ids: np.ndarray, windows: Windows) -> tuple[np.ndarray, np.ndarr
     return window, place[suffixes[at]]
 
 
-def search_shard(texts: list[list[bytes]], windows: Windows) -> list[tuple[int, int, list[tuple[int, int]], set[int]]]:
-    """For each text: words, words inside occurrences, the (start, end) of those words, and the items."""
+class Found(NamedTuple):
+    """What a shard's documents have in common with a block."""
+
+    hit: np.ndarray  # for each word of the shard, whether it lies in an occurrence
+    matches: list[tuple[int, int, int, int, int]]  # document, item, item's word, document's word, length: the longest of each document and item
+
+
+def numbered(words: list[bytes], windows: Suffixes) -> np.ndarray:
+    return np.fromiter(map(windows.numbers.get, words, repeat(0)), np.int32, len(words))
+
+
+def search_shard(ids: np.ndarray, begins: np.ndarray, windows: Suffixes) -> Found:
+    """ids: the documents' words by their numbers, with a 0 behind each document and one more at the end."""
     if not len(windows.rows):
-        return [(len(t), 0, [], set()) for t in texts]
-    sizes = np.array([len(t) for t in texts], np.int64)
-    begins = np.cumsum(sizes + 1) - sizes - 1
-    ids = np.zeros(int((sizes + 1).sum()) + 1, np.int32)
-    numbers = windows.numbers.get
-    for begin, words in zip(begins.tolist(), texts):
-        ids[begin : begin + len(words)] = np.fromiter(map(numbers, words, repeat(0)), np.int32, len(words))
-    window, start = occurrences(ids, windows)
-    out = [(int(n), 0, [], set()) for n in sizes]
-    if not len(window):
-        return out
+        return Found(np.zeros(len(ids), bool), [])
+    row, start = occurrences(ids, windows)
+    if not len(row):
+        return Found(np.zeros(len(ids), bool), [])
     cover = np.zeros(len(ids) + 1, np.int64)
     np.add.at(cover, start, 1)
-    np.add.at(cover, start + windows.lengths[window], -1)
-    hit = np.cumsum(cover) > 0
-    owner = np.searchsorted(begins, start, "right") - 1
-    pairs = np.unique(np.stack([owner, window], 1), axis=0)
-    held: dict[int, set[int]] = {}
-    for text, w in pairs.tolist():
-        held.setdefault(text, set()).update(windows.items[w].tolist())
-    for text, items in held.items():
-        inside = hit[begins[text] : begins[text] + sizes[text]]
-        edges = np.flatnonzero(np.diff(np.r_[False, inside, False]))
-        out[text] = (int(sizes[text]), int(inside.sum()), list(zip(edges[::2].tolist(), edges[1::2].tolist())), items)
-    return out
-
-
-SCHEMA = "doc_id long, n_words long, n_hit long, spans array<struct<start:long,end:long>>, items array<string>"
+    np.add.at(cover, start + windows.lengths[row], -1)
+    first = (np.cumsum(windows.n_held) - windows.n_held)[row]
+    n = windows.n_held[row]
+    held = np.repeat(first, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    item, place, at, length = windows.item[held], windows.place[held], np.repeat(start, n), np.repeat(windows.lengths[row], n)
+    order = np.lexsort((at, at - place, item))
+    item, place, at, length = (x[order] for x in (item, place, at, length))
+    goes_on = (item[1:] == item[:-1]) & (at[1:] - place[1:] == at[:-1] - place[:-1]) & (at[1:] == at[:-1] + 1)
+    head = np.flatnonzero(np.r_[True, ~goes_on])
+    tail = np.r_[head[1:], len(item)] - 1
+    item, place, at, length = item[head], place[head], at[head], at[tail] + length[tail] - at[head]
+    doc = np.searchsorted(begins, at, "right") - 1
+    order = np.lexsort((place, at, -length, item, doc))
+    doc, item, place, at, length = (x[order] for x in (doc, item, place, at, length))
+    longest = np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])]
+    return Found(np.cumsum(cover[:-1]) > 0, list(zip(*(x[longest].tolist() for x in (doc, item, place, at - begins[doc], length)))))
+
+
+SCHEMA = "doc_id long, n_words long, n_hit long, spans array<struct<start:long,end:long>>, items array<string>, matches array<struct<item_id:string,item_start:long,start:long,length:long>>"
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_MATCHES = pa.list_(pa.struct([("item_id", pa.string()), ("item_start", pa.int64()), ("start", pa.int64()), ("length", pa.int64())]))
 
 
-def shards(texts: list[bytes]) -> Iterator[list[list[bytes]]]:
-    shard, n = [], 0
-    for text in texts:
-        shard.append(words_of(text))
-        n += len(shard[-1])
-        if n >= SHARD_WORDS:
-            yield shard
-            shard, n = [], 0
-    if shard:
-        yield shard
-
-
-def search_batch(batch: pa.RecordBatch, windows: Windows) -> pa.RecordBatch:
-    found = [x for shard in shards(as_bytes(batch, "text")) for x in search_shard(shard, windows)]
-    return pa.RecordBatch.from_arrays(
-        [
-            batch.column("doc_id").cast(pa.int64()),
-            pa.array([x[0] for x in found], pa.int64()),
-            pa.array([x[1] for x in found], pa.int64()),
-            pa.array([[{"start": a, "end": b} for a, b in x[2]] for x in found], _SPANS),
-            pa.array([sorted(windows.item_ids[i] for i in x[3]) for x in found], pa.list_(pa.string())),
-        ],
-        ["doc_id", "n_words", "n_hit", "spans", "items"],
-    )
+def search_texts(texts: list[np.ndarray], windows: Suffixes) -> tuple[Found, np.ndarray]:
+    sizes = np.array([len(w) for w in texts], np.int64)
+    begins = np.cumsum(sizes + 1) - sizes - 1
+    ids = np.zeros(int((sizes + 1).sum()) + 1, np.int32)
+    for begin, numbers in zip(begins.tolist(), texts):
+        ids[begin : begin + len(numbers)] = numbers
+    return search_shard(ids, begins, windows), begins
+
+
+def shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
+    """Runs of batches with some `most` words, six bytes each, in all."""
+    held, size = [], 0
+    for batch in small(batches):
+        held.append(batch)
+        size += pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
+        if size >= 6 * most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def searched(shard: list[pa.RecordBatch], blocks: list[Broadcast]) -> tuple[list[int], list[np.ndarray], list[list[tuple[str, int, int, int]]]]:
+    """For each document of a shard: its words, which of them are hit, and its longest matches by item id."""
+    hits: list[np.ndarray] = []
+    for windows in one_by_one(blocks):
+        texts = [numbered(words_of(text), windows) for batch in shard for text in as_bytes(batch, "text")]
+        if not hits:
+            hits, matches = [np.zeros(len(w), bool) for w in texts], [[] for _ in texts]
+        found, begins = search_texts(texts, windows)
+        for doc in {m[0] for m in found.matches}:
+            hits[doc] |= found.hit[begins[doc] : begins[doc] + len(texts[doc])]
+        for doc, item, place, at, length in found.matches:
+            matches[doc] += [(name, place, at, length) for name in windows.item_ids[item]]
+    return [len(h) for h in hits], hits, matches
+
+
+def longest_by_id(matches: list[tuple[str, int, int, int]]) -> list[tuple[str, int, int, int]]:
+    """One match an id, the longest and then the first, by id."""
+    out: dict[str, tuple[str, int, int, int]] = {}
+    for m in sorted(matches, key=lambda m: (-m[3], m[2], m[1])):
+        out.setdefault(m[0], m)
+    return [out[k] for k in sorted(out)]
+
+
+def report(shard: list[pa.RecordBatch], blocks: list[Broadcast]) -> pa.RecordBatch:
+    n_words, hits, matches = searched(shard, blocks)
+    spans = [np.flatnonzero(np.diff(np.r_[False, h, False])).reshape(-1, 2).tolist() if m or h.any() else [] for h, m in zip(hits, matches)]
+    matches = [longest_by_id(m) for m in matches]
+    columns = [
+        pa.chunked_array([b.column("doc_id") for b in shard]).cast(pa.int64()).combine_chunks(),
+        pa.array(n_words, pa.int64()),
+        pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()),
+        pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], _SPANS),
+        pa.array([[m[0] for m in found] for found in matches], pa.list_(pa.string())),
+        pa.array([[dict(zip(("item_id", "item_start", "start", "length"), m)) for m in found] for found in matches], _MATCHES),
+    ]
+    return pa.RecordBatch.from_arrays(columns, [f.name for f in _ROWS])
+
+
+_ROWS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("spans", _SPANS), ("items", pa.list_(pa.string())), ("matches", _MATCHES)])
 
 
 def item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[object, bytes]]]:
@@ -192,53 +250,40 @@ def item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[o
 
 def send_blocks(benchmark: DataFrame, width: int, block_words: int) -> list[Broadcast]:
     context = benchmark.sparkSession.sparkContext
-    return [context.broadcast(Windows(block, width)) for block in item_blocks(benchmark, block_words)] or [context.broadcast(Windows([], width))]
+    return [context.broadcast(Suffixes(block, width)) for block in item_blocks(benchmark, block_words)] or [context.broadcast(Suffixes([], width))]
 
 
-def one_by_one(blocks: list[Broadcast]) -> Iterator[Windows]:
-    """The blocks' windows; of several, a worker holds one at a time."""
+def one_by_one(blocks: list[Broadcast]) -> Iterator[Suffixes]:
+    """The blocks; of several, a worker holds one at a time."""
     for block in blocks:
         yield block.value
         if len(blocks) > 1:
             del block._value
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Per row of `docs` (doc_id, text, any others): SCHEMA. spans are runs of hit words, items the
-    ids of items with an occurring window, sorted as strings.
+def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """Per row of `docs` (doc_id, text, any others): SCHEMA. spans are runs of hit words; items the ids of
+    items with an occurring window, each once, sorted as strings; matches the longest verbatim match of
+    each of these (where it begins in the item and in the document, and its length, in words).
 
-    Null and empty texts have no words; items without words match nothing. Items with equal windows
-    are all named; a null item_id is named "None". Without items nothing is hit. A repeated row is
-    searched each time.
+    Null and empty texts have no words; items without words match nothing. Items with equal words are all
+    named, an id that occurs in several rows once; the windows of items of null id are hit, but nothing
+    names them. Without items nothing is hit. A null doc_id stays null, a repeated row is searched each time.
     """
-    rows = docs.select("doc_id", "text")
     blocks = send_blocks(benchmark, width, block_words)
-    if len(blocks) == 1:
-        return rows.mapInArrow(lambda batches: (search_batch(b, blocks[0].value) for b in small(batches)), SCHEMA)
-
-    def search_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
-            parts = [search_batch(batch, windows) for windows in one_by_one(blocks)]
-            merged = []
-            for column in zip(*(p.to_pylist() for p in parts)):
-                spans = sorted((s["start"], s["end"]) for row in column for s in row["spans"])
-                joined = reduce(lambda out, s: [*out[:-1], (out[-1][0], max(out[-1][1], s[1]))] if out and s[0] <= out[-1][1] else [*out, s], spans, [])
-                merged.append({"doc_id": column[0]["doc_id"], "n_words": column[0]["n_words"], "n_hit": sum(b - a for a, b in joined), "spans": [{"start": a, "end": b} for a, b in joined], "items": sorted({i for row in column for i in row["items"]})})
-            yield pa.RecordBatch.from_pylist(merged, schema=parts[0].schema)
-
-    return rows.mapInArrow(search_all, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: (report(shard, blocks) for shard in shards(batches, shard_words)), SCHEMA)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_words: int = BLOCK_WORDS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
     """The rows of `docs` in which no window of the benchmark occurs, with all their columns."""
     blocks = send_blocks(benchmark, width, block_words)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
-            clean = np.ones(batch.num_rows, bool)
-            for windows in one_by_one(blocks):
-                clean &= [x[1] == 0 for shard in shards(as_bytes(batch, "text")) for x in search_shard(shard, windows)]
-            yield batch.filter(pa.array(clean))
+        for shard in shards(batches, shard_words):
+            clean, at = [not h.any() for h in searched(shard, blocks)[1]], 0
+            for batch in shard:
+                yield batch.filter(pa.array(clean[at : at + batch.num_rows]))
+                at += batch.num_rows
 
     return docs.mapInArrow(keep, docs.schema)
 

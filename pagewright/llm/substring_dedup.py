@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import as_bytes, materialise, release, small, small_side
+from pagewright.llm.common import as_bytes, frugal, materialise, release, small, small_side
 from pagewright.llm.links import Bound, link_components
 from pagewright.llm.shingles import mixed, sums_of, windows, words_of
 from pagewright.llm.verbatim import least_around, packed, shared_runs, steps
@@ -141,7 +141,7 @@ def sign(batches: Iterator[pa.RecordBatch], width: int, percent: int, hashing: M
             used[found.n_words - width + 1 < fewest_to_differ(percent), 1:] = False  # links with equal sets alone, which share all keys
             number = np.arange(len(found.text)) - np.searchsorted(found.text, found.text)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *used.sum(1)]).astype(np.int32)), pa.array(keys[used]))
-            sets = packed(found.shingles >> np.uint64(32), np.r_[found.begins, len(found.shingles)])
+            sets = packed((found.shingles >> np.uint64(32)).astype(np.uint32), np.r_[found.begins, len(found.shingles)])
             rows = pa.array(found.text + first)
             columns = [ids.take(rows), text_hashes.take(rows), *(pa.array(x.astype(np.int32)) for x in (number, found.start, found.end, found.n_words)), pa.array(found.item), lists, sets]
             yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SIGNED.split(", ")])
@@ -181,32 +181,34 @@ def repeated_passages(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     one span documents. Rows that repeat doc_id and text count once; texts that share their doc_id alone
     are apart, and no repeat across documents.
     """
-    hashing = Minhash(*tuned_bands(percent / 100, RECALL, MOST_BANDS))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    verbatim = shared_runs(texts, least_words)
-    marked = materialise(texts.mapInArrow(lambda b: sign(b, width, percent, hashing), SIGNED), "paragraphs-marked", hashes=True)
-    signed = materialise(marked.drop("keys", "shingles"), "paragraphs", hashes=True)
-    classes = materialise(signed.groupBy("item").agg(F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("most_id")), "paragraph-items")
-
-    def sets_of(items: DataFrame) -> DataFrame:
-        wanted = materialise(items, "paragraphs-wanted")
-        held = marked.select("item", "shingles").join(small_side(wanted, wanted.count()), "item", "left_semi").dropDuplicates(["item"])
-        return held.mapInArrow(as_sets, "item long, set binary")
-
-    linked = materialise(link_components(marked.select("item", F.explode("keys").alias("key")), sets_of, Bound(percent), "paragraphs"), "paragraphs-linked")
-    release(marked)
-    every = classes.join(small_side(linked, linked.count()), "item", "left").where("component is not null or kept_doc_id < most_id")
-    every = materialise(every.select("item", "kept_doc_id", "most_id", F.coalesce("component", "item").alias("group_id")), "paragraphs-grouped")
-    spread_out = every.groupBy("group_id").agg(F.min("kept_doc_id").alias("kept_doc_id"), F.max("most_id").alias("most_id")).where("kept_doc_id < most_id").drop("most_id")
-    n = every.count()
-    grouped = materialise(every.select("item", "group_id").join(small_side(spread_out, n), "group_id"), "paragraph-groups")
-    found = signed.join(small_side(grouped, n), "item").drop("item").dropDuplicates(["doc_id", "text_hash", "paragraph"])
-    sized = materialise(chained(found), "paragraphs-sized")
-    of_kept = sized.where("doc_id = kept_doc_id").groupBy("group_id").agg(F.min(F.struct("text_hash", "paragraph")).alias("first"))
-    own = sized.where("doc_id = kept_doc_id").join(of_kept, "group_id").withColumn("removed", F.struct("text_hash", "paragraph") != F.col("first")).drop("first")
-    near = own.unionByName(sized.where("not doc_id <=> kept_doc_id").withColumn("removed", F.lit(True))).where(F.col("passage_words") >= least_words)
-    columns = ["doc_id", "text_hash", "paragraph", "start", "end", "n_words", "passage_words", "group_id", "kept_doc_id", "removed"]
-    return near.select(columns).unionByName(verbatim.withColumn("paragraph", F.lit(None).cast("int")).select(columns))
+    with frugal(docs.sparkSession):
+        hashing = Minhash(*tuned_bands(percent / 100, RECALL, MOST_BANDS))
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+        verbatim = shared_runs(texts, least_words)
+        marked = materialise(texts.mapInArrow(lambda b: sign(b, width, percent, hashing), SIGNED), "paragraphs-marked", hashes=True)
+        signed = materialise(marked.drop("keys", "shingles"), "paragraphs", hashes=True)
+        classes = materialise(signed.groupBy("item").agg(F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("most_id")), "paragraph-items")
+
+        def sets_of(items: DataFrame) -> DataFrame:
+            wanted = materialise(items, "paragraphs-wanted")
+            held = marked.select("item", "shingles").join(small_side(wanted, wanted.count()), "item", "left_semi").dropDuplicates(["item"])
+            return held.mapInArrow(as_sets, "item long, set binary")
+
+        linked = materialise(link_components(marked.select("item", F.explode("keys").alias("key")), sets_of, Bound(percent), "paragraphs"), "paragraphs-linked")
+        release(marked)
+        every = classes.join(small_side(linked, linked.count()), "item", "left").where("component is not null or kept_doc_id < most_id")
+        every = materialise(every.select("item", "kept_doc_id", "most_id", F.coalesce("component", "item").alias("group_id")), "paragraphs-grouped")
+        spread_out = every.groupBy("group_id").agg(F.min("kept_doc_id").alias("kept_doc_id"), F.max("most_id").alias("most_id")).where("kept_doc_id < most_id").drop("most_id")
+        n = every.count()
+        grouped = materialise(every.select("item", "group_id").join(small_side(spread_out, n), "group_id"), "paragraph-groups")
+        found = signed.join(small_side(grouped, n), "item").drop("item").dropDuplicates(["doc_id", "text_hash", "paragraph"])
+        sized = materialise(chained(found), "paragraphs-sized")
+        release(signed, classes, linked, every, grouped)
+        of_kept = sized.where("doc_id = kept_doc_id").groupBy("group_id").agg(F.min(F.struct("text_hash", "paragraph")).alias("first"))
+        own = sized.where("doc_id = kept_doc_id").join(of_kept, "group_id").withColumn("removed", F.struct("text_hash", "paragraph") != F.col("first")).drop("first")
+        near = own.unionByName(sized.where("not doc_id <=> kept_doc_id").withColumn("removed", F.lit(True))).where(F.col("passage_words") >= least_words)
+        columns = ["doc_id", "text_hash", "paragraph", "start", "end", "n_words", "passage_words", "group_id", "kept_doc_id", "removed"]
+        return near.select(columns).unionByName(verbatim.withColumn("paragraph", F.lit(None).cast("int")).select(columns))
 
 
 def remove_passages(docs: DataFrame, **options) -> DataFrame:

@@ -12,12 +12,11 @@ Texts are read twice, once for the seeds and once for the blocks of shared seeds
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import as_bytes, materialise, release, small, small_side
@@ -56,18 +55,19 @@ def steps(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
         at = end
 
 
-#: runs, starts and ends hold 32-bit numbers, one a run; places count from `start`.
-BLOCKS = "doc_id long, text_hash long, seed long, name long, at int, start int, runs binary, starts binary, ends binary"
+#: runs: a 32-bit number each; steps: how far start and end move from run to run, in 8 bits each, or in 32 where that is too few.
+BLOCKS = "doc_id long, text_hash long, seed long, name long, at int, start int, end int, runs binary, steps binary"
 
 
 def packed(numbers: np.ndarray, edges: np.ndarray) -> pa.Array:
-    """32-bit numbers as one binary value from each edge to the next."""
-    return pa.BinaryArray.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * 4).astype(np.int32)), pa.py_buffer(numbers.astype(np.uint32))])
+    """Rows of numbers as one binary value from each edge to the next."""
+    rows = np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), -1)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * rows.shape[1]).astype(np.int32)), pa.py_buffer(rows)])
 
 
-def unpacked(column: pa.Array) -> np.ndarray:
+def unpacked(column: pa.Array, kind=np.uint32) -> np.ndarray:
     """All numbers of a column of packed() values."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32)
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
 NAMED = "doc_id long, seed long, name long"
@@ -98,12 +98,14 @@ def blocks_of(batches: Iterator[pa.RecordBatch], least: int, fields: str = BLOCK
             rows = pa.array(text[begins] + first)
             columns = {"doc_id": ids.take(rows), "seed": pa.array(seeds[begins].view(np.int64)), "name": pa.array(names.view(np.int64))}
             if fields == BLOCKS:
-                runs = run_hashes(words.hashes, least)[at] >> np.uint64(32)
-                start, from_ = words.start[a], np.repeat(words.start[a], n)
+                runs = (run_hashes(words.hashes, least)[at] >> np.uint64(32)).astype(np.uint32)
+                places = np.stack([words.start[at], words.end[at + least - 1]], 1)
+                moves = np.diff(places, axis=0, prepend=places[:1])
+                moves[begins] = 0
+                moves = moves.astype(np.uint8 if moves.max() < 256 else np.uint32)
                 edges, place = np.r_[begins, len(at)], a - np.searchsorted(words.owner, text[begins])
-                lists = {"runs": runs, "starts": words.start[at] - from_, "ends": words.end[at + least - 1] - from_}
-                columns |= {"text_hash": text_hashes.take(rows), "at": pa.array(place.astype(np.int32)), "start": pa.array(start.astype(np.int32))}
-                columns |= {c: packed(x, edges) for c, x in lists.items()}
+                columns |= {"text_hash": text_hashes.take(rows), "runs": packed(runs, edges), "steps": packed(moves, edges)}
+                columns |= {c: pa.array(x.astype(np.int32)) for c, x in (("at", place), ("start", places[begins, 0]), ("end", places[begins, 1]))}
             yield pa.RecordBatch.from_arrays([columns[c] for c in wanted], wanted)
 
 
@@ -136,11 +138,16 @@ def opened(t: pa.Table) -> tuple[np.ndarray, ...]:
     if len(flat):
         spot = firsts[which] + flat.field("place").to_numpy()
         kept[spot], chosen[spot] = flat.field("kept_doc_id").to_numpy(), True
+    moves = np.empty((len(number), 2), np.int64)
+    lengths = pa.compute.binary_length(t.column("steps")).to_numpy() // sizes
+    for length, kind in ((2, np.uint8), (8, np.uint32)):
+        moves[(lengths == length)[number]] = unpacked(t.column("steps").filter(pa.array(lengths == length)), kind).reshape(-1, 2)
+    moves[firsts, 0], moves[firsts, 1] = t.column("start").to_numpy(), t.column("end").to_numpy()
+    places = np.cumsum(moves, axis=0)
+    places -= (places[firsts] - moves[firsts])[number]
     wide = lambda name: t.column(name).to_numpy()[number[chosen]]
-    inner = lambda name: unpacked(t.column(name))[chosen].astype(np.int64)
-    run = mixed(wide("seed").view(np.uint64) + inner("runs").view(np.uint64)).view(np.int64)
-    places = [(inner(x) + wide("start")).astype(np.int32) for x in ("starts", "ends")]
-    return wide("doc_id"), wide("text_hash"), run, wide("at") + place[chosen], *places, kept[chosen]
+    run = mixed(wide("seed").view(np.uint64) + unpacked(t.column("runs"))[chosen].astype(np.uint64)).view(np.int64)
+    return wide("doc_id"), wide("text_hash"), run, wide("at") + place[chosen], *places[chosen].astype(np.int32).T, kept[chosen]
 
 
 def joined_runs(t: pa.Table, least: int) -> pa.RecordBatch:
@@ -188,20 +195,6 @@ def passages(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Recor
 PASSAGES = "doc_id long, text_hash long, start int, end int, n_words int, passage_words long, group_id long, kept_doc_id long, removed boolean"
 
 
-@contextmanager
-def frugal(spark: SparkSession) -> Iterator[None]:
-    """Meanwhile a query's shuffle files go as it ends, and a joined side whose partitions are small isn't sorted."""
-    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m"}
-    before = {k: spark.conf.get(k, None) for k in wanted}
-    for k, v in wanted.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
-
-
 def shared_runs(docs: DataFrame, least: int) -> DataFrame:
     """One row per stretch of `least` words or more that another doc_id has too: doc_id, text_hash, start
     and end (code points, end exclusive), n_words, passage_words (of the overlapping stretches it belongs
@@ -210,26 +203,25 @@ def shared_runs(docs: DataFrame, least: int) -> DataFrame:
     docs: (doc_id long, text, text_hash). A run is kept where it first stands in the texts of its smallest
     doc_id. Rows of null doc_id are passed over, rows that repeat both doc_id and text count once.
     """
-    with frugal(docs.sparkSession):
-        texts = docs.where("doc_id is not null").select("doc_id", "text", "text_hash")
-        named, blocks = (texts.mapInArrow(lambda b, fields=fields: blocks_of(b, least, fields), fields) for fields in (NAMED, BLOCKS))
-        ends = [F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("most_id")]
-        by_seed = named.groupBy("seed").agg(*ends, F.min("name").alias("name"), F.max("name").alias("other")).where("kept_doc_id < most_id")
-        seeds = materialise(by_seed.select("seed", F.when(F.col("name") == F.col("other"), F.col("kept_doc_id")).alias("kept_doc_id")), "seeds-shared", hashes=True)
-        held = materialise(blocks.join(small_side(seeds, seeds.count()), "seed"), "blocks-held", hashes=True)
-        release(seeds)
-        mixed_up = held.where("kept_doc_id is null").drop("kept_doc_id")
-        names = materialise(mixed_up.groupBy("name").agg(*ends), "blocks-named")
-        one_each = mixed_up.withColumnRenamed("doc_id", "kept_doc_id").join(small_side(names, names.count()), ["name", "kept_doc_id"])
-        single = materialise(one_each.select("name", "seed", "kept_doc_id", "most_id", "runs").mapInArrow(runs_of, RUNS), "runs", hashes=True)
-        two = single.groupBy("seed", "run").agg(F.min("kept_doc_id").alias("kept_doc_id"), F.max("most_id").alias("most_id")).where("kept_doc_id < most_id").drop("most_id")
-        both = materialise(two, "runs-shared")
-        chosen = single.drop("kept_doc_id", "most_id").join(small_side(both, both.count()), ["seed", "run"])
-        some = materialise(chosen.groupBy("name").agg(F.collect_list(F.struct("place", "kept_doc_id")).alias("kept")), "blocks-shared")
-        parted = mixed_up.withColumn("kept_doc_id", F.lit(None).cast("long")).join(small_side(some, some.count()), "name")
-        whole = held.where("kept_doc_id is not null").withColumn("kept", F.lit(None).cast(parted.schema["kept"].dataType))
-        wanted = ["doc_id", "text_hash", "seed", "at", "start", "runs", "starts", "ends", "kept_doc_id", "kept"]
-        placed = whole.select(wanted).unionByName(parted.select(wanted)).repartition("doc_id").sortWithinPartitions("doc_id")
-        found = materialise(placed.mapInArrow(lambda b: passages(b, least), PASSAGES), "runs-found")
-        release(held, names, single, both, some)
-        return found
+    texts = docs.where("doc_id is not null").select("doc_id", "text", "text_hash")
+    named, blocks = (texts.mapInArrow(lambda b, fields=fields: blocks_of(b, least, fields), fields) for fields in (NAMED, BLOCKS))
+    ends = [F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("most_id")]
+    by_seed = named.groupBy("seed").agg(*ends, F.min("name").alias("name"), F.max("name").alias("other")).where("kept_doc_id < most_id")
+    seeds = materialise(by_seed.select("seed", F.when(F.col("name") == F.col("other"), F.col("kept_doc_id")).alias("kept_doc_id")), "seeds-shared", hashes=True)
+    held = materialise(blocks.join(small_side(seeds, seeds.count()), "seed"), "blocks-held", hashes=True)
+    release(seeds)
+    mixed_up = held.where("kept_doc_id is null").drop("kept_doc_id")
+    names = materialise(mixed_up.groupBy("name").agg(*ends), "blocks-named")
+    one_each = mixed_up.withColumnRenamed("doc_id", "kept_doc_id").join(small_side(names, names.count()), ["name", "kept_doc_id"])
+    single = materialise(one_each.select("name", "seed", "kept_doc_id", "most_id", "runs").mapInArrow(runs_of, RUNS), "runs", hashes=True)
+    two = single.groupBy("seed", "run").agg(F.min("kept_doc_id").alias("kept_doc_id"), F.max("most_id").alias("most_id")).where("kept_doc_id < most_id").drop("most_id")
+    both = materialise(two, "runs-shared")
+    chosen = single.drop("kept_doc_id", "most_id").join(small_side(both, both.count()), ["seed", "run"])
+    some = materialise(chosen.groupBy("name").agg(F.collect_list(F.struct("place", "kept_doc_id")).alias("kept")), "blocks-shared")
+    parted = mixed_up.withColumn("kept_doc_id", F.lit(None).cast("long")).join(small_side(some, some.count()), "name")
+    whole = held.where("kept_doc_id is not null").withColumn("kept", F.lit(None).cast(parted.schema["kept"].dataType))
+    wanted = ["doc_id", "text_hash", "seed", "at", "start", "end", "runs", "steps", "kept_doc_id", "kept"]
+    placed = whole.select(wanted).unionByName(parted.select(wanted)).repartition("doc_id").sortWithinPartitions("doc_id")
+    found = materialise(placed.mapInArrow(lambda b: passages(b, least), PASSAGES), "runs-found")
+    release(held, names, single, both, some)
+    return found

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from conftest import ODD, as_docs, prose
 
@@ -202,3 +203,86 @@ def test_contamination(spark, nothing, block_words):
 def test_licences_before_a_long_run_of_marks(spark):
     docs = as_docs(spark, [(1, "All rights reserved" + " -" * 5000, "s"), (2, "=" * 9000 + "\nReleased under the MIT License " + "| " * 3000, "s")])
     assert {r.doc_id: r.licences for r in licenses.license_scan(docs).collect()} == {1: "proprietary", 2: "MIT"}
+
+FULL = {
+    "BSD-3-Clause": """/*
+ * Copyright (c) 2020, Someone
+ *
+ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:
+ *
+ * 1. Redistributions of source code must retain the above copyright notice, this
+ *    list of conditions and the following disclaimer.
+ * 2. Redistributions in binary form must reproduce the above copyright notice,
+ *    this list of conditions and the following disclaimer in the documentation
+ *    and/or other materials provided with the distribution.
+ * 3. Neither the name of the copyright holder nor the names of its contributors
+ *    may be used to endorse or promote products derived from this software
+ *    without specific prior written permission.
+ *
+ * THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+ * AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+ * IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+ * DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER BE LIABLE.
+ */""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND
+FITNESS.""",
+    "GPL-3.0-or-later": """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+
+    You should have received a copy of the GNU General Public License
+    along with this program.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.""",
+}
+
+
+def test_whole_licence_texts(spark):
+    two = FULL["BSD-3-Clause"].split(" * 3.")[0] + " *\n * THIS SOFTWARE" + FULL["BSD-3-Clause"].split(" * THIS SOFTWARE")[1]
+    texts = list(FULL.items()) + [("BSD-2-Clause", two)]
+    docs = as_docs(spark, [(i, f"some words before\n\n{t}\n\nand after", "s") for i, (_, t) in enumerate(texts)])
+    got = {r.doc_id: (r.licences, r.n_unclaimed) for r in licenses.license_scan(docs).collect()}
+    assert got == {i: (name, 0) for i, (name, _) in enumerate(texts)}
+
+
+def test_longest_matches(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(400)]
+    item = [rng.choice(words) for _ in range(40)]
+    docs = [
+        (1, " ".join(["x"] * 5 + item[3:28] + ["y"] * 3 + item[10:22]), "s"), (2, " ".join(item[:9]), "s"), (None, " ".join(item), "s"),
+    ]
+    bench = spark.createDataFrame([(7, " ".join(item)), (7, " ".join(item)), (7, " ".join(item[:15])), (8, " ".join(item)), (None, " ".join(item[:20]))], "item_id long, text string")
+    for shard_words in (decontaminate.SHARD_WORDS, 1):
+        got = {r.doc_id: r for r in decontaminate.find_contamination(as_docs(spark, docs), bench, shard_words=shard_words).collect()}
+        assert [tuple(m) for m in got[1].matches] == [("7", 3, 5, 25), ("8", 3, 5, 25)] and got[1]["items"] == ["7", "8"]
+        assert [tuple(s) for s in got[1].spans] == [(5, 30), (33, 45)] and got[1].n_hit == 37
+        assert not got[2].matches and got[2].n_hit == 0
+        assert [tuple(m) for m in got[None].matches] == [("7", 0, 0, 40), ("8", 0, 0, 40)]
+    unnamed = spark.createDataFrame([(None, " ".join(item))], "item_id long, text string")
+    row = decontaminate.find_contamination(as_docs(spark, docs[:1]), unnamed).collect()[0]
+    assert row.n_hit == 37 and row["items"] == [] and decontaminate.decontaminate(as_docs(spark, docs), unnamed).count() == 1
+
+
+def test_suffixes_are_sorted():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 50, 300):
+        text = rng.integers(0, 4, n)
+        order = decontaminate.suffix_array(text)
+        assert order.tolist() == sorted(range(n), key=lambda i: text[i:].tolist())

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: A joined side of at most so many rows of a few numbers each is broadcast (tens of MB).
-BROADCAST_ROWS = 200_000
+#: A joined side of at most so many rows of a few numbers each is broadcast (some 100 KB); so small that measured plans are those of large inputs.
+BROADCAST_ROWS = 10_000
 
 
 def shared_folder(spark: SparkSession) -> str:

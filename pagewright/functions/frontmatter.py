@@ -29,51 +29,27 @@ def top_key(line: str) -> tuple[str, int] | None:
     return (key, colon) if key else None
 
 
-def block_scalar(lines: list[str], header: re.Match) -> str:
-    """The text of a literal or folded block below its key."""
-    chomp = header[2] or header[4]
-    body = lines
-    filled = [x for x in body if x.strip()]
-    indent = int(header[3]) if header[3] else (len(filled[0]) - len(filled[0].lstrip()) if filled else 0)
-    if not indent:
-        blanks = next((i for i, x in enumerate(body) if x.strip()), len(body))
-        return "\n" * blanks if chomp == "+" else ""
-    content = []
-    for line in body:
-        if line.strip() and len(line) - len(line.lstrip(" ")) < indent:
-            break
-        content.append(line[indent:])
-    trailing = 0
-    while content and not content[-1]:
-        content.pop()
-        trailing += 1
-    if header[1] == "|":
-        text = "\n".join(content)
-    else:
-        text, previous = "", None
-        for line in content:
-            if previous is None:
-                text = line
-            elif not line:
-                text += "\n"
-            elif not previous:
-                text += line
-            elif line[:1] in " \t" or previous[:1] in " \t":
-                text += f"\n{line}"
-            else:
-                text += f" {line}"
-            previous = line
-    return text + {"-": "", "+": "\n" * (trailing + bool(content))}.get(chomp, "\n" if content else "")
+def block_scalar(header: str, lines: list[str]) -> str:
+    """The text of a literal or folded block, as YAML's own scanner reads it; none if it doesn't."""
+    block = f"block: {header}\n" + "".join(f"{line}\n" for line in lines)
+    try:
+        return next((t.value for t in yaml.scan(block, yaml.SafeLoader) if isinstance(t, yaml.ScalarToken) and t.style in ("|", ">")), "")
+    except yaml.YAMLError:
+        return ""
+
+
+#: What a backslash and one character stand for between double quotes; others stay as they are.
+ESCAPES = {"n": "\n", "t": "\t", "r": "\r", '"': '"', "\\": "\\"}
+SINGLE, DOUBLE = re.compile(r"'((?:[^']|'')*)'", re.DOTALL), re.compile(r'"((?:[^"\\]|\\.)*)"', re.DOTALL)
 
 
 def decode(text: str) -> tuple[str, bool]:
-    """A scalar's text and whether it was quoted."""
+    """A scalar's text and whether it was quoted; quotes that don't match are text."""
     text = text.strip()
-    if len(text) > 1 and text[0] == text[-1] == "'":
-        return text[1:-1].replace("''", "'"), True
-    if len(text) > 1 and text[0] == text[-1] == '"':
-        inner = re.sub(r"\\(.)", lambda m: {"n": "\n", "t": "\t", "r": "\r"}.get(m[1], m[1]), text[1:-1])
-        return inner, True
+    if m := SINGLE.fullmatch(text):
+        return m[1].replace("''", "'"), True
+    if m := DOUBLE.fullmatch(text):
+        return re.sub(r"\\(.)", lambda e: ESCAPES.get(e[1], e[0]), m[1], flags=re.DOTALL), True
     return COMMENT.sub("", text), False
 
 
@@ -87,8 +63,8 @@ def list_items(text: str) -> list[str]:
 
 def value_of(lines: list[str], remainder: str) -> str:
     """The value as the property table holds it: block text, unquoted scalar, joined flow or block list."""
-    if header := BLOCK_HEADER.match(remainder):
-        return block_scalar(lines, header)
+    if BLOCK_HEADER.match(remainder):
+        return block_scalar(remainder, lines)
     if remainder.startswith("[") and not remainder.rstrip().endswith("]"):
         for line in lines:
             remainder += f" {line.strip()}"

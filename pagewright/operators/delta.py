@@ -56,7 +56,7 @@ def node_changes(before: bytes, after: bytes) -> list[tuple[str, str, str]]:
     for a, b, c, d in linediff.regions(old, new):
         start, end = sum(len(x.encode()) for x in new[:c]), sum(len(x.encode()) for x in new[:d])
         left, right = sum(len(x.encode()) for x in old[:a]), sum(len(x.encode()) for x in old[:b])
-        marked = markdown.normalised(after, start, end, markdown.anchor_removals(after, new_nodes)) == markdown.normalised(before, left, right, markdown.anchor_removals(before, old_nodes))
+        marked = markdown.kept_bytes(after, start, end, markdown.without_anchors(after, new_nodes)) == markdown.kept_bytes(before, left, right, markdown.without_anchors(before, old_nodes))
         removed = [s.hpath for s in old_sections if left <= s.start < right and s.hpath not in has]
         added = [s.hpath for s in new_sections if start <= s.start < end and s.hpath not in had]
         for hpath in removed:

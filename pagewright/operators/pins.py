@@ -38,7 +38,7 @@ def current(raw: bytes, arm: str, selector: list[str]) -> tuple[int, str | None]
     found = spans(raw, nodes, selector)
     if len(found) != 1:
         return len(found), None
-    data = markdown.normalised(raw, *found[0], markdown.anchor_removals(raw, nodes))
+    data = markdown.kept_bytes(raw, *found[0], markdown.without_anchors(raw, nodes))
     return 1, lock.span_fingerprint(data) if data else "empty"
 
 

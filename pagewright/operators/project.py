@@ -139,9 +139,15 @@ def parse_batches(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Itera
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
-    """Pages (path, raw as text or bytes) as rows of PARSED."""
+    """Pages (path, raw as text or bytes) as rows of PARSED.
+
+    Pages are dealt over all cores by their path first: parsing costs far more than moving a page, and a
+    source may bring them in a few large pieces.
+    """
     schema = to_arrow_schema(StructType.fromDDL(PARSED))
-    return pages.select("path", "raw").mapInArrow(lambda batches: parse_batches(batches, schema), PARSED)
+    spark = pages.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return pages.select("path", "raw").repartition(parts, "path").mapInArrow(lambda batches: parse_batches(batches, schema), PARSED)
 
 
 def relation(parsed: DataFrame, name: str) -> DataFrame:

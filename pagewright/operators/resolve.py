@@ -1,7 +1,8 @@
 """Link resolution: from what a link says to the page it names, with the candidates it was chosen from.
 
-Candidates and the shortest of them are found once per distinct spelling, so a name that many pages
-share or many links use costs one row per page that has it, not one per link and page. A candidate in
+Candidates and the shortest of them are found once per distinct spelling, by an equi-join on whole
+spellings (a page has one for each folder of its path), so a name that many pages share or many links
+use costs one row per page that has it, not one per link and page. A candidate in
 the link's own directory wins; that is one more equi-join on (spelling, directory).
 """
 
@@ -30,9 +31,14 @@ def last_segment(key: Column) -> Column:
 
 
 def names(paths: DataFrame) -> DataFrame:
-    """(base, lower_path, page, dir, size) of each page path."""
-    lower = F.lower(F.regexp_replace("path", r"(\.md)+$", ""))
-    return paths.select(last_segment(lower).alias("base"), F.lower("path").alias("lower_path"), F.col("path").alias("page"), directory(F.col("path")).alias("dir"), F.octet_length("path").alias("size"))
+    """(key, page, dir, size): every spelling of each page: its base name, and each ending of its path from a folder on."""
+    lower = F.lower("path")
+    parts = F.split(F.regexp_replace(lower, r"\.md$", ""), "/")
+    endings = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+    qualified = F.when(F.endswith(lower, F.lit(".md")) & (F.size(parts) > 1), endings).otherwise(F.array().cast("array<string>"))
+    base = last_segment(F.regexp_replace(lower, r"(\.md)+$", ""))
+    spelled = F.array_distinct(F.concat(F.array(base), qualified))
+    return paths.select(F.explode(spelled).alias("key"), F.col("path").alias("page"), directory(F.col("path")).alias("dir"), F.octet_length("path").alias("size"))
 
 
 def candidates(keys: DataFrame, paths: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -40,12 +46,8 @@ def candidates(keys: DataFrame, paths: DataFrame, aliases: DataFrame) -> DataFra
 
     keys: (key) distinct; paths: (path); aliases: (path, alias), lower case.
     """
-    qualified = F.instr("key", "/") > 0
-    suffix = F.concat(F.col("key"), F.lit(".md"))
-    fits = ~qualified | (F.col("lower_path") == suffix) | F.endswith(F.col("lower_path"), F.concat(F.lit("/"), suffix))
-    keyed = keys.select("key", last_segment(F.col("key")).alias("base"))
-    by_name = keyed.join(names(paths), "base").where(fits).select("key", "page", "dir", "size")
-    rest = keyed.join(by_name.select("key").distinct(), "key", "left_anti")
+    by_name = keys.join(names(paths), "key").select("key", "page", "dir", "size")
+    rest = keys.join(by_name.select("key").distinct(), "key", "left_anti")
     by_alias = rest.join(aliases.select(F.col("alias").alias("key"), F.col("path").alias("page")).distinct(), "key")
     return by_name.unionByName(by_alias.select("key", "page", directory(F.col("page")).alias("dir"), F.octet_length("page").alias("size")))
 
@@ -58,8 +60,10 @@ def resolve(links: DataFrame, paths: DataFrame, aliases: DataFrame) -> DataFrame
     """
     target = F.trim("target_raw")
     asked = links.withColumn("to_self", target == "").withColumn("rooted", is_rooted(target))
-    asked = asked.withColumn("looked_up", F.when(~F.col("to_self") & ~F.col("rooted"), spelling(F.col("target_raw")))).withColumn("src_dir", directory(F.col("src_path")))
-    found = candidates(asked.select(F.col("looked_up").alias("key")).where("key IS NOT NULL").distinct(), paths, aliases)
+    sought = ~F.col("to_self") & ~F.col("rooted")
+    nothing = F.concat(F.lit("\0"), "src_path")  # no page's spelling, and not one key for all links that seek none
+    asked = asked.withColumn("looked_up", F.when(sought, spelling(F.col("target_raw"))).otherwise(nothing)).withColumn("src_dir", directory(F.col("src_path")))
+    found = candidates(asked.where(sought).select(F.col("looked_up").alias("key")).distinct(), paths, aliases)
     best = found.groupBy(F.col("key").alias("looked_up")).agg(F.min(F.struct("size", "page")).alias("best"), F.sort_array(F.collect_list("page")).alias("all"))
     near = found.groupBy(F.col("key").alias("looked_up"), F.col("dir").alias("src_dir")).agg(F.min(F.struct("size", "page")).alias("near"))
     picked = asked.join(best, "looked_up", "left").join(near, ["looked_up", "src_dir"], "left")

@@ -8,17 +8,25 @@ from pyspark.sql import functions as F
 from pagewright.operators import project, resolve
 
 PROPERTIES = ("type", "status", "owner", "session")
+RESOLVED = ("link", "frontmatter_link", "lock")
 
 
 class Workspace:
-    """The relations of parsed pages; each is a plan, computed when used."""
+    """The relations of parsed pages. Those with destinations are read from `resolved` where it holds them
+    (the projection stores them at its build); else each is a plan, computed when used."""
 
-    def __init__(self, parsed: DataFrame):
-        self.parsed = parsed
+    def __init__(self, parsed: DataFrame, resolved: dict[str, DataFrame] | None = None):
+        self.parsed, self.resolved = parsed, resolved or {}
         self.paths = parsed.select("path")
         self.aliases = parsed.select("path", F.explode("alias").alias("alias"))
 
+    def destinations(self) -> dict[str, DataFrame]:
+        """The relations that hold destinations, from one list of pages and aliases."""
+        return {name: getattr(self, f"_{name}")() for name in RESOLVED}
+
     def __getattr__(self, name: str) -> DataFrame:
+        if name in RESOLVED:
+            return self.resolved[name] if name in self.resolved else getattr(self, f"_{name}")()
         if name in project.RELATIONS:
             return project.relation(self.parsed, name)
         raise AttributeError(name)
@@ -27,19 +35,16 @@ class Workspace:
     def doc(self) -> DataFrame:
         return project.doc(self.parsed)
 
-    @property
-    def link(self) -> DataFrame:
+    def _link(self) -> DataFrame:
         links = project.relation(self.parsed, "link").withColumnRenamed("path", "src_path")
         return resolve.resolve(links, self.paths, self.aliases).withColumn("resolved", F.col("dest_path").isNotNull())
 
-    @property
-    def frontmatter_link(self) -> DataFrame:
+    def _frontmatter_link(self) -> DataFrame:
         links = project.relation(self.parsed, "frontmatter_link").withColumnRenamed("path", "src_path")
         target = F.substring_index("target_raw", "#", 1)
         return resolve.resolve(links.withColumn("target_raw", target), self.paths, self.aliases)
 
-    @property
-    def lock(self) -> DataFrame:
+    def _lock(self) -> DataFrame:
         pins = project.relation(self.parsed, "lock").withColumnRenamed("path", "src_path").withColumn("target_raw", F.substring_index("object", "|", 1))
         return resolve.resolve(pins, self.paths, self.aliases).drop("target_raw")
 

@@ -12,23 +12,28 @@ ALL = ("customers", "orders", "parts", "archive", "geo")
 PAGES = synth.PAGES_SQL
 
 
+def projection(spark: SparkSession, sf_dir: str, families=ALL, anew: bool = False) -> views.Workspace:
+    """The workspace's projection, written once for the tables as they are: parsed pages, and every link with its destination."""
+    seen = scratch.signature(spark, sf_dir)
+    pages = scratch.kept(spark, ("parsed", sf_dir, seen, families), lambda: project.parse_pages(synth.workspace(spark, sf_dir, families)), "parsed", anew)
+    found = views.Workspace(pages).destinations()
+    return views.Workspace(pages, {name: scratch.kept(spark, (name, sf_dir, seen, families), lambda df=df: df, name, anew) for name, df in found.items()})
+
+
 def parsed(spark: SparkSession, sf_dir: str, families=ALL) -> DataFrame:
-    """The parsed pages, written once: the projection that all queries over the same tables read."""
-    return scratch.kept(spark, ("parsed", sf_dir, families), lambda: project.parse_pages(synth.workspace(spark, sf_dir, families)), "parsed")
+    """The parsed pages of the projection."""
+    return projection(spark, sf_dir, families).parsed
 
 
 def space(spark: SparkSession, sf_dir: str, families=ALL) -> views.Workspace:
-    return views.Workspace(parsed(spark, sf_dir, families))
+    return projection(spark, sf_dir, families)
 
 
 def project_workspace(spark, sf_dir):
-    """The cold build: every page parsed and written anew; rows by relation."""
-    fresh = scratch.written(project.parse_pages(synth.workspace(spark, sf_dir)), "projected")
-    counts = [fresh.select(F.lit(n).alias("relation"), F.size(n).cast("long").alias("n")) for n in ("frontmatter", "section", "link", "task", "body", "anchor")]
-    out = counts[0]
-    for more in counts[1:]:
-        out = out.union(more)
-    return out.groupBy("relation").agg(F.sum("n").alias("n"))
+    """The cold build: every page parsed and every link resolved anew, and written; rows by relation. Later queries read it."""
+    fresh = projection(spark, sf_dir, anew=True).parsed
+    sizes = [F.sum(F.size(n)).cast("long").alias(n) for n in ("frontmatter", "section", "link", "task", "body", "anchor")]
+    return fresh.agg(*sizes).unpivot([], list(fresh.agg(*sizes).columns), "relation", "n")
 
 
 def rel_doc(spark, sf_dir):

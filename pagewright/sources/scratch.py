@@ -39,13 +39,25 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
 
 
-def kept(spark: SparkSession, key: tuple, make, name: str) -> DataFrame:
-    """The table that `make` gives, written once per application and key, and again if it is gone."""
+def kept(spark: SparkSession, key: tuple, make, name: str, anew: bool = False) -> DataFrame:
+    """The table that `make` gives, written once per application and key, again if it is gone, or anew."""
     whole = (spark.sparkContext.applicationId, *key)
     path, df = _kept.get(whole, ("", None))
-    if df is None or not exists(spark, f"{path}/_SUCCESS"):
+    if anew or df is None or not exists(spark, f"{path}/_SUCCESS"):
         path = new_folder(spark, name)
         make().write.option("compression", "zstd").parquet(path)
         df = spark.read.parquet(path)
         _kept[whole] = (path, df)
     return df
+
+
+def signature(spark: SparkSession, folder: str) -> tuple:
+    """What tells whether the tables of a folder changed: each file's name, length and time."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = store.listFiles(path, True) if store.exists(path) else None
+    found = []
+    while files is not None and files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))

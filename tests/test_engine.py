@@ -1,6 +1,6 @@
 import pytest
 
-from pagewright.functions import lock
+from pagewright.functions import frontmatter, lock
 from pagewright.functions.blake3 import digests, hex_digest
 from pagewright.operators import delta, graph, history, merkle, pins, project, relocate, resolve, rules, views
 from pagewright.plans import sql_door
@@ -136,7 +136,49 @@ def test_sql_rewrites(spark):
     with pytest.raises(sql_door.SqlRefused, match="three: id"):
         sql_door.run(spark, "SELECT nope FROM three")
     framed = sql_door.frame(sql_door.run(spark, "SELECT id, CAST('NaN' AS DOUBLE) AS x, array(1, 2) AS y FROM three ORDER BY id LIMIT 1"), "b3:0", "FRESH")
-    assert framed["rows"] == [[0, None, [1, 2]]] and framed["row_count"] == 1
+    assert framed["rows"] == [[0, None, [1, 2]]] and framed["row_count"] == 1 and not framed["truncated"]
+    cut = sql_door.frame(sql_door.run(spark, "SELECT id FROM three"), "b3:0", "FRESH", most=2)
+    assert cut["row_count"] == 2 and cut["truncated"]
+
+
+def test_nulls_come_last(spark):
+    spark.sql("SELECT * FROM VALUES (1), (NULL), (2) AS t(x)").createOrReplaceTempView("gaps")
+    answer = lambda sql: [r.x for r in sql_door.run(spark, sql).collect()]
+    assert answer("SELECT x FROM gaps ORDER BY x") == [1, 2, None]
+    assert answer("SELECT x FROM gaps ORDER BY x DESC LIMIT 1") == [2]
+    assert answer("SELECT x FROM gaps ORDER BY x NULLS FIRST") == [None, 1, 2]
+    assert answer("SELECT x FROM (SELECT x, row_number() OVER (ORDER BY abs(x), x) AS n FROM gaps) WHERE n = 3") == [None]
+    assert sql_door.rewritten("SELECT a FROM t ORDER BY f(a, b) DESC, 2 LIMIT 3") == "SELECT a FROM t ORDER BY f(a, b) DESC NULLS LAST, 2 NULLS LAST LIMIT 3"
+
+
+@pytest.mark.parametrize("sql", ["WITH w AS (SELECT 1 AS id) INSERT INTO three SELECT * FROM w", "FROM three INSERT INTO other SELECT *", "LOAD DATA INPATH 'x' INTO TABLE three", "REPLACE TABLE three (id INT)", "SET a.b = 1", "DROP VIEW three"])
+def test_writes_are_refused_wherever_they_stand(spark, sql):
+    spark.range(3).createOrReplaceTempView("three")
+    with pytest.raises(sql_door.SqlRefused):
+        sql_door.run(spark, sql)
+
+
+@pytest.mark.parametrize("sql", ["SELECT rand() FROM doc WHERE path = 'a'", "SELECT current_date() FROM doc WHERE path = 'a'", "SELECT row_number() OVER (ORDER BY path) FROM doc WHERE path = 'a'", "SELECT (SELECT max(path) FROM doc) FROM doc WHERE path = 'a'", "SELECT explode(array(1)) FROM doc WHERE path = 'a'", "SELECT path FROM doc WHERE path = 'a' GROUP BY path"])
+def test_provenance_of_more_than_a_row(spark, sql):
+    assert sql_door.classify(sql).regions is None
+
+
+def test_provenance_of_row_functions(spark):
+    assert sql_door.classify("SELECT upper(substr(path, 1, 2)) FROM doc AS d WHERE d.path = 'a' AND length(path) > 0 ORDER BY path").regions == {"a"}
+
+
+def test_escapes_and_quotes():
+    assert frontmatter.decode('"a\\u00e9"') == ("a\\u00e9", True)
+    assert frontmatter.decode('"a\\n\\"b"') == ('a\n"b', True)
+    assert frontmatter.decode('"a\\"') == ('"a\\"', False) and frontmatter.decode("'it''s'") == ("it's", True)
+
+
+def test_qualified_names_are_whole_endings(spark):
+    ws = views.Workspace(project.parse_pages(spark.createDataFrame([("x/y/readme.md", "[[y/readme]] [[x/y/readme]] [[z/readme]] [[readme]]\n"), ("xy/readme.md", "[[y/readme]]\n"), ("z/readme.md", "[[up:readme]] [[#here]]\n")], "path string, raw string")))
+    got = {(r.src_path, r.target_raw): r.dest_path for r in ws.link.collect()}
+    assert got["x/y/readme.md", "y/readme"] == got["x/y/readme.md", "x/y/readme"] == got["xy/readme.md", "y/readme"] == "x/y/readme.md"
+    assert got["x/y/readme.md", "z/readme"] == "z/readme.md" and got["x/y/readme.md", "readme"] == "x/y/readme.md"
+    assert got["z/readme.md", "up:readme"] is None and got["z/readme.md", ""] == "z/readme.md"
 
 
 @pytest.mark.parametrize(

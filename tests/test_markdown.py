@@ -124,8 +124,8 @@ def test_faults():
 
 def test_norm_takes_out_anchors():
     raw = b"a ^x\n^own\nb\n"
-    removals = markdown.anchor_removals(raw, markdown.parse(raw))
-    assert markdown.normalised(raw, 0, len(raw), removals) == b"a\nb\n"
+    stays = markdown.without_anchors(raw, markdown.parse(raw))
+    assert markdown.kept_bytes(raw, 0, len(raw), stays) == b"a\nb\n"
 
 
 def test_locks():

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -29,6 +30,8 @@ def shared_folder(spark: SparkSession) -> str:
         return set_by_cluster.rstrip("/")
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
     if found.isEmpty():
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pagewright-"))
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
     return found.get().rstrip("/")
@@ -116,6 +119,9 @@ def small(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4
 
 
 def sample_texts(docs: DataFrame, most: int, most_bytes: int = 20_000) -> list[str]:
-    """At most `most` texts of at most `most_bytes` bytes each, from as few partitions as hold them."""
-    rows = docs.select("text").where(F.octet_length("text") <= most_bytes).limit(most).collect()
-    return [r.text for r in rows]
+    """At most `most` texts of at most `most_bytes` bytes each: those of the least hashes of their doc_ids, so
+    that the sample is the same however rows are laid out."""
+    n = docs.count()
+    place = F.xxhash64("doc_id")
+    few = docs.select("text", place.alias("place")).where((F.pmod(place, F.lit(max(1, n // (4 * most)))) == 0) & (F.octet_length("text") <= most_bytes))
+    return [r.text for r in few.orderBy("place", F.xxhash64("text")).limit(most).collect()]

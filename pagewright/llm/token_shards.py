@@ -25,11 +25,11 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import StorageLevel, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import materialise, new_folder, small
+from pagewright.llm.common import materialise, new_folder, release, small
 from pagewright.llm.files import open_read, write_whole
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -150,7 +150,12 @@ def encoder(name: str) -> Encoder:
     return _encoders[name]
 
 
+ENCODED = "part int, first long, doc_id long, n_tokens long, ids binary"
+
+
 def encode_batches(batches: Iterator[pa.RecordBatch], ranks: str) -> Iterator[pa.RecordBatch]:
+    """ENCODED of each text: its partition, the ids before it there, and its own."""
+    part, first = TaskContext.get().partitionId(), 0
     packer = zstandard.ZstdCompressor(level=1)
     for batch in small(batches):
         texts = [t or "" for t in batch.column("text").to_pylist()]
@@ -161,8 +166,11 @@ def encode_batches(batches: Iterator[pa.RecordBatch], ranks: str) -> Iterator[pa
                 held += len(texts[at]) + 1
                 at += 1
             found = encoder(ranks).texts(texts[start:at])
-            sizes = pa.array([len(x) // ID.itemsize for x in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([doc_ids[start:at], sizes, pa.array([packer.compress(x) for x in found], pa.binary())], ["doc_id", "n_tokens", "ids"])
+            sizes = np.array([len(x) // ID.itemsize for x in found], np.int64)
+            firsts = first + np.cumsum(sizes) - sizes
+            first += int(sizes.sum())
+            columns = [pa.array(np.full(len(found), part, np.int32)), pa.array(firsts), doc_ids[start:at], pa.array(sizes), pa.array([packer.compress(x) for x in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in ENCODED.split(", ")])
 
 
 class Layout(NamedTuple):
@@ -178,12 +186,12 @@ class Layout(NamedTuple):
 
 def place_batches(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[pa.RecordBatch]:
     """Each text's ids in pieces: the slot they belong to and where they begin there."""
-    part, order = TaskContext.get().partitionId(), Feistel(layout.sequences, layout.key)
-    at = layout.bases[part] if part < len(layout.bases) else 0
+    order = Feistel(layout.sequences, layout.key)
     packer, unpacker = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
     for batch in batches:
         docs, sequences, begins, pieces = [], [], [], []
-        for doc_id, packed in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
+        for part, first, doc_id, packed in zip(*(batch.column(c).to_pylist() for c in ("part", "first", "doc_id", "ids"))):
+            at = layout.bases[part] + first
             ids = unpacker.decompress(packed)
             done, size = 0, len(ids) // ID.itemsize
             while done < size:
@@ -239,30 +247,27 @@ def write_shards(docs: DataFrame, folder: str | None = None, ranks: str = RANKS,
     offset is the sequence's place in its shard in bytes, n_tokens is its ids without padding, doc_ids
     the documents it holds in order, payload_sha256 covers the stride as written. Null and empty texts
     add no ids; a row that occurs again is written again; texts of any length run on over sequences;
-    no rows give no shards. The order of the stream is that of the rows of `docs`; where a shuffle
-    makes them, they are written to the shared folder first, so that their order is fixed.
+    no rows give no shards. The order of the stream is that of the rows of `docs`. The ids are written to
+    the shared folder once, with their place in the stream, so that a lost executor changes no order.
     """
     spark: SparkSession = docs.sparkSession
     folder = folder or new_folder(spark, "token-shards")
-    docs = docs.select("doc_id", "text")
-    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
-        docs = materialise(docs, "token-texts")
-    tokens = docs.mapInArrow(lambda b: encode_batches(b, ranks), "doc_id long, n_tokens long, ids binary").persist(StorageLevel.MEMORY_AND_DISK)
-    sums = {r.part: r.n for r in tokens.groupBy(F.spark_partition_id().alias("part")).agg(F.sum("n_tokens").alias("n")).collect()}
+    tokens = materialise(docs.select("doc_id", "text").mapInArrow(lambda b: encode_batches(b, ranks), ENCODED), "token-ids", hashes=True)
+    sums = {r.part: r.n for r in tokens.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}
     bases, total = [], 0
     for part in range(max(sums, default=-1) + 1):
         bases.append(total)
         total += sums.get(part, 0)
     sequences = -(-total // length)
     if not sequences:
-        tokens.unpersist()
+        release(tokens)
         return spark.createDataFrame([], WRITTEN)
     shards = -(-sequences // shard_sequences)
     layout = Layout(bases, sequences, length, shard_sequences, -(-shards // MOST_TASKS), key)
     placed = tokens.mapInArrow(lambda b: place_batches(b, layout), "task int, slot long, sequence long, begin int, doc_id long, ids binary")
     dealt = placed.repartitionById(-(-shards // layout.shards_a_task), F.col("task")).sortWithinPartitions("slot", "begin")
     written = materialise(dealt.mapInArrow(lambda b: write_batches(b, layout, folder), WRITTEN), "token-sequences")
-    tokens.unpersist()
+    release(tokens)
     return written
 
 

@@ -11,8 +11,8 @@ counts, exact intersections. A linked pair can only miss where all parts that ag
 of SMALL shingles or less deal them ROUNDS times, each time by another hash, so that the chance is
 under 1e-9 a pair at any size (for 4 and 5 shingles at 80 %: (1 / 6) ** 12).
 
-Items are named by 128 bits: 64 as the item, and 64 more that tell sets of the same item apart. The
-sets are kept from the one pass over the texts; no text is shuffled.
+Items are named by 128 bits: 64 as the item, and 64 more that tell sets of the same item apart. Sets are
+kept nowhere; those of items that met are made again from one text of each, found by its hash.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import as_bytes, materialise, materialise_counted, release, small, small_side, unused_names
+from pagewright.llm.common import as_bytes, frugal, materialise, materialise_counted, release, small, small_side, unused_names
 from pagewright.llm.links import Bound, link_components
 from pagewright.llm.shingles import mixed, set_names, shingle_sets
 from pagewright.llm.verbatim import steps
@@ -77,7 +77,9 @@ def bucket_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
 
 
-SIGNED = "doc_id long, n_shingles long, text_hash long, item long, check long, keys array<long>, set binary"
+SIGNED = "doc_id long, n_shingles long, text_hash long, item long, check long, keys array<long>"
+#: Names of so many items (24 bytes each) are broadcast to find their texts; beyond it, texts go to them by a shuffle.
+BROADCAST_ITEMS = 500_000
 
 
 def sign(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -88,10 +90,19 @@ def sign(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterato
             keys = [bucket_keys(s, percent) for s in sets]
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]).astype(np.int32)), pa.array(np.concatenate(keys)))
             own = batch.slice(first, len(texts))
-            columns = [own.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), own.column("text_hash"), *(pa.array(x, pa.int64()) for x in zip(*names)), lists, pa.array([s.tobytes() for s in sets], pa.binary())]
+            columns = [own.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), own.column("text_hash"), *(pa.array(x, pa.int64()) for x in zip(*names)), lists]
             yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SIGNED.split(", ")])
 
 
+def sets_of_texts(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """(item, set) of texts whose set has the item's check."""
+    for batch in small(batches):
+        for first, texts in steps(as_bytes(batch, "text")):
+            own, sets = batch.slice(first, len(texts)), shingle_sets(texts, width)
+            same = [len(s) > 0 and set_names(s)[1] == check for s, check in zip(sets, own.column("check").to_pylist())]
+            yield pa.RecordBatch.from_arrays([own.column("item"), pa.array([s.tobytes() for s in sets], pa.binary())], ["item", "set"]).filter(pa.array(same, pa.bool_()))
+
+
 def named_apart(marked: DataFrame) -> DataFrame:
     """`marked`, with another item for sets that share theirs with another set."""
     clashes = marked.where("item is not null").groupBy("item").agg(F.min("check").alias("first_check"), F.max("check").alias("last_check")).where("first_check < last_check").drop("last_check")
@@ -104,15 +115,22 @@ def named_apart(marked: DataFrame) -> DataFrame:
 
 def labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Per row of `docs`: doc_id, n_shingles, text_hash, group (a name of its component) and component_id."""
+    with frugal(docs.sparkSession):
+        return _labelled(docs, width, percent)
+
+
+def _labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
     hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     written = materialise(hashed.mapInArrow(lambda b: sign(b, width, percent), SIGNED), "jaccard-marked", hashes=True)
     marked = named_apart(written)
-    signed = materialise(marked.drop("keys", "set", "check"), "jaccard-signed", hashes=True)
-    classes = materialise(signed.where("item IS NOT NULL").groupBy("item").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies")), "jaccard-items")
+    signed = materialise(marked.drop("keys"), "jaccard-signed", hashes=True)
+    classes = materialise(signed.where("item IS NOT NULL").groupBy("item").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.min("text_hash").alias("its_hash"), F.min("check").alias("check")), "jaccard-items")
 
     def sets_of(items: DataFrame) -> DataFrame:
-        wanted = materialise(items, "jaccard-wanted")
-        return marked.select("item", "set").join(small_side(wanted, wanted.count()), "item", "left_semi").dropDuplicates(["item"])
+        release(written)
+        wanted = materialise(classes.join(items, "item", "left_semi").select("item", "check", "its_hash"), "jaccard-wanted")
+        texts = hashed.join(small_side(wanted, wanted.count(), BROADCAST_ITEMS), F.col("text_hash") == F.col("its_hash"))
+        return texts.select("item", "check", "text").mapInArrow(lambda b: sets_of_texts(b, width), "item long, set binary").dropDuplicates(["item"])
 
     linked = link_components(marked.select("item", F.explode("keys").alias("key")), sets_of, Bound(percent), "jaccard")
     named = linked.join(classes.select("item", "least_id"), "item")
@@ -120,7 +138,6 @@ def labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
     grouped = linked.join(least, "component").select("item", "component", "component_id")
     several = classes.select("item", "least_id", "copies").join(grouped, "item", "left").where("copies > 1 OR component IS NOT NULL")
     labels = materialise(several.select("item", F.coalesce("component", "item").alias("group"), F.coalesce("component_id", "least_id").alias("component_id")), "jaccard-named")
-    release(written)
     return signed.join(small_side(labels, labels.count()), "item", "left").select("doc_id", "n_shingles", "text_hash", "group", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

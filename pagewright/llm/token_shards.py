@@ -150,27 +150,29 @@ def encoder(name: str) -> Encoder:
     return _encoders[name]
 
 
-ENCODED = "part int, first long, doc_id long, n_tokens long, ids binary"
+ENCODED = "part int, first long, n_tokens long, doc_ids array<long>, sizes array<long>, ids binary"
 
 
 def encode_batches(batches: Iterator[pa.RecordBatch], ranks: str) -> Iterator[pa.RecordBatch]:
-    """ENCODED of each text: its partition, the ids before it there, and its own."""
+    """ENCODED of some texts a row: their partition, the ids before them there, and their own, packed together."""
     part, first = TaskContext.get().partitionId(), 0
     packer = zstandard.ZstdCompressor(level=1)
     for batch in small(batches):
         texts = [t or "" for t in batch.column("text").to_pylist()]
-        doc_ids, at = batch.column("doc_id").cast(pa.int64()), 0
+        doc_ids, at = batch.column("doc_id").cast(pa.int64()).to_pylist(), 0
         while at < len(texts):
             start, held = at, 0
             while at < len(texts) and held < STEP_CHARS:
                 held += len(texts[at]) + 1
                 at += 1
             found = encoder(ranks).texts(texts[start:at])
-            sizes = np.array([len(x) // ID.itemsize for x in found], np.int64)
-            firsts = first + np.cumsum(sizes) - sizes
-            first += int(sizes.sum())
-            columns = [pa.array(np.full(len(found), part, np.int32)), pa.array(firsts), doc_ids[start:at], pa.array(sizes), pa.array([packer.compress(x) for x in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in ENCODED.split(", ")])
+            sizes = [len(x) // ID.itemsize for x in found]
+            row = {"part": part, "first": first, "n_tokens": sum(sizes), "doc_ids": doc_ids[start:at], "sizes": sizes, "ids": packer.compress(b"".join(found))}
+            first += sum(sizes)
+            yield pa.RecordBatch.from_pylist([row], schema=_ENCODED)
+
+
+_ENCODED = pa.schema([("part", pa.int32()), ("first", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("ids", pa.binary())])
 
 
 class Layout(NamedTuple):
@@ -190,18 +192,18 @@ def place_batches(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator
     packer, unpacker = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
     for batch in batches:
         docs, sequences, begins, pieces = [], [], [], []
-        for part, first, doc_id, packed in zip(*(batch.column(c).to_pylist() for c in ("part", "first", "doc_id", "ids"))):
-            at = layout.bases[part] + first
-            ids = unpacker.decompress(packed)
-            done, size = 0, len(ids) // ID.itemsize
-            while done < size:
-                begin = at % layout.length
-                n = min(size - done, layout.length - begin)
-                docs.append(doc_id)
-                sequences.append(at // layout.length)
-                begins.append(begin)
-                pieces.append(packer.compress(ids[done * ID.itemsize : (done + n) * ID.itemsize]))
-                done, at = done + n, at + n
+        for row in batch.to_pylist():
+            at, done, ids = layout.bases[row["part"]] + row["first"], 0, memoryview(unpacker.decompress(row["ids"]))
+            for doc_id, size in zip(row["doc_ids"], row["sizes"]):
+                end = done + size
+                while done < end:
+                    begin = at % layout.length
+                    n = min(end - done, layout.length - begin)
+                    docs.append(doc_id)
+                    sequences.append(at // layout.length)
+                    begins.append(begin)
+                    pieces.append(packer.compress(ids[done * ID.itemsize : (done + n) * ID.itemsize]))
+                    done, at = done + n, at + n
         slots = order.slots(np.array(sequences, np.uint64))
         task = slots // layout.shard_sequences // layout.shards_a_task
         yield pa.RecordBatch.from_arrays(

@@ -78,7 +78,7 @@ def bucket_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
 
 
 SIGNED = "doc_id long, n_shingles long, text_hash long, item long, check long, keys array<long>"
-#: Names of so many items (24 bytes each) are broadcast to find their texts; beyond it, texts go to them by a shuffle.
+#: Names of so many items or rows (24 bytes each) are broadcast to find their texts; beyond it, texts go to them by a shuffle.
 BROADCAST_ITEMS = 500_000
 
 
@@ -165,12 +165,13 @@ def drop_near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     kept = rows.groupBy("group").agg(F.min(order).alias("kept"))
     marked = rows.join(kept, "group").select(F.col("doc_id").alias(its_id), F.col("text_hash").alias(its_hash), (order == F.col("kept")).alias("stays"))
     marked = materialise(marked.groupBy(its_id, its_hash, "stays").agg(F.count("*").alias("times")), "jaccard-marked")
+    release(rows)
     gone, again = (marked.where(x).select(its_id, its_hash) for x in ("NOT stays", "stays AND times > 1"))
     n_gone, n_again = (x.count() for x in (gone, again))
     same = F.col("doc_id").eqNullSafe(F.col(its_id)) & F.xxhash64("text").eqNullSafe(F.col(its_hash))
-    left = docs.join(small_side(gone, n_gone), same, "left_anti")
+    left = docs.join(small_side(gone, n_gone, BROADCAST_ITEMS), same, "left_anti")
     if not n_again:
         return left
-    twice = small_side(again, n_again)
+    twice = small_side(again, n_again, BROADCAST_ITEMS)
     once = left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"])
     return left.join(twice, same, "left_anti").unionByName(once)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +14,8 @@ from pagewright.sources import scratch
 TONES = ("lock-refused", "unmounted", "file-not-found", "outside-domain", "malformed-fingerprint", "unverifiable-fingerprint", "ambiguous", "selector-unresolved", "drifted", "green")
 
 
-def walk(edges: DataFrame, start: DataFrame, depth: int, up: bool = False) -> DataFrame:
-    """(node, depth): what is reached from `start` (node) in at most `depth` steps, each at its least depth.
+def walk(edges: DataFrame, start: DataFrame, depth: int | None, up: bool = False) -> DataFrame:
+    """(node, depth): what is reached from `start` (node) in at most `depth` steps (any number if None), each at its least depth.
 
     One join per step against the frontier; a node that was seen is never expanded again.
     """
@@ -20,7 +23,7 @@ def walk(edges: DataFrame, start: DataFrame, depth: int, up: bool = False) -> Da
     steps = edges.select(F.col(here).alias("node"), F.col(there).alias("next")).distinct()
     frontier = scratch.written(start.select("node", F.lit(0).alias("depth")).distinct(), "walk")
     seen = frontier
-    for level in range(1, depth + 1):
+    for level in count(1) if depth is None else range(1, depth + 1):
         reached = steps.join(frontier.select("node"), "node").select(F.col("next").alias("node")).distinct()
         frontier = scratch.written(reached.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(level)), "walk")
         if frontier.isEmpty():
@@ -29,17 +32,46 @@ def walk(edges: DataFrame, start: DataFrame, depth: int, up: bool = False) -> Da
     return seen
 
 
-def cyclic(edges: DataFrame) -> DataFrame:
-    """(node): nodes that lie on a cycle or between cycles; what is left when ends are taken off until none is."""
+def trimmed(edges: DataFrame) -> DataFrame:
+    """The edges (src, dst) that are left when nodes without one in or one out are taken off until none is."""
     left = scratch.written(edges.select("src", "dst").distinct(), "cycle")
     while True:
         kept = left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
         kept = scratch.written(kept.select("src", "dst"), "cycle")
         if kept.count() == left.count():
-            return kept.select(F.col("src").alias("node")).union(kept.select("dst")).distinct()
+            return kept
         left = kept
 
 
+def loops(edges: DataFrame) -> DataFrame:
+    """(node, loop): nodes that lie on a cycle, and the largest node that they and each other reach.
+
+    Nodes pass the largest name that reaches them along until none changes; a name's own node and what
+    reaches it under that name are a strongly connected component. Those come off, and the rest goes round
+    again. Nodes between cycles are components of their own and are left out, as they have no edge inside.
+    """
+    left, found = trimmed(edges), []
+    while not left.isEmpty():
+        names = scratch.written(left.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("loop", F.col("node")).withColumn("moved", F.lit(True)), "loop-names")
+        while not (sending := names.where("moved")).isEmpty():
+            sent = left.join(sending.select(F.col("node").alias("src"), "loop"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("loop").alias("sent"))
+            further = F.coalesce(F.col("sent") > F.col("loop"), F.lit(False))
+            names = scratch.written(names.join(sent, "node", "left").select("node", F.greatest("loop", "sent").alias("loop"), further.alias("moved")), "loop-names")
+        names = names.drop("moved")
+        ends = names.select(F.col("node").alias("src"), "loop"), names.select(F.col("node").alias("dst"), F.col("loop").alias("other"))
+        inside = scratch.written(left.join(ends[0], "src").join(ends[1], "dst").where("loop = other").select("src", "dst", "loop"), "loop-edges")
+        members = scratch.written(walk(inside, names.where("node = loop"), None, up=True).select("node"), "loop-members")
+        ins, outs = members.withColumnRenamed("node", "dst"), members.withColumnRenamed("node", "src")
+        found.append(inside.join(ins, "dst", "left_semi").join(outs, "src", "left_semi").select(F.col("src").alias("node"), "loop").distinct())
+        left = trimmed(left.join(ins, "dst", "left_anti").join(outs, "src", "left_anti"))
+    return reduce(DataFrame.unionByName, found, edges.select(F.col("src").alias("node"), F.col("src").alias("loop")).limit(0))
+
+
+def cyclic(edges: DataFrame) -> DataFrame:
+    """(node): nodes that lie on a cycle."""
+    return loops(edges).select("node")
+
+
 def coloured(pins: DataFrame) -> DataFrame:
     """pins with tone and reason.
 

@@ -7,17 +7,18 @@ so a failed or retried append is never seen and a reader that holds a generation
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions.blake3 import digests
-from pagewright.operators import merkle, project, resolve
-from pagewright.sources import scratch
+from pagewright.operators import merkle, project, resolve, views
+from pagewright.sources import scratch, workspace
 
-CHILDREN = ("frontmatter", "section", "frontmatter_tag", "frontmatter_fault", "task", "anchor")
-LINKS = ("link", "frontmatter_link")
+CHILDREN = ("frontmatter", "section", "frontmatter_tag", "frontmatter_fault", "task", "lock_fault", "anchor")
+BASES = ("base_view", "base_formula")
 
 
 def revisions(pages: DataFrame) -> DataFrame:
@@ -55,6 +56,14 @@ def changes(manifest: DataFrame, current: DataFrame) -> DataFrame:
     return a.join(b, "path", "full_outer").select("path", change.alias("change")).where("change IS NOT NULL")
 
 
+def base_changes(manifest: DataFrame, current: DataFrame) -> DataFrame:
+    """(path, change) as changes() has it; a file that can't be read has no file_rev, and one without equals nothing."""
+    a = manifest.select("path", F.col("file_rev").alias("old"), F.lit(True).alias("was"))
+    b = current.select("path", F.col("file_rev").alias("new"), F.lit(True).alias("is"))
+    change = F.when(F.col("was").isNull(), "added").when(F.col("is").isNull(), "removed").when(~F.coalesce(F.col("old") == F.col("new"), F.lit(False)), "changed")
+    return a.join(b, "path", "full_outer").select("path", change.alias("change")).where("change IS NOT NULL")
+
+
 def moved_names(diff: DataFrame, old_aliases: DataFrame, new_aliases: DataFrame) -> DataFrame:
     """(name): every spelling whose meaning an append can change."""
     moved = diff.where("change <> 'changed'").select(resolve.spelling(F.col("path")).alias("name"))
@@ -104,9 +113,20 @@ class History:
         log = self.table("doc", gen)
         return None if log is None else live(log)
 
+    def base(self, gen: int | None = None) -> DataFrame | None:
+        log = self.table("base", gen)
+        return None if log is None else live(log)
+
+    def stamp(self, gen: int | None = None) -> DataFrame | None:
+        """(gen, as_of_fingerprint, doc_count) of a generation, in one row."""
+        pins = [p for p in self.pins() if gen is None or p["gen"] <= gen]
+        if not pins:
+            return None
+        return self.docs(gen).agg(F.lit(pins[-1]["gen"]).alias("gen"), F.lit(pins[-1]["fingerprint"]).alias("as_of_fingerprint"), F.count("*").alias("doc_count"))
+
     def relation(self, name: str, gen: int | None = None) -> DataFrame | None:
         """The live rows of a child table; body rows with their text."""
-        rows, docs = self.table(name, gen), self.docs(gen)
+        rows, docs = self.table(name, gen), self.base(gen) if name in BASES else self.docs(gen)
         if rows is None or docs is None:
             return None
         kept = of_live(rows, docs).drop("gen")
@@ -115,14 +135,16 @@ class History:
     def _append(self, name: str, rows: DataFrame, gen: int) -> None:
         rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.folder}/{name}/gen={gen}")
 
-    def sync(self, pages: DataFrame) -> dict | None:
-        """Bring the log to the state of `pages` (path, raw); None if nothing changed.
+    def sync(self, pages: DataFrame, bases: DataFrame | None = None) -> dict | None:
+        """Bring the log to the state of `pages` and base files (path, raw); None if nothing changed.
 
-        Only pages that are new, changed, or that link to a name that moved are parsed and appended.
+        Only pages that are new, changed, or that link to or pin a name that moved are parsed and appended.
+        Without `bases` nothing is said about base files, and those of the log stay.
         """
         current = scratch.written(revisions(pages), "revisions")
         fingerprint, before, gen = merkle.root(current), self.docs(), self.generation() + 1
-        if before is not None and self.pins()[-1]["fingerprint"] == fingerprint:
+        base_diff = self._base_diff(bases) if bases is not None else None
+        if before is not None and self.pins()[-1]["fingerprint"] == fingerprint and (base_diff is None or base_diff.isEmpty()):
             return None
         manifest = before.select("path", "file_rev") if before is not None else current.select("path", "file_rev").limit(0)
         diff = scratch.written(changes(manifest, current), "diff")
@@ -132,12 +154,14 @@ class History:
         redo = parsed.limit(0)
         if before is not None:
             old_aliases = self.relation("alias")
-            spelled = self.relation("link").select("src_path", "target_raw").union(self.relation("frontmatter_link").select("src_path", "target_raw"))
+            spelled = reduce(DataFrame.union, (self.relation(n).select("src_path", "target_raw") for n in views.RESOLVED))
             again = scratch.written(affected(spelled, moved_names(diff, old_aliases, aliases), diff), "affected")
             redo = project.parse_pages(pages.join(again, "path", "left_semi"))
             aliases = aliases.union(old_aliases.join(diff, "path", "left_anti").select("path", "alias"))
         whole = scratch.written(parsed.union(redo), "appended")
         self._write(whole, diff, current.select("path"), aliases, gen)
+        if base_diff is not None:
+            self._write_bases(bases, base_diff, gen)
         counts = {r.change: r.n for r in diff.groupBy("change").agg(F.count("*").alias("n")).collect()}
         pin = {"gen": gen, "fingerprint": fingerprint, **{c: counts.get(c, 0) for c in ("added", "changed", "removed")}}
         self.spark.createDataFrame([pin], "gen long, fingerprint string, added long, changed long, removed long").coalesce(1).write.mode("append").parquet(f"{self.folder}/pin")
@@ -149,9 +173,8 @@ class History:
         for name in CHILDREN:
             self._append(name, project.relation(parsed, name), gen)
         self._append("alias", parsed.select("path", F.explode("alias").alias("alias")), gen)
-        for name in LINKS:
-            rows = project.relation(parsed, name).withColumnRenamed("path", "src_path")
-            found = resolve.resolve(rows, paths, aliases)
+        for name in views.RESOLVED:
+            found = resolve.resolve(views.spelled(parsed, name), paths, aliases)
             self._append(name, found.withColumn("path", F.col("src_path")), gen)
         body = project.relation(parsed, "body").withColumn("body_key", F.sha2("text", 256))
         known = self.table("body_text", gen - 1)
@@ -159,12 +182,32 @@ class History:
         self._append("body_text", texts if known is None else texts.join(known, "body_key", "left_anti"), gen)
         self._append("body", body.drop("text"), gen)
 
+    def _base_revisions(self, bases: DataFrame) -> DataFrame:
+        return bases.select("path", F.when(F.col("raw").isNotNull(), F.substring(F.sha2(F.col("raw").cast("binary"), 256), 1, 16)).alias("file_rev"))
+
+    def _base_diff(self, bases: DataFrame) -> DataFrame:
+        now, before = self._base_revisions(bases), self.base()
+        return scratch.written(base_changes(now.limit(0) if before is None else before, now), "base-diff")
+
+    def _write_bases(self, bases: DataFrame, diff: DataFrame, gen: int) -> None:
+        touched = bases.join(diff.where("change <> 'removed'").select("path"), "path", "left_semi")
+        parsed = scratch.written(workspace.bases(touched), "bases")
+        rows = self._base_revisions(touched).join(parsed.drop("views", "formulas"), "path").withColumn("tombstone", F.lit(False))
+        gone = diff.where("change = 'removed'").select("path", F.lit(True).alias("tombstone"))
+        self._append("base", rows.unionByName(gone, allowMissingColumns=True), gen)
+        self._append("base_view", parsed.selectExpr("path", "inline(views)"), gen)
+        self._append("base_formula", parsed.selectExpr("path", "inline(formulas)"), gen)
+
     def compacted(self, folder: str) -> History:
         """A new log in `folder` that holds this one's latest state as its only generation."""
         gen, other = self.generation(), History(self.spark, folder)
         other._append("doc", self.docs().drop("gen").withColumn("tombstone", F.lit(False)), gen)
-        for name in (*CHILDREN, "alias", *LINKS):
+        for name in (*CHILDREN, "alias", *views.RESOLVED):
             other._append(name, self.relation(name), gen)
+        if self.base() is not None:
+            other._append("base", self.base().drop("gen").withColumn("tombstone", F.lit(False)), gen)
+            for name in BASES:
+                other._append(name, self.relation(name), gen)
         body = of_live(self.table("body"), self.docs()).drop("gen")
         other._append("body", body, gen)
         other._append("body_text", self.table("body_text").drop("gen").join(body, "body_key", "left_semi"), gen)

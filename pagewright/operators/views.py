@@ -11,6 +11,14 @@ PROPERTIES = ("type", "status", "owner", "session")
 RESOLVED = ("link", "frontmatter_link", "lock")
 
 
+def spelled(parsed: DataFrame, name: str) -> DataFrame:
+    """A relation of RESOLVED with the page it stands on (src_path) and what it names (target_raw)."""
+    rows = project.relation(parsed, name).withColumnRenamed("path", "src_path")
+    if name == "link":
+        return rows
+    return rows.withColumn("target_raw", F.substring_index("target_raw", "#", 1) if name == "frontmatter_link" else F.substring_index("object", "|", 1))
+
+
 class Workspace:
     """The relations of parsed pages. Those with destinations are read from `resolved` where it holds them
     (the projection stores them at its build); else each is a plan, computed when used."""
@@ -36,17 +44,13 @@ class Workspace:
         return project.doc(self.parsed)
 
     def _link(self) -> DataFrame:
-        links = project.relation(self.parsed, "link").withColumnRenamed("path", "src_path")
-        return resolve.resolve(links, self.paths, self.aliases).withColumn("resolved", F.col("dest_path").isNotNull())
+        return resolve.resolve(spelled(self.parsed, "link"), self.paths, self.aliases).withColumn("resolved", F.col("dest_path").isNotNull())
 
     def _frontmatter_link(self) -> DataFrame:
-        links = project.relation(self.parsed, "frontmatter_link").withColumnRenamed("path", "src_path")
-        target = F.substring_index("target_raw", "#", 1)
-        return resolve.resolve(links.withColumn("target_raw", target), self.paths, self.aliases)
+        return resolve.resolve(spelled(self.parsed, "frontmatter_link"), self.paths, self.aliases)
 
     def _lock(self) -> DataFrame:
-        pins = project.relation(self.parsed, "lock").withColumnRenamed("path", "src_path").withColumn("target_raw", F.substring_index("object", "|", 1))
-        return resolve.resolve(pins, self.paths, self.aliases).drop("target_raw")
+        return resolve.resolve(spelled(self.parsed, "lock"), self.paths, self.aliases).drop("target_raw")
 
 
 def backlink(link: DataFrame, frontmatter_link: DataFrame) -> DataFrame:
@@ -61,6 +65,16 @@ def dangling(link: DataFrame) -> DataFrame:
     return link.where("kind IN ('wikilink', 'embed') AND dest_path IS NULL AND dest_root IS NULL").select("src_path", "target_raw")
 
 
+def referrers(lock: DataFrame) -> DataFrame:
+    """(path, src_path, seq, arm, selector): the pins that name a page."""
+    return lock.where("dest_path IS NOT NULL").select(F.col("dest_path").alias("path"), "src_path", "seq", "arm", "selector")
+
+
+def base_embeds(excluded: DataFrame, base: DataFrame) -> DataFrame:
+    """(path, src_path, seq): links that were left out because they name a base file; excluded as resolve.exclusions gives it."""
+    return excluded.join(base.select(F.col("path").alias("exclusion_path")), "exclusion_path").select(F.col("exclusion_path").alias("path"), "src_path", "seq")
+
+
 def record(doc: DataFrame, frontmatter: DataFrame) -> DataFrame:
     """One row per page: the usual properties as columns."""
     wide = frontmatter.where(F.col("key").isin(*PROPERTIES)).groupBy("path").agg(*[F.max(F.when(F.col("key") == p, F.col("value"))).alias(p) for p in PROPERTIES])

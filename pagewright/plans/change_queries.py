@@ -50,6 +50,25 @@ def upkeep_links(spark, sf_dir):
     return log.relation("link").select("src_path", "seq", "target_raw", "dest_path", F.array_join("candidates", ",").alias("candidates"))
 
 
+def base_states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two states of a base file per nation: every fifth comes, every seventh goes, every third gets a formula more."""
+    k = F.col("n_nationkey")
+    raw = F.concat(F.lit("views:\n  - name: "), "n_name", F.lit("\n    type: table\nformulas:\n  f: a + "), k.cast("string"), F.lit("\n"))
+    files = table(spark, sf_dir, "nation").select(k, F.concat(F.lit("geo/"), k.cast("string"), F.lit(".base")).alias("path"), raw.alias("raw"))
+    after = F.concat("raw", F.when(k % 3 == 0, "  g: b\n").otherwise(""))
+    return files.where(k % 5 != 0).select("path", "raw"), files.where(k % 7 != 0).select("path", after.alias("raw"))
+
+
+def upkeep_bases(spark, sf_dir):
+    """Views and formulas of the base files after two appends, with the generation that each file was last read in."""
+    log = history.History(spark, scratch.new_folder(spark, "history"))
+    for bases in base_states(spark, sf_dir):
+        log.sync(synth.workspace(spark, sf_dir, ("geo",)), bases)
+    named = log.relation("base_view").select("path", "ord", F.lit("view").alias("part"), "name", F.col("type").alias("value"))
+    formulas = log.relation("base_formula").select("path", "ord", F.lit("formula").alias("part"), "name", F.col("expr").alias("value"))
+    return named.unionByName(formulas).join(log.base().select("path", "gen"), "path")
+
+
 def upkeep_affected(spark, sf_dir):
     """Unchanged pages that an added archive makes the engine resolve again."""
     ws = space(spark, sf_dir, ("customers", "orders", "parts", "geo"))
@@ -209,7 +228,7 @@ def rules_change(spark, sf_dir):
     return rules.check_changes(delta.property_changes(frontmatter, after), check, "no-building").select("rule", "severity", "path", "detail")
 
 
-NAMES = ("read_toc", "read_cat", "read_extract", "read_words", "status_line", "rules_change", "delta_files", "delta_nodes", "delta_sections", "delta_frame", "upkeep_links", "upkeep_affected", "upkeep_compacted", "history_by_generation", "stream_state", "stream_windows", "graph_walk_down", "graph_walk_up", "graph_cycles", "plan_move", "plan_rename", "rules_query", "rules_shape", "rules_typed", "status_tasks", "pins_coloured", "orphan_runs", "tree_digest_dirs")
+NAMES = ("read_toc", "read_cat", "read_extract", "read_words", "status_line", "rules_change", "delta_files", "delta_nodes", "delta_sections", "delta_frame", "upkeep_links", "upkeep_bases", "upkeep_affected", "upkeep_compacted", "history_by_generation", "stream_state", "stream_windows", "graph_walk_down", "graph_walk_up", "graph_cycles", "plan_move", "plan_rename", "rules_query", "rules_shape", "rules_typed", "status_tasks", "pins_coloured", "orphan_runs", "tree_digest_dirs")
 QUERIES = {n: globals()[n] for n in NAMES}
 
 CHANGES = """
@@ -240,6 +259,8 @@ UNION ALL SELECT 'anchor' FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT
 SELECT hpath, CASE change WHEN 'created' THEN 'added' WHEN 'deleted' THEN 'removed' ELSE 'edited' END AS change, CAST(count(*) AS BIGINT) AS n FROM changed, s WHERE NOT (change = 'modified' AND hpath LIKE '%Notes%') GROUP BY ALL""",
     "delta_frame": f"WITH {CHANGES} SELECT CAST(1 AS BIGINT) AS seq, CAST(least(count(*), 128) AS BIGINT) AS files, CAST(greatest(count(*) - 128, 0) AS BIGINT) AS dropped FROM changed",
     "upkeep_links": f"WITH {LINKS} SELECT src_path, CAST(seq AS BIGINT) AS seq, target_raw, dest_path, candidates FROM links",
+    "upkeep_bases": """WITH b AS (SELECT n_nationkey AS k, n_name, 'geo/' || n_nationkey || '.base' AS path, CAST(CASE WHEN n_nationkey % 5 = 0 OR n_nationkey % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS gen FROM nation WHERE n_nationkey % 7 <> 0)
+SELECT path, CAST(0 AS BIGINT) AS ord, 'view' AS part, n_name AS name, 'table' AS value, gen FROM b UNION ALL SELECT path, 0, 'formula', 'f', 'a + ' || k, gen FROM b UNION ALL SELECT path, 1, 'formula', 'g', 'b', gen FROM b WHERE k % 3 = 0""",
     "upkeep_affected": "SELECT DISTINCT 'orders/order-' || l_orderkey || '.md' AS path FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_partkey % 10 = 0 AND l_partkey % 3 <> 0 AND l_partkey IN (SELECT p_partkey FROM part)",
     "upkeep_compacted": f"WITH {PAGES} SELECT path, CAST(strlen(raw) + CASE WHEN k % 3 = 0 THEN 7 ELSE 0 END AS BIGINT) AS bytes FROM (SELECT path, raw, CAST(regexp_extract(path, '([0-9]+)', 1) AS BIGINT) AS k FROM pages WHERE path LIKE 'customers/%') WHERE k % 7 <> 0",
     "history_by_generation": "SELECT CAST(user_id AS VARCHAR) AS path, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS gen FROM events QUALIFY gen <= 5) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY gen DESC) = 1 AND event_type <> 'error'",

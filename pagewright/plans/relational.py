@@ -57,6 +57,7 @@ SAME = {
     "scalar_math": "SELECT l_orderkey, l_linenumber, l_partkey, abs(l_discount - 0.05) > 0.02 AS a, CAST(floor(l_extendedprice / 1000) AS BIGINT) AS b, CAST(ceil(l_extendedprice / 1000) AS BIGINT) AS c, round(sqrt(l_quantity), 6) AS d, l_partkey % 7 AS e, round(ln(l_extendedprice), 6) AS f, round(power(l_quantity, 2), 2) AS g, CAST(sign(l_tax - 0.04) AS INT) AS h FROM lineitem",
     "scalar_conditional": "SELECT event_id, greatest(value, 10.0) AS a, least(value, 10.0) AS b, nullif(event_type, 'view') AS c, if(value > 50, 'big', 'small') AS d FROM events",
     "scalar_date": "SELECT o_orderkey, CAST(year(o_orderdate) AS BIGINT) AS y, CAST(month(o_orderdate) AS BIGINT) AS m, CAST(quarter(o_orderdate) AS BIGINT) AS q, date_trunc('month', o_orderdate) AS month_start, CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)) AS d FROM orders",
+    "information_schema": "SELECT c.table_name, c.column_name, CAST(c.ordinal_position AS BIGINT) AS ordinal_position, t.table_type FROM information_schema.columns c JOIN Information_Schema . tables t ON t.table_name = c.table_name WHERE c.table_name IN ('region', 'nation')",
     "scalar_regex": "SELECT c_custkey, regexp_replace(c_name, '[0-9]+', 'N') AS a, regexp_extract(c_name, '([A-Za-z]+)#', 1) AS b, regexp_matches(c_name, '0{5}') AS c FROM customer",
     "scalar_bytes": "SELECT n_name, strlen(n_name) AS bytes, starts_with(n_name, 'NATION') AS a, ends_with(n_name, '1') AS b, contains(n_name, '_2') AS c, md5(n_name) AS d FROM nation",
     "scalar_cast": "SELECT event_id, CAST(value AS BIGINT) >= 0 AS a, try_cast(event_type AS INT) AS b, CAST(event_id AS VARCHAR(20)) AS c, (value * 100)::BIGINT > 500 AS d FROM events",

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from pagewright.functions import frontmatter, lock
@@ -100,6 +102,53 @@ def test_walk_and_cycles(spark):
     start = spark.createDataFrame([("a",)], "node string")
     assert {r.node: r.depth for r in graph.walk(edges, start, 3).collect()} == {"a": 0, "b": 1, "c": 2, "d": 3}
     assert {r.node for r in graph.cyclic(edges).collect()} == {"a", "b", "c"}
+    assert graph.loops(edges.limit(0)).isEmpty()
+
+
+def test_loops_are_strongly_connected_components(spark):
+    between = [("a", "b"), ("b", "a"), ("b", "m"), ("m", "n"), ("n", "x"), ("x", "y"), ("y", "z"), ("z", "x"), ("s", "s"), ("a", "s"), ("y", "z")]
+    rng = random.Random(3)
+    some = [(f"{rng.randrange(24):02}", f"{rng.randrange(24):02}") for _ in range(34)]
+    for rows in (between, some):
+        reach = {n: {d for s, d in rows if s == n} for n in {x for row in rows for x in row}}
+        while (more := {n: to | {d for t in to for d in reach[t]} for n, to in reach.items()}) != reach:
+            reach = more
+        expected = {(n, max(m for m in to if n in reach[m])) for n, to in reach.items() if n in to}
+        got = [(r.node, r.loop) for r in graph.loops(spark.createDataFrame(rows, "src string, dst string")).collect()]
+        assert len(got) == len(expected) and set(got) == expected
+    assert {n for n, _ in expected} and graph.loops(spark.createDataFrame(between, "src string, dst string")).where("node IN ('m', 'n')").isEmpty()
+
+
+def test_pins_and_base_files_in_the_log(spark):
+    log = history.History(spark, scratch.new_folder(spark, "test-history"))
+    pin = lock.render([lock.Pin("b", "path", ("B",), lock.span_fingerprint(b"# B\n"), "0")])
+    bases = lambda *rows: spark.createDataFrame(list(rows), "path string, raw string")
+    dest = lambda: [(r.src_path, r.dest_path) for r in log.relation("lock").collect()]
+    base = lambda: sorted((r.path, r.gen) for r in log.base().collect())
+    view = "views: [{name: V, type: t}]\nformulas: {f: x}\n"
+    first = pages(spark, a=f"{pin}\n", b="# B\n", c=f"{pin}\n\n{pin}\n")
+    log.sync(first, bases(("v.base", view), ("n.base", None), ("gone.base", "{}")))
+    assert dest() == [("a.md", "b.md")] and [r.path for r in log.relation("lock_fault").collect()] == ["c.md"]
+    assert [tuple(r) for r in views.referrers(log.relation("lock")).select("path", "src_path", "seq").collect()] == [("b.md", "a.md", 0)]
+    assert base() == [("gone.base", 1), ("n.base", 1), ("v.base", 1)]
+    # a file that couldn't be read is read again; without base files nothing is said about them
+    assert log.sync(first) is None
+    assert log.sync(first, bases(("v.base", view), ("n.base", None)))["gen"] == 2
+    assert base() == [("n.base", 2), ("v.base", 1)]
+    moved = first.where("path <> 'b.md'").union(pages(spark, z__b="# B\n"))
+    log.sync(moved)
+    assert dest() == [("a.md", "z/b.md")] and base() == [("n.base", 2), ("v.base", 1)]
+    stamp = log.stamp().first()
+    assert (stamp.gen, stamp.doc_count, stamp.as_of_fingerprint) == (3, 3, log.pins()[-1]["fingerprint"]) and log.stamp(1).first().gen == 1
+    other = log.compacted(scratch.new_folder(spark, "test-history"))
+    assert [r.name for r in other.relation("base_view").collect()] == ["V"] and [r.expr for r in other.relation("base_formula").collect()] == ["x"]
+    assert [(r.src_path, r.dest_path) for r in other.relation("lock").collect()] == [("a.md", "z/b.md")]
+
+
+def test_links_to_base_files(spark):
+    excluded = spark.createDataFrame([("a.md", 0, "d/v.base"), ("a.md", 1, "x.png"), ("b.md", 0, None)], "src_path string, seq long, exclusion_path string")
+    found = views.base_embeds(excluded, spark.createDataFrame([("d/v.base",), ("w.base",)], "path string"))
+    assert [tuple(r) for r in found.collect()] == [("d/v.base", "a.md", 0)]
 
 
 def test_moves_and_edits(spark):

@@ -2,9 +2,10 @@
 
 Two first-order character models, of random strings and of ordinary identifiers, are fitted on
 labelled samples: random ones are drawn from the alphabets that keys use, ordinary ones are words of
-at most `sample_docs` documents, alone and joined as identifiers are. A long token is reported when
-its log-likelihood ratio per character is above the threshold that best parts held-out samples, whose
-ordinary strings are of words that the model was not fitted on. The model is a table of 66 x 66 numbers in the task's closure. Nothing is shuffled; each
+at most `sample_docs` documents, alone and joined as identifiers are. A long token, or what a base span
+leaves of one, is reported when its log-likelihood ratio per character is above the threshold that best
+parts held-out samples, whose ordinary strings are of words that the model was not fitted on; of other
+tokens, the parts between separators that are above it together are. The model is a table of 66 x 66 numbers in the task's closure. Nothing is shuffled; each
 text is scanned whole, as UTF-8 bytes, and offsets are turned into code points for what is found.
 """
 
@@ -32,8 +33,12 @@ ASSIGN_HINTS = (b"passw", b"secret", b"token", b"api")
 
 TOKEN_LENGTH = 20
 TOKEN = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}" % TOKEN_LENGTH)
+SEPARATORS = b"/_=-"
+PART = re.compile(rb"[A-Za-z0-9+]+")
 SAMPLE_DOCS = 1_000
 SAMPLE_STRINGS = 20_000
+#: The share of ordinary strings that repeat one character.
+RULES = 0.1
 SEED = 7
 
 _ALPHABET = (string.ascii_letters + string.digits + "+/_=-").encode()
@@ -75,7 +80,7 @@ def random_strings(n: int, rng: random.Random) -> list[bytes]:
 
 
 def identifiers(words: list[str], n: int, rng: random.Random) -> list[bytes]:
-    """Labelled 0: words one after the other, as in names, paths and run-together writing."""
+    """Labelled 0: words one after the other, as in names, paths and run-together writing, and rules of one character."""
     found = []
     while len(found) < n and words:
         picked, style = [rng.choice(words) for _ in range(rng.randint(2, 6))], rng.randrange(6)
@@ -93,6 +98,8 @@ def identifiers(words: list[str], n: int, rng: random.Random) -> list[bytes]:
             text = "".join(picked).lower()
         if rng.random() < 0.15:
             text += f"_{rng.randint(1, 2030)}"
+        if rng.random() < RULES:
+            text = chr(rng.choice(_ALPHABET)) * rng.randint(TOKEN_LENGTH, 80)
         found.append(text.encode())
     return found
 
@@ -134,12 +141,48 @@ def base_spans(text: bytes) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def random_stretches(model: Model, token: bytes) -> list[tuple[int, int]]:
+    """Where a token looks random: all of it, or else the runs of its parts (between separators) whose sum
+    of ratios less the threshold is the most, so that a path in front of a key doesn't hide it."""
+    codes = _CODE[np.frombuffer(token, np.uint8)]
+    excess = model.ratio[np.r_[_START, codes[:-1]], codes] - model.threshold
+    if excess.mean() > 0:
+        return [(0, len(token))]
+    total = np.r_[0.0, np.cumsum(excess)]
+    found, best, held, begin, last = [], None, -np.inf, 0, 0
+    for a, b in (m.span() for m in PART.finditer(token)):
+        longer = held + total[b] - total[last]
+        alone = model.ratio[_START, codes[a]] - model.threshold + total[b] - total[a + 1]
+        if longer < alone:
+            found += [best] if best else []
+            best, begin = None, a
+        held, last = max(longer, alone), b
+        if held > 0 and b - begin >= TOKEN_LENGTH and (best is None or held > best[2]):
+            best = (begin, b, held)
+    return [x[:2] for x in [*found, *([best] if best else [])]]
+
+
+def outside(start: int, end: int, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """What base spans (by start) leave of a token."""
+    for s, _, e in base:
+        if s < end and start < e:
+            yield start, s
+            start = max(start, e)
+    yield start, end
+
+
 def markov_spans(text: bytes, model: Model, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Long tokens that the model takes for random, where no base span lies."""
+    """Stretches of long tokens that the model takes for random, where no base span lies."""
     if b"x" * TOKEN_LENGTH not in text.translate(_TOKEN_MARK):
         return []
-    tokens = ((m.start(), m.end()) for m in TOKEN.finditer(text))
-    return [(a, 3, b) for a, b in tokens if not any(s < b and a < e for s, _, e in base) and score(model.ratio, text[a:b]) > model.threshold]
+    found = []
+    for m in TOKEN.finditer(text):
+        for a, b in outside(m.start(), m.end(), base):
+            if a > m.start():
+                a = b - len(text[a:b].lstrip(SEPARATORS))
+            if b - a >= TOKEN_LENGTH:
+                found += [(a + x, 3, a + y) for x, y in random_stretches(model, text[a:b])]
+    return found
 
 
 def written(spans: list[tuple[int, int, int]], text: bytes) -> str:

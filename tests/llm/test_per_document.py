@@ -106,6 +106,28 @@ def test_base_secrets(spark, odd, nothing):
     assert secret_scan.secret_scan(nothing).count() == 0
 
 
+def test_a_key_behind_a_path_or_a_base_span(spark, sf_dir):
+    model = secret_scan.fit(sample_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), secret_scan.SAMPLE_DOCS))
+    rng = random.Random(12)
+    path = "home/window/handle/buffer_cache/thread-pool/token/"
+    keys = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=24)) for _ in range(400)]
+    alone = [k for k in keys if secret_scan.score(model.ratio, k.encode()) > model.threshold]
+    assert len(alone) >= 360
+
+    def spans(text):
+        data = text.encode()
+        return [(a, b) for a, _, b in secret_scan.markov_spans(data, model, secret_scan.base_spans(data))]
+
+    assert all(any(a <= len(path) + 3 and b == len(path) + 3 + len(k) for a, b in spans(f"in {path}{k} ")) for k in alone)
+    assert all(spans(f"{path}{k}")[0][1] == len(path) + len(k) for k in alone)
+    access = "AKIA" + "A" * 16
+    assert all((len(access) + 1, len(access) + 1 + len(k)) in spans(f"{access}/{k}") for k in alone)
+    plain = [s.decode() for s in secret_scan.identifiers(["window", "handle", "buffer", "cache", "thread"] + WORDS_HELD, 4000, rng)]
+    long_plain = ["/".join(rng.choices(plain, k=4)) for _ in range(1000)]
+    assert sum(bool(spans(t)) for t in long_plain) <= 20
+    assert not any(spans(c * n) for c in "-=_/+ax0X9" for n in (20, 33, 100_000)) and spans("=" * 40 + "/" * 40) == []
+
+
 def test_markov_model_on_held_out_strings(spark, sf_dir):
     model = secret_scan.fit(sample_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), secret_scan.SAMPLE_DOCS))
     rng = random.Random(99)

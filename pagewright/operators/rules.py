@@ -72,8 +72,10 @@ def run_query_rule(spark: SparkSession, rule: QueryRule) -> DataFrame:
     return out if not found.where(F.col("path") == rule.control).isEmpty() else out.unionByName(fault(f"the control {rule.control} was not found"))
 
 
-def check_changes(changes: DataFrame, check: Callable[[dict], str | None], rule: str, severity: str = "block") -> DataFrame:
-    """Findings of a predicate over change facts, one row of `changes` at a time; it answers a detail or None."""
+def check_changes(changes: DataFrame, check: Column | Callable[[dict], str | None], rule: str, severity: str = "block") -> DataFrame:
+    """Findings of a check over change facts: a column, or else a function of one row at a time, that gives a detail or null."""
+    if isinstance(check, Column):
+        return changes.select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), "path", check.cast("string").alias("detail")).where("detail IS NOT NULL")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

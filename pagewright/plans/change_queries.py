@@ -224,7 +224,7 @@ def rules_change(spark, sf_dir):
     """A predicate over property changes: status may not change to BUILDING."""
     frontmatter = space(spark, sf_dir, ("customers",)).frontmatter.where("key = 'status'")
     after = frontmatter.withColumn("value", F.when(F.regexp_extract("path", r"(\d+)", 1).cast("long") % 6 == 0, "BUILDING").otherwise(F.col("value")))
-    check = lambda change: f"was {change['value_before']}" if change["value_after"] == "BUILDING" else None
+    check = F.when(F.col("value_after") == "BUILDING", F.concat(F.lit("was "), "value_before"))
     return rules.check_changes(delta.property_changes(frontmatter, after), check, "no-building").select("rule", "severity", "path", "detail")
 
 

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagewright.functions import frontmatter, lock
 from pagewright.functions.blake3 import digests, hex_digest
@@ -324,3 +325,11 @@ def test_rules_over_roots(spark):
     missed = rules.run_query_rule(spark, rules.QueryRule("r", "SELECT path FROM doc_for_rules WHERE path LIKE 'a/%'", root="a/b", control="q.md"))
     assert sorted(str(r.path) for r in missed.collect()) == ["None", "a/b/c.md"]
     assert rules.glob_pattern("a/**/*.md") == "^a/(?:.*/)?[^/]*\\.md$" and rules.pure(["path", "clock_now"]) == ["clock_now"]
+
+
+def test_a_check_is_a_column_or_a_function(spark):
+    changes = spark.createDataFrame([("a.md", "1", "2"), ("b.md", None, "2"), ("c.md", "2", None)], "path string, value_before string, value_after string")
+    as_column = rules.check_changes(changes, F.when(F.col("value_after") == "2", F.concat(F.lit("was "), F.coalesce("value_before", F.lit("none")))), "two")
+    as_function = rules.check_changes(changes, lambda c: f"was {c['value_before'] or 'none'}" if c["value_after"] == "2" else None, "two")
+    assert as_column.columns == as_function.columns
+    assert sorted(map(tuple, as_column.collect())) == sorted(map(tuple, as_function.collect())) == [("two", "block", "a.md", "was 1"), ("two", "block", "b.md", "was none")]

@@ -38,7 +38,6 @@ SAME = {
     "agg_cube": "SELECT l_returnflag, l_linestatus, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
     "agg_grouping_sets": "SELECT p_brand, p_type, CAST(count(*) AS BIGINT) AS n FROM part GROUP BY GROUPING SETS ((p_brand), (p_type), ())",
     "agg_median": "SELECT l_returnflag, median(l_quantity) AS mid FROM lineitem GROUP BY l_returnflag",
-    "agg_max_by": "SELECT o_custkey, max_by(o_orderkey, o_totalprice) AS top_order, min_by(o_orderkey, o_totalprice) AS low_order FROM orders GROUP BY o_custkey",
     "window_rank": "SELECT o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS place, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus) AS dense, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders",
     "window_lag_lead": "SELECT event_id, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS before, lead(value, 2) OVER (PARTITION BY user_id ORDER BY event_id) AS later FROM events",
     "window_frame": "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS three, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS top, CAST(count(*) OVER (PARTITION BY user_id ORDER BY event_id RANGE BETWEEN 500 PRECEDING AND CURRENT ROW) AS BIGINT) AS near FROM events",
@@ -73,6 +72,11 @@ SAME = {
 
 #: name -> (Spark, DuckDB)
 PAIRS = {
+    # Of equal prices DuckDB takes the row that it meets first (on one thread, that is the smallest key of a table stored by key), and passes over rows with a null.
+    "agg_max_by": (
+        "SELECT o_custkey, max_by(o_orderkey, CASE WHEN o_orderkey IS NOT NULL AND o_totalprice IS NOT NULL THEN struct(o_totalprice, ~o_orderkey) END) AS top_order, min_by(o_orderkey, CASE WHEN o_orderkey IS NOT NULL AND o_totalprice IS NOT NULL THEN struct(o_totalprice, o_orderkey) END) AS low_order FROM orders GROUP BY o_custkey",
+        "SELECT o_custkey, max_by(o_orderkey, o_totalprice) AS top_order, min_by(o_orderkey, o_totalprice) AS low_order FROM orders GROUP BY o_custkey",
+    ),
     "agg_listed": (
         "SELECT c_nationkey, listagg(c_mktsegment, '|') WITHIN GROUP (ORDER BY c_mktsegment, c_custkey) AS segments FROM customer GROUP BY c_nationkey",
         "SELECT c_nationkey, string_agg(c_mktsegment, '|' ORDER BY c_mktsegment, c_custkey) AS segments FROM customer GROUP BY c_nationkey",

@@ -2,6 +2,8 @@
 
 import duckdb
 
+from pagewright.functions.blake3 import digests, joined
+from pagewright.operators import merkle
 from pagewright.plans import registry
 
 
@@ -19,3 +21,22 @@ def test_max_by_ties_and_nulls(spark, tmp_path):
         assert sorted(map(tuple, found.select("o_custkey", "top_order", "low_order").collect())) == sorted(expected)
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_wide_directory_is_hashed_in_parts(spark):
+    files = [(f"wide/{i * 7919 % 30011}-é{'x' * (i % 150)}.md", f"{i:064x}") for i in range(9000)] + [("wide/sub/a.md", "1" * 64), ("wide/sub/b.md", "2" * 64), ("top.md", "3" * 64)]
+    df = spark.createDataFrame(files, "path string, digest string")
+    at_once = {r.path: r.digest for r in merkle.directories(df).collect()}
+    entries = [(p.split("/")[1].encode(), False, bytes.fromhex(d)) for p, d in files[:9000]]
+    sub = digests([merkle.encoded([(b"a.md", False, b"\x11" * 32), (b"b.md", False, b"\x22" * 32)])])[0]
+    assert at_once["wide"] == digests([merkle.encoded([*entries, (b"sub", True, sub)])])[0].hex()
+    assert len(merkle.encoded(entries)) > 8 * merkle.PART
+    # Both limits cross here: `sub` and the top have one part, `wide` has many.
+    assert {r.path: r.digest for r in merkle.directories(df, many=1).collect()} == at_once
+
+
+def test_parts_of_a_message_join_to_its_digest():
+    message = bytes(range(256)) * 1500 + b"end"
+    for size in (1024, 4096, 65536):
+        cut = [message[i : i + size] for i in range(0, len(message), size)]
+        assert joined(digests(cut, [i * size // 1024 for i in range(len(cut))])) == digests([message])[0]

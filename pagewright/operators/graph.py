@@ -68,8 +68,27 @@ def loops(edges: DataFrame) -> DataFrame:
 
 
 def cyclic(edges: DataFrame) -> DataFrame:
-    """(node): nodes that lie on a cycle."""
-    return loops(edges).select("node")
+    """(node): nodes that lie on a cycle.
+
+    Nodes that link themselves or each other do. Any other needs a way in from and a way out to such nodes or
+    others like it; only where some are left, loops() has to tell.
+    """
+    edges = scratch.written(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL"), "cycle-edges")
+    pairs = edges.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.bool_or(F.col("src") <= F.col("dst")).alias("there"), F.bool_or(F.col("src") >= F.col("dst")).alias("back"))
+    sure = scratch.written(pairs.where("there AND back").select(F.explode(F.array("a", "b")).alias("node")).distinct(), "cycle-sure")
+    ends = {end: F.col(end).alias("node") for end in ("src", "dst")}
+    left = edges.select(ends["src"]).distinct().join(sure, "node", "left_anti")
+    left = scratch.written(left.join(edges.select(ends["dst"]), "node", "left_semi"), "cycle-left")
+    near = {end: scratch.written(edges.withColumn("node", F.col(end)).join(left, "node", "left_semi").drop("node"), "cycle-near") for end in ends}
+    while not left.isEmpty():
+        good = sure.unionByName(left)
+        out = near["src"].join(good.withColumnRenamed("node", "dst"), "dst", "left_semi").select(ends["src"])
+        into = near["dst"].join(good.withColumnRenamed("node", "src"), "src", "left_semi").select(ends["dst"])
+        kept = scratch.written(left.join(out, "node", "left_semi").join(into, "node", "left_semi"), "cycle-left")
+        if kept.count() == left.count():
+            return loops(edges).select("node")
+        left = kept
+    return sure
 
 
 def coloured(pins: DataFrame) -> DataFrame:

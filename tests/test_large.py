@@ -1,9 +1,12 @@
 """What only shows on larger tables: ties, very wide directories, long graphs."""
 
+import random
+
 import duckdb
+from pyspark.sql import functions as F
 
 from pagewright.functions.blake3 import digests, joined
-from pagewright.operators import merkle
+from pagewright.operators import graph, merkle, project, relocate, resolve
 from pagewright.plans import registry
 
 
@@ -40,3 +43,34 @@ def test_parts_of_a_message_join_to_its_digest():
     for size in (1024, 4096, 65536):
         cut = [message[i : i + size] for i in range(0, len(message), size)]
         assert joined(digests(cut, [i * size // 1024 for i in range(len(cut))])) == digests([message])[0]
+
+
+def test_names_of_pages_are_those_of_the_whole_parse(spark):
+    rng = random.Random(3)
+    bits = ["[[a]]", "![[b#h|x]]", "\\", "`", "```\n", "~~~\n", "\n", "\n\n", "    ", "\t", "- ", "> ", "# ", "text ", "[[c\\|d]]", "|", "---\n", "--|--\n", "é", "\r\n"]
+    heads = ["", "---\nalias: One, two\n---\n", "---\naliases:\n  - Drei\n", "---\ntype: x\n...\n"]
+    raws = ["".join([rng.choice(heads), *rng.choices(bits, k=rng.randrange(15))]) for _ in range(400)] + [None]
+    pages = spark.createDataFrame([(f"p{i}.md", raw) for i, raw in enumerate(raws)], "path string, raw string")
+    whole = project.parse_pages(pages).select("path", "alias", F.transform("link", lambda x: F.struct(x["seq"], x["target_raw"])).alias("link"))
+    found = sorted(map(tuple, project.parse_names(pages).collect()))
+    assert found == sorted(map(tuple, whole.collect())) and sum(len(links) for _, _, links in found) > 300
+
+
+def test_mutual_links_need_no_walk(spark, monkeypatch):
+    # Hubs in a long chain, each linked with its own leaves: one round of names per hub before.
+    chain = [(f"h{i:03}", f"h{i + 1:03}") for i in range(60)] + [("h060", "end"), ("begin", "h000"), ("begin", "lone"), ("self", "self")]
+    leaves = [e for i in range(61) for e in ((f"h{i:03}", f"l{i}"), (f"l{i}", f"h{i:03}"))]
+    with monkeypatch.context() as patched:
+        patched.setattr(graph, "loops", lambda edges: (_ for _ in ()).throw(AssertionError("walked")))
+        found = [r.node for r in graph.cyclic(spark.createDataFrame(chain + leaves, "src string, dst string")).collect()]
+    assert sorted(found) == sorted([f"h{i:03}" for i in range(61)] + [f"l{i}" for i in range(61)] + ["self"])
+
+
+def test_cyclic_on_random_graphs(spark):
+    for seed in range(4):
+        rng = random.Random(seed)
+        edges = [(f"n{rng.randrange(14)}", f"n{rng.randrange(14)}") for _ in range(15)]
+        reach = {a: {b for x, b in edges if x == a} for a, _ in edges}
+        for _ in range(14):
+            reach = {a: bs.union(*(reach.get(b, set()) for b in bs)) for a, bs in reach.items()}
+        assert sorted(r.node for r in graph.cyclic(spark.createDataFrame(edges, "src string, dst string")).collect()) == sorted(a for a, bs in reach.items() if a in bs)

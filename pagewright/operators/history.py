@@ -80,10 +80,16 @@ def affected(links: DataFrame, names: DataFrame, diff: DataFrame) -> DataFrame:
 
 
 class History:
-    """The log in one folder."""
+    """The log in one folder.
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    With `names_only` it keeps pages, aliases and links (seq, target_raw and destination), and pages are parsed for these alone.
+    A row of `doc` has two generations: `parsed`, in which the page was read and its rows appended, and gen, which is
+    later where only the destinations of its links were found anew.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, names_only: bool = False):
+        self.spark, self.folder, self.names_only = spark, folder, names_only
+        self.children, self.resolved = ((), ("link",)) if names_only else (CHILDREN, views.RESOLVED)
 
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
@@ -129,6 +135,8 @@ class History:
         rows, docs = self.table(name, gen), self.base(gen) if name in BASES else self.docs(gen)
         if rows is None or docs is None:
             return None
+        if name not in (*BASES, *views.RESOLVED):
+            docs = docs.select("path", F.col("parsed").alias("gen"))
         kept = of_live(rows, docs).drop("gen")
         return kept if name != "body" else kept.join(self.table("body_text", gen).select("body_key", "text"), "body_key").drop("body_key")
 
@@ -138,28 +146,27 @@ class History:
     def sync(self, pages: DataFrame, bases: DataFrame | None = None) -> dict | None:
         """Bring the log to the state of `pages` and base files (path, raw); None if nothing changed.
 
-        Only pages that are new, changed, or that link to or pin a name that moved are parsed and appended.
-        Without `bases` nothing is said about base files, and those of the log stay.
+        Only pages that are new or changed are parsed. Of those that link to or pin a name that moved, the links are
+        taken from the log and resolved again. Without `bases` nothing is said about base files, and those of the log stay.
         """
-        current = scratch.written(revisions(pages), "revisions")
-        fingerprint, before, gen = merkle.root(current), self.docs(), self.generation() + 1
+        before, gen = self.docs(), self.generation() + 1
+        manifest = before.select("path", "file_rev") if before is not None else None
+        current = scratch.written(project.parse_changed(pages, manifest, self.names_only), "current")
+        fingerprint = merkle.root(current, stored=True)
         base_diff = self._base_diff(bases) if bases is not None else None
         if before is not None and self.pins()[-1]["fingerprint"] == fingerprint and (base_diff is None or base_diff.isEmpty()):
             return None
-        manifest = before.select("path", "file_rev") if before is not None else current.select("path", "file_rev").limit(0)
-        diff = scratch.written(changes(manifest, current), "diff")
-        touched = diff.where("change <> 'removed'").select("path")
-        parsed = scratch.written(project.parse_pages(pages.join(touched, "path", "left_semi")), "touched")
+        diff, parsed = current.where("change IS NOT NULL").select("path", "change"), current.where("change IS NOT NULL")
         aliases = parsed.select("path", F.explode("alias").alias("alias"))
-        redo = parsed.limit(0)
+        again = None
         if before is not None:
+            removed = manifest.join(current, "path", "left_anti").select("path", F.lit("removed").alias("change"))
+            diff = scratch.written(diff.union(removed), "diff")
             old_aliases = self.relation("alias")
-            spelled = reduce(DataFrame.union, (self.relation(n).select("src_path", "target_raw") for n in views.RESOLVED))
+            spelled = reduce(DataFrame.union, (self.relation(n).select("src_path", "target_raw") for n in self.resolved))
             again = scratch.written(affected(spelled, moved_names(diff, old_aliases, aliases), diff), "affected")
-            redo = project.parse_pages(pages.join(again, "path", "left_semi"))
             aliases = aliases.union(old_aliases.join(diff, "path", "left_anti").select("path", "alias"))
-        whole = scratch.written(parsed.union(redo), "appended")
-        self._write(whole, diff, current.select("path"), aliases, gen)
+        self._write(parsed, before, again, diff, current.select("path"), aliases, gen)
         if base_diff is not None:
             self._write_bases(bases, base_diff, gen)
         counts = {r.change: r.n for r in diff.groupBy("change").agg(F.count("*").alias("n")).collect()}
@@ -167,15 +174,22 @@ class History:
         self.spark.createDataFrame([pin], "gen long, fingerprint string, added long, changed long, removed long").coalesce(1).write.mode("append").parquet(f"{self.folder}/pin")
         return pin
 
-    def _write(self, parsed: DataFrame, diff: DataFrame, paths: DataFrame, aliases: DataFrame, gen: int) -> None:
-        gone = diff.where("change = 'removed'").select("path", F.lit(None).cast("string").alias("file_rev"), F.lit(None).cast("int").alias("line_count"), F.lit(None).cast("long").alias("bytes"), F.lit(True).alias("tombstone"))
-        self._append("doc", project.doc(parsed).withColumn("tombstone", F.lit(False)).unionByName(gone), gen)
-        for name in CHILDREN:
+    def _write(self, parsed: DataFrame, before: DataFrame | None, again: DataFrame | None, diff: DataFrame, paths: DataFrame, aliases: DataFrame, gen: int) -> None:
+        docs = project.doc(parsed).withColumn("tombstone", F.lit(False)).withColumn("parsed", F.lit(gen).cast("long"))
+        gone = diff.where("change = 'removed'").select("path", F.lit(True).alias("tombstone"))
+        if again is not None:
+            docs = docs.unionByName(before.join(again, "path", "left_semi").drop("gen").withColumn("tombstone", F.lit(False)))
+        self._append("doc", docs.unionByName(gone, allowMissingColumns=True), gen)
+        for name in self.children:
             self._append(name, project.relation(parsed, name), gen)
         self._append("alias", parsed.select("path", F.explode("alias").alias("alias")), gen)
-        for name in views.RESOLVED:
-            found = resolve.resolve(views.spelled(parsed, name), paths, aliases)
-            self._append(name, found.withColumn("path", F.col("src_path")), gen)
+        for name in self.resolved:
+            rows = views.spelled(parsed, name)
+            if again is not None:
+                rows = rows.unionByName(self.relation(name).join(again, "path", "left_semi").select(*rows.columns))
+            self._append(name, resolve.resolve(rows, paths, aliases).withColumn("path", F.col("src_path")), gen)
+        if self.names_only:
+            return
         body = project.relation(parsed, "body").withColumn("body_key", F.sha2("text", 256))
         known = self.table("body_text", gen - 1)
         texts = body.select("body_key", "text").dropDuplicates(["body_key"])
@@ -200,17 +214,18 @@ class History:
 
     def compacted(self, folder: str) -> History:
         """A new log in `folder` that holds this one's latest state as its only generation."""
-        gen, other = self.generation(), History(self.spark, folder)
-        other._append("doc", self.docs().drop("gen").withColumn("tombstone", F.lit(False)), gen)
-        for name in (*CHILDREN, "alias", *views.RESOLVED):
+        gen, other = self.generation(), History(self.spark, folder, self.names_only)
+        other._append("doc", self.docs().drop("gen").withColumn("tombstone", F.lit(False)).withColumn("parsed", F.lit(gen).cast("long")), gen)
+        for name in (*self.children, "alias", *self.resolved):
             other._append(name, self.relation(name), gen)
         if self.base() is not None:
             other._append("base", self.base().drop("gen").withColumn("tombstone", F.lit(False)), gen)
             for name in BASES:
                 other._append(name, self.relation(name), gen)
-        body = of_live(self.table("body"), self.docs()).drop("gen")
-        other._append("body", body, gen)
-        other._append("body_text", self.table("body_text").drop("gen").join(body, "body_key", "left_semi"), gen)
+        if not self.names_only:
+            body = of_live(self.table("body"), self.docs().select("path", F.col("parsed").alias("gen"))).drop("gen")
+            other._append("body", body, gen)
+            other._append("body_text", self.table("body_text").drop("gen").join(body, "body_key", "left_semi"), gen)
         self.spark.createDataFrame([self.pins()[-1]], "gen long, fingerprint string, added long, changed long, removed long").coalesce(1).write.parquet(f"{folder}/pin")
         return other
 

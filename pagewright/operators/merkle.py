@@ -86,13 +86,15 @@ def wide(entries: DataFrame) -> DataFrame:
     return values.groupBy(F.col("dir").alias("path")).agg(F.collect_list(F.struct("part", "value")).alias("parts")).mapInArrow(joined_batches, "path string, digest string")
 
 
-def directories(files: DataFrame, many: int = MANY) -> DataFrame:
+def directories(files: DataFrame, many: int = MANY, stored: bool = False) -> DataFrame:
     """(path, digest) of every directory; files: (path, digest as hex). The top one has the empty path.
 
-    A directory of up to `many` entries is hashed in one piece, a wider one in parts.
+    A directory of up to `many` entries is hashed in one piece, a wider one in parts. `stored` says that
+    `files` is read from a table, so that it needs no copy.
     """
     depth = F.when(F.col("path") == "", 0).otherwise(F.size(F.split("path", "/")))
-    nodes = scratch.written(files.select("path", "digest", F.lit(False).alias("is_dir"), depth.alias("depth")), "merkle-files")
+    nodes = files.select("path", "digest", F.lit(False).alias("is_dir"), depth.alias("depth"))
+    nodes = nodes if stored else scratch.written(nodes, "merkle-files")
     deepest = nodes.agg(F.max("depth")).first()[0] or 0
     waiting, done = None, []
     for level in range(deepest, 0, -1):
@@ -114,9 +116,9 @@ def directories(files: DataFrame, many: int = MANY) -> DataFrame:
     return out
 
 
-def root(files: DataFrame) -> str:
+def root(files: DataFrame, stored: bool = False) -> str:
     """The whole tree's fingerprint."""
-    top = directories(files).where("path = ''").first()
+    top = directories(files, stored=stored).where("path = ''").first()
     return PREFIX + (top.digest if top else hex_digest(b""))
 
 

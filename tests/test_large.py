@@ -6,8 +6,9 @@ import duckdb
 from pyspark.sql import functions as F
 
 from pagewright.functions.blake3 import digests, joined
-from pagewright.operators import graph, merkle, project, relocate, resolve
+from pagewright.operators import graph, history, merkle, project, relocate, resolve
 from pagewright.plans import registry
+from pagewright.sources import scratch
 
 
 def test_max_by_ties_and_nulls(spark, tmp_path):
@@ -90,3 +91,17 @@ def test_a_move_resolves_what_it_can_change(spark, monkeypatch):
     resolved.clear()
     monkeypatch.setattr(relocate, "touched", lambda rows, *_: rows)
     assert plan() == narrow and narrow and resolved == [300, 300] and max(few) < 200
+
+
+def test_an_append_takes_links_of_unchanged_pages_from_the_log(spark):
+    pages = [("a.md", "---\ntype: x\n---\n# A\n[[c]] [[b]]\n"), ("b.md", "x\n"), ("d/c.md", "---\naliases: [q]\n---\n[[a]] [[q]]\n")]
+    found = []
+    for names_only in (True, False):
+        log = history.History(spark, scratch.new_folder(spark, "test-history"), names_only=names_only)
+        for n in (2, 3):
+            log.sync(spark.createDataFrame(pages[:n], "path string, raw string"))
+        assert sorted((r.path, r.gen, r.parsed) for r in log.docs().collect()) == [("a.md", 2, 1), ("b.md", 1, 1), ("d/c.md", 2, 2)]
+        found.append(sorted((r.src_path, r.seq, r.target_raw, r.dest_path) for r in log.relation("link").collect()))
+    assert found[0] == found[1] == [("a.md", 0, "c", "d/c.md"), ("a.md", 1, "b", "b.md"), ("d/c.md", 0, "a", "a.md"), ("d/c.md", 1, "q", "d/c.md")]
+    # The other rows of the page that only was resolved again stay those of its parse.
+    assert [(r.path, r.heading) for r in log.relation("section").collect()] == [("a.md", "A")] and log.table("section").count() == 1

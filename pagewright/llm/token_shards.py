@@ -41,10 +41,8 @@ KEY = "order-1"
 ROUNDS = 6
 ID = np.dtype("<u2")
 
-CACHE_PARTS = 250_000
-MAX_PART = 48
-STEP_CHARS = 1 << 20
-BESIDE_SPACE = re.compile(r"\s | \s|^ | $")
+STEP = 1 << 20
+LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 _encoders: dict = {}
 
@@ -90,11 +88,12 @@ class Feistel:
 
 
 class Encoder:
-    """Ids of texts as bytes, two a piece; parts between lone spaces are encoded once and kept.
+    """Ids of texts as bytes, two a piece, as the library gives them.
 
-    No pre-token of the vocabulary's pattern holds a space after another character, so a text may be
-    cut before a space that has no white space beside it. New parts are encoded together and told apart
-    by their first ids, the only ones that begin with a space.
+    Words aren't kept to be looked up: finding one costs as much as encoding it, and most are rare. Long
+    texts are encoded in pieces, so that few ids are Python numbers at a time. No pre-token of the
+    vocabulary's pattern holds a space after another character, so a text may be cut before a space that
+    has no white space beside it.
     """
 
     def __init__(self, name: str):
@@ -108,40 +107,23 @@ class Encoder:
         if max(ranks.values()) >= END_OF_TEXT:
             raise ValueError(f"{name} has no free id for the end of a text")
         self.encode = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.begins = np.zeros(1 << 16, bool)
-        self.begins[[i for token, i in ranks.items() if token[:1] == b" "]] = True
-        self.cache: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
         return np.array(self.encode(text), ID).tobytes()
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """The ids of each text and its end; an empty text has neither."""
-        cut = [None if not t or BESIDE_SPACE.search(t) else t.split(" ") for t in texts]
-        wanted = set().union(*(parts[1:] for parts in cut if parts))
-        new = list(wanted.difference(self.cache))
-        if new and len(self.cache) > CACHE_PARTS:
-            self.cache.clear()
-            new = list(wanted)
-        if new:
-            ids = np.array(self.encode(" " + " ".join(new)), ID)
-            first = np.flatnonzero(self.begins[ids])
-            if len(first) != len(new):
-                raise ValueError("the vocabulary's ids don't part at spaces")
-            data, edges = ids.tobytes(), [*(first * ID.itemsize).tolist(), len(ids) * ID.itemsize]
-            self.cache.update(zip(new, (data[a:b] for a, b in zip(edges, edges[1:]))))
         end = np.array([END_OF_TEXT], ID).tobytes()
-        known = self.cache.__getitem__
-        out = []
-        for text, parts in zip(texts, cut):
-            if parts:
-                out.append(self.ids(parts[0]) + b"".join(map(known, parts[1:])) + end)
-            else:
-                out.append(self.ids(text) + end if text else b"")
-        for part in new:
-            if len(part) > MAX_PART:
-                del self.cache[part]
-        return out
+        return [b"".join([*map(self.ids, pieces(t)), end]) if t else b"" for t in texts]
+
+
+def pieces(text: str) -> Iterator[str]:
+    """A text in pieces of STEP characters or somewhat more, of which each but the first begins at a lone space."""
+    at = 0
+    while len(text) - at > STEP and (cut := LONE_SPACE.search(text, at + STEP)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
 
 
 def encoder(name: str) -> Encoder:
@@ -152,17 +134,10 @@ def encoder(name: str) -> Encoder:
 
 def encode_batches(batches: Iterator[pa.RecordBatch], ranks: str) -> Iterator[pa.RecordBatch]:
     packer = zstandard.ZstdCompressor(level=1)
-    for batch in small(batches):
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        doc_ids, at = batch.column("doc_id").cast(pa.int64()), 0
-        while at < len(texts):
-            start, held = at, 0
-            while at < len(texts) and held < STEP_CHARS:
-                held += len(texts[at]) + 1
-                at += 1
-            found = encoder(ranks).texts(texts[start:at])
-            sizes = pa.array([len(x) // ID.itemsize for x in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([doc_ids[start:at], sizes, pa.array([packer.compress(x) for x in found], pa.binary())], ["doc_id", "n_tokens", "ids"])
+    for batch in small(batches, most=STEP):
+        found = encoder(ranks).texts([t or "" for t in batch.column("text").to_pylist()])
+        sizes = pa.array([len(x) // ID.itemsize for x in found], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), sizes, pa.array([packer.compress(x) for x in found], pa.binary())], ["doc_id", "n_tokens", "ids"])
 
 
 class Layout(NamedTuple):

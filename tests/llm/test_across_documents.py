@@ -5,6 +5,7 @@ import io
 import os
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -236,6 +237,30 @@ def test_encoder_is_the_librarys():
     assert e.texts(texts) == [e.ids(t) + end if t else b"" for t in texts]
 
 
+def test_encoder_cuts_long_texts_only_where_ids_part(monkeypatch):
+    monkeypatch.setattr(token_shards, "STEP", 5)
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("  \x1c\xa0\n\taé漢's12.,x") for _ in range(rng.randint(1, 60))) for _ in range(800)]
+    assert any(len(list(token_shards.pieces(t))) > 2 for t in texts) and all("".join(token_shards.pieces(t)) == t for t in texts)
+    e = token_shards.Encoder(token_shards.RANKS)
+    assert [x[: -token_shards.ID.itemsize] for x in e.texts(texts)] == [e.ids(t) for t in texts]
+
+
+def test_encoder_takes_little_more_time_than_the_library():
+    rng = random.Random(5)
+    e = token_shards.Encoder(token_shards.RANKS)
+    shares = []
+    for _ in range(5):
+        texts = [" ".join("".join(rng.choices("etaoinshr", k=rng.randint(2, 14))) for _ in range(600)) for _ in range(100)]
+        start = time.process_time()
+        plain = [e.ids(t) for t in texts]
+        between = time.process_time()
+        found = e.texts(texts)
+        shares.append((time.process_time() - between) / (between - start))
+        assert [x[: -token_shards.ID.itemsize] for x in found] == plain
+    assert min(shares) < 1.3, shares
+
+
 PAGES = [(3, "u3", "z" * 120), (1, "u1", "z" * 120), (2, "u2", "short"), (4, "u4", "short"), (5, None, None), (6, "a\r\nX: 1", ""), (7, "u7", "é" * 60), (7, "u7", "é" * 60), (8, "u8", "é" * 60), (None, "n", "z" * 120), (9, "u9", "y" * 900_000)]
 
 
